@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid
-from reviewlens.operators import ingest, summary
+from reviewlens.operators import clusters, ids, ingest, summary
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
 
@@ -210,3 +210,110 @@ FROM clean GROUP BY product
 def q_weekly_summary(spark, sf_dir):
     """Flagship: weekly clean-review summary per product (P0 slice)."""
     return summary.weekly_summary(clean(spark, sf_dir), RUN_WEEK)
+
+
+# -------------------------------------------------------------- clusters ----
+
+NOISE_SOURCE_LABELS = (9,)  # the given label 9 plays the noise label -1
+
+CLUSTER_CTES = """
+, normalized AS (
+  SELECT *, 'doc_' || CAST(row_number() OVER (PARTITION BY product ORDER BY seq) - 1 AS VARCHAR) AS doc_id
+  FROM clean
+),
+members AS (
+  SELECT n.product, n.seq, n.doc_id, n.rating, n.text, n.thumbs_up, n.app_version,
+         CASE WHEN e.label = 9 THEN -1 ELSE e.label END AS cluster_id, e.embedding
+  FROM normalized n JOIN embeddings e ON n.seq = e.vec_id
+),
+expl AS (
+  SELECT product, cluster_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v
+  FROM members WHERE cluster_id <> -1
+),
+cells AS (SELECT product, cluster_id, dim, avg(CAST(v AS DOUBLE)) AS value FROM expl GROUP BY ALL),
+cents AS (SELECT product, cluster_id, list(value ORDER BY dim) AS centroid FROM cells GROUP BY ALL),
+dists AS (
+  SELECT m.*, sqrt(list_reduce(list_transform(range(1, len(m.embedding) + 1),
+           lambda i: (CAST(m.embedding[i] AS DOUBLE) - c.centroid[i]) * (CAST(m.embedding[i] AS DOUBLE) - c.centroid[i])),
+           lambda a, b: a + b)) AS dist
+  FROM members m JOIN cents c USING (product, cluster_id)
+),
+reps AS (
+  SELECT *, row_number() OVER (PARTITION BY product, cluster_id ORDER BY dist, seq) AS rank
+  FROM dists QUALIFY rank <= 5
+),
+stats AS (
+  SELECT product, cluster_id, count(*) AS size, CAST(sum(rating) AS BIGINT) AS rating_sum,
+         round_even(avg(rating), 2) AS avg_rating
+  FROM members WHERE cluster_id <> -1 GROUP BY ALL
+),
+gmean AS (SELECT product, avg(rating) AS global_mean FROM members GROUP BY product),
+ranked AS (
+  SELECT s.*, g.global_mean, s.avg_rating - g.global_mean AS rating_delta,
+         row_number() OVER (PARTITION BY s.product ORDER BY s.size DESC, s.avg_rating - g.global_mean, s.cluster_id) AS rank
+  FROM stats s JOIN gmean g USING (product) QUALIFY rank <= 5
+)"""
+
+
+def _with_clusters(body: str) -> str:
+    return _with(CLUSTER_CTES + "\n" + body)
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + C5: clean reviews with positional doc ids per product."""
+    return ids.with_doc_ids(clean(spark, sf_dir))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized reviews joined to their vectors and given labels."""
+    from reviewlens.sources.tables import read_table
+    return clusters.attach_vectors(normalized(spark, sf_dir), read_table(spark, sf_dir, "embeddings"),
+                                   noise_labels=NOISE_SOURCE_LABELS)
+
+
+@register("anonymised_reviews", _with_clusters("""
+SELECT product, doc_id, rating, text, thumbs_up, app_version FROM normalized
+"""))
+def q_anonymised_reviews(spark, sf_dir):
+    """C4 + C5: identity columns dropped, doc ids 0-based in arrival order per product."""
+    return ids.anonymise(normalized(spark, sf_dir)).select(
+        "product", "doc_id", "rating", "text", "thumbs_up", "app_version")
+
+
+@register("cluster_stats", _with_clusters("""
+SELECT product, cluster_id, size, rating_sum, avg_rating FROM stats
+"""))
+def q_cluster_stats(spark, sf_dir):
+    """B10 + E1 + E2: size and mean rating per cluster (noise dropped)."""
+    return clusters.cluster_stats(members(spark, sf_dir))
+
+
+@register("cluster_centroids", _with_clusters("""
+SELECT product, cluster_id, dim, round(value, 6) AS value FROM cells
+"""))
+def q_cluster_centroids(spark, sf_dir):
+    """Element-wise mean of the original vectors (long form, 6 dp)."""
+    return clusters.centroid_cells(members(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@register("cluster_representatives", _with_clusters("""
+SELECT product, cluster_id, rank, doc_id, seq, rating, round(dist, 6) AS dist FROM reps
+"""))
+def q_cluster_representatives(spark, sf_dir):
+    """G4 + F2: five members nearest the centroid per cluster."""
+    m = members(spark, sf_dir)
+    reps = clusters.representatives(clusters.member_distances(m, clusters.centroids(m)))
+    return reps.select("product", "cluster_id", F.col("rank").cast("long").alias("rank"), "doc_id", "seq",
+                       "rating", F.round("dist", 6).alias("dist"))
+
+
+@register("cluster_ranking", _with_clusters("""
+SELECT product, rank, cluster_id, size, avg_rating, round(global_mean, 6) AS global_mean,
+       round(rating_delta, 6) AS rating_delta FROM ranked
+"""))
+def q_cluster_ranking(spark, sf_dir):
+    """F3 + D6 + E4: top five clusters per product by size, then most negative rating delta."""
+    m = members(spark, sf_dir)
+    r = clusters.rank_clusters(clusters.cluster_stats(m), clusters.global_mean(m))
+    return r.select("product", F.col("rank").cast("long").alias("rank"), "cluster_id", "size", "avg_rating",
+                    F.round("global_mean", 6).alias("global_mean"), F.round("rating_delta", 6).alias("rating_delta"))
