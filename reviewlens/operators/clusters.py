@@ -79,8 +79,7 @@ def member_distances(members: DataFrame, cents: DataFrame, by: tuple[str, ...] =
     counted size fits, otherwise joined with salting so a hot cluster is
     spread over many tasks.
     """
-    dim = members.select(F.size("embedding")).first()
-    row_bytes = 8 * (dim[0] if dim else 64) + 64
+    row_bytes = F.size("centroid") * 8 + 64
     j = lookup_join(drop_noise(members), cents, [*by, "cluster_id"], "inner",
                     row_bytes=row_bytes, salt_cols=["seq"])
     return j.withColumn("dist", euclidean(F.col("embedding"), F.col("centroid"))).drop("centroid")

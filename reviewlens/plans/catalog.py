@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid
-from reviewlens.operators import clusters, ids, ingest, summary
+from reviewlens.operators import clusters, ids, ingest, summary, themes
+from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
 
@@ -266,9 +267,13 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized reviews joined to their vectors and given labels."""
+    from pyspark import StorageLevel
+
     from reviewlens.sources.tables import read_table
+    # Read by several consumers (stats, means, centroids, distances): persisted
+    # once; lost blocks are recomputed from lineage.
     return clusters.attach_vectors(normalized(spark, sf_dir), read_table(spark, sf_dir, "embeddings"),
-                                   noise_labels=NOISE_SOURCE_LABELS)
+                                   noise_labels=NOISE_SOURCE_LABELS).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @register("anonymised_reviews", _with_clusters("""
@@ -317,3 +322,148 @@ def q_cluster_ranking(spark, sf_dir):
     r = clusters.rank_clusters(clusters.cluster_stats(m), clusters.global_mean(m))
     return r.select("product", F.col("rank").cast("long").alias("rank"), "cluster_id", "size", "avg_rating",
                     F.round("global_mean", 6).alias("global_mean"), F.round("rating_delta", 6).alias("rating_delta"))
+
+
+# ---------------------------------------------------------------- themes ----
+
+THEME_BUDGET = 20_000  # per product run; small enough that the gate binds on this data
+
+
+def ranked_clusters(spark: SparkSession, sf_dir: str):
+    """Ranked clusters and the representatives of those clusters."""
+    m = members(spark, sf_dir)
+    ranked = clusters.rank_clusters(clusters.cluster_stats(m), clusters.global_mean(m))
+    reps = clusters.representatives(clusters.member_distances(m, clusters.centroids(m)))
+    reps = reps.join(ranked.select("product", "cluster_id"), ["product", "cluster_id"], "left_semi")
+    return ranked, reps
+
+
+def theme_run(spark: SparkSession, sf_dir: str):
+    """Prompts -> attempts -> verdicts -> resolution, shared by the theme queries."""
+    ranked, reps = ranked_clusters(spark, sf_dir)
+    prompts = themes.cluster_prompts(ranked, reps)
+    parsed = themes.parse_responses(responses.synth_attempts(ranked, reps))
+    verdicts = themes.quote_verdicts(parsed, reps)
+    checked = themes.attempt_verdicts(parsed, verdicts)
+    resolved = themes.resolve_attempts(checked).join(
+        prompts.select("product", "cluster_id", "rank", "prompt_tokens"), ["product", "cluster_id"], "inner")
+    return ranked, reps, prompts, verdicts, resolved
+
+
+_SYS = S.q(themes.SYSTEM_PROMPT)
+THEME_CTES = CLUSTER_CTES + """,
+rreps AS (SELECT r.* FROM reps r JOIN ranked k USING (product, cluster_id)),
+tprompt AS (
+  SELECT k.product, k.cluster_id, k.rank,
+         string_agg('[doc_id: ' || r.doc_id || ' | Rating: ' || CAST(r.rating AS VARCHAR) || '/5]' || chr(10)
+                    || r.text || chr(10), chr(10) || '---' || chr(10) ORDER BY r.rank) AS block
+  FROM ranked k JOIN reps r USING (product, cluster_id) GROUP BY ALL
+),
+tprompt2 AS (
+  SELECT *, CAST(3 + ceil(length('system') / 4) + ceil(length(""" + _SYS + """) / 4)
+                 + 3 + ceil(length('user') / 4) + ceil(length('Reviews:' || chr(10) || block) / 4) + 3 AS BIGINT) AS prompt_tokens
+  FROM tprompt
+)""" + responses.SYNTH_SQL.replace("FROM reps WHERE rank", "FROM rreps WHERE rank") + f""",
+tperf AS (
+  SELECT r.product, r.cluster_id, r.rank, r.attempt, p.prompt_tokens,
+         CAST(r.completion_tokens + p.prompt_tokens AS BIGINT) AS used_tokens,
+         CAST(p.prompt_tokens + 500 AS BIGINT) AS est_tokens, r.final, r.outcome, r.keep_quotes
+  FROM tres r JOIN tprompt2 p USING (product, cluster_id) WHERE r.performed
+),
+tgate AS (
+  SELECT *, CAST(coalesce(sum(used_tokens) OVER wb, 0) AS BIGINT) AS tokens_before,
+            CAST(coalesce(count(*) OVER wb, 0) AS BIGINT) AS requests_before
+  FROM tperf
+  WINDOW wb AS (PARTITION BY product ORDER BY rank, attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+tref AS (SELECT *, requests_before >= 1000 OR tokens_before + est_tokens >= {min(THEME_BUDGET, 100000)} AS refused FROM tgate),
+tadm AS (
+  SELECT *, NOT bool_or(refused) OVER (PARTITION BY product ORDER BY rank, attempt
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS admitted
+  FROM tref
+)"""
+
+
+def _with_themes(body: str) -> str:
+    return _with(THEME_CTES + "\n" + body)
+
+
+@register("cluster_prompts", _with_themes("""
+SELECT product, cluster_id, rank, block FROM tprompt
+"""))
+def q_cluster_prompts(spark, sf_dir):
+    """C9 + C10: representative block per ranked cluster (nearest first)."""
+    _, _, prompts, _, _ = theme_run(spark, sf_dir)
+    return prompts.select("product", "cluster_id", F.col("rank").cast("long").alias("rank"), "block")
+
+
+@register("prompt_tokens", _with_themes("""
+SELECT product, cluster_id, prompt_tokens FROM tprompt2
+"""))
+def q_prompt_tokens(spark, sf_dir):
+    """C11: token estimate of the two prompt messages."""
+    _, _, prompts, _, _ = theme_run(spark, sf_dir)
+    return prompts.select("product", "cluster_id", "prompt_tokens")
+
+
+@register("quote_validation", _with_themes("""
+SELECT product, cluster_id, attempt, qidx, verdict FROM tverdict
+"""))
+def q_quote_validation(spark, sf_dir):
+    """H2 + D2: verdict per quote against the cluster's representatives."""
+    _, _, _, verdicts, _ = theme_run(spark, sf_dir)
+    return verdicts.select("product", "cluster_id", F.col("attempt").cast("long").alias("attempt"),
+                           F.col("qidx").cast("long").alias("qidx"), "verdict")
+
+
+@register("theme_attempts", _with_themes("""
+SELECT product, cluster_id, attempt, parse_ok, valid, reason, performed, final, outcome, keep_quotes FROM tres
+"""))
+def q_theme_attempts(spark, sf_dir):
+    """H3 + H6 + H8: attempts made, first valid wins, last invalid keeps no quotes, broken JSON skips."""
+    _, _, _, _, resolved = theme_run(spark, sf_dir)
+    return resolved.select("product", "cluster_id", F.col("attempt").cast("long").alias("attempt"), "parse_ok",
+                           "valid", "reason", "performed", "final", "outcome", "keep_quotes")
+
+
+@register("token_budget", _with_themes("""
+SELECT product, rank, cluster_id, attempt, est_tokens, used_tokens, tokens_before, requests_before, refused, admitted
+FROM tadm
+"""))
+def q_token_budget(spark, sf_dir):
+    """H4: admission of each performed attempt under the run's token budget."""
+    _, _, _, _, resolved = theme_run(spark, sf_dir)
+    g = themes.budget_gate(resolved, THEME_BUDGET)
+    return g.select("product", F.col("rank").cast("long").alias("rank"), "cluster_id",
+                    F.col("attempt").cast("long").alias("attempt"), "est_tokens", "used_tokens",
+                    "tokens_before", "requests_before", "refused", "admitted")
+
+
+@register("token_totals", _with_themes("""
+SELECT product,
+       CAST(coalesce(sum(used_tokens) FILTER (WHERE final AND admitted AND outcome = 'theme'), 0) AS BIGINT) AS total_tokens,
+       CAST(coalesce(sum(used_tokens) FILTER (WHERE admitted), 0) AS BIGINT) AS admitted_tokens,
+       CAST(count(*) FILTER (WHERE admitted) AS BIGINT) AS requests,
+       CAST(count(*) FILTER (WHERE final AND admitted AND outcome = 'theme') AS BIGINT) AS themes
+FROM tadm GROUP BY product
+"""))
+def q_token_totals(spark, sf_dir):
+    """E10 + H7: tokens of finished themes and all admitted usage per run."""
+    _, _, _, _, resolved = theme_run(spark, sf_dir)
+    return themes.token_totals(themes.budget_gate(resolved, THEME_BUDGET))
+
+
+@register("theme_summaries", _with_themes("""
+SELECT a.product, row_number() OVER (PARTITION BY a.product ORDER BY a.rank) AS theme_rank, a.cluster_id,
+       'Theme ' || CAST(a.cluster_id AS VARCHAR) AS theme_name, k.size AS review_count, k.avg_rating,
+       CAST(CASE WHEN a.keep_quotes THEN (SELECT count(*) FROM tquotes q WHERE q.product = a.product
+             AND q.cluster_id = a.cluster_id AND q.attempt = a.attempt) ELSE 0 END AS INTEGER) AS n_quotes
+FROM tadm a JOIN ranked k USING (product, cluster_id)
+WHERE a.final AND a.admitted AND a.outcome = 'theme'
+"""))
+def q_theme_summaries(spark, sf_dir):
+    """F4 + H3 + H4: finished themes renumbered in cluster order, with counts copied from the cluster."""
+    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    t = themes.finished_themes(themes.budget_gate(resolved, THEME_BUDGET), ranked)
+    return t.select("product", F.col("theme_rank").cast("long").alias("theme_rank"), "cluster_id", "theme_name",
+                    "review_count", "avg_rating", F.size("quotes").alias("n_quotes"))

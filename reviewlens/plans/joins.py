@@ -18,12 +18,18 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                row_bytes: int = 256, max_bytes: int = DEFAULT_BROADCAST_BYTES,
+                row_bytes=256, max_bytes: int = DEFAULT_BROADCAST_BYTES,
                 salt_buckets: int = 32, salt_cols: list[str] | None = None) -> DataFrame:
-    """Join ``big`` to ``small`` on ``on`` (``how`` in inner / left / left_semi / left_anti)."""
+    """Join ``big`` to ``small`` on ``on`` (``how`` in inner / left / left_semi / left_anti).
+
+    ``row_bytes`` is a per-row size estimate: an int, or a Column expression
+    (e.g. from an array length) summed over the small side in the same pass
+    that materialises it.
+    """
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    if n * row_bytes <= max_bytes:
+    est = row_bytes if not isinstance(row_bytes, int) else F.lit(row_bytes)
+    total = small.agg(F.coalesce(F.sum(est.cast("long")), F.lit(0))).first()[0]
+    if total <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how, salt_buckets, salt_cols)
 
