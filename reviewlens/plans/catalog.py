@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid
-from reviewlens.operators import clusters, ids, ingest, summary, themes
+from reviewlens.functions import display
+from reviewlens.operators import clusters, explore, ids, ingest, summary, themes
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -467,3 +468,92 @@ def q_theme_summaries(spark, sf_dir):
     t = themes.finished_themes(themes.budget_gate(resolved, THEME_BUDGET), ranked)
     return t.select("product", F.col("theme_rank").cast("long").alias("theme_rank"), "cluster_id", "theme_name",
                     "review_count", "avg_rating", F.size("quotes").alias("n_quotes"))
+
+
+# -------------------------------------------------------------- explorer ----
+
+FEED = dict(stars=(1, 2), version="all", search="", sort="newest", page=2)
+SEARCH = dict(stars=(), version="src3", search=" ent", sort="helpful", page=1)
+CARD_COLS = ["sentiment", "action", "thumbs_label", "initial", "display_date", "needs_clamp",
+             "theme_tag", "theme_color"]
+
+
+def _page_sql(p: dict) -> str:
+    lo, hi = (p["page"] - 1) * 10, p["page"] * 10
+    return _with(f"""
+, f AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY {S.sort_sql(p['sort'])}) AS position
+        FROM clean WHERE {S.explore_filter_sql(p['stars'], p['version'], p['search'])})
+SELECT product, seq, rating, thumbs_up, position, {S.card_sql()}
+FROM f WHERE position > {lo} AND position <= {hi}
+""".replace("\n, f AS", ", f AS", 1))
+
+
+def _page(spark, sf_dir, p: dict):
+    out = explore.explore_page(clean(spark, sf_dir), p["stars"], p["version"], p["search"], p["sort"], p["page"])
+    return out.select("product", "seq", "rating", "thumbs_up", F.col("position").cast("long").alias("position"),
+                      *CARD_COLS)
+
+
+@register("explore_feed", _page_sql(FEED))
+def q_explore_feed(spark, sf_dir):
+    """B7 + F5 + F6: 1-2 star reviews, newest first, page 2 per product, with cards."""
+    return _page(spark, sf_dir, FEED)
+
+
+@register("explore_search", _page_sql(SEARCH))
+def q_explore_search(spark, sf_dir):
+    """B8 + B9 + F5 + F6: version filter and untrimmed keyword search, most helpful first."""
+    return _page(spark, sf_dir, SEARCH)
+
+
+@register("explore_counts", _with(f"""
+SELECT product, count(*) FILTER (WHERE {S.explore_filter_sql(SEARCH['stars'], SEARCH['version'], SEARCH['search'])}) AS filtered,
+       CAST(greatest(1, ceil(count(*) FILTER (WHERE {S.explore_filter_sql(SEARCH['stars'], SEARCH['version'], SEARCH['search'])}) / 10)) AS BIGINT) AS pages
+FROM clean GROUP BY product
+"""))
+def q_explore_counts(spark, sf_dir):
+    """Filtered count and page count per product."""
+    return explore.explore_counts(clean(spark, sf_dir), SEARCH["stars"], SEARCH["version"], SEARCH["search"])
+
+
+@register("explore_versions", _with("""
+SELECT DISTINCT product, app_version FROM clean WHERE coalesce(app_version, '') <> ''
+"""))
+def q_explore_versions(spark, sf_dir):
+    """Distinct non-empty versions per product (descending string order)."""
+    return explore.versions(clean(spark, sf_dir))
+
+
+@register("review_cards", _with(f"""
+SELECT product, seq, {S.card_sql()} FROM clean
+"""))
+def q_review_cards(spark, sf_dir):
+    """C12-C17 + C25 for every clean review."""
+    return explore.card_columns(clean(spark, sf_dir)).select("product", "seq", *CARD_COLS)
+
+
+@register("theme_tags", _with(f"""
+SELECT product, {S.theme_tag_sql()[0]} AS theme_tag, count(*) AS n FROM clean GROUP BY ALL
+"""))
+def q_theme_tags(spark, sf_dir):
+    """C25 + D5: first-match rule tag per review, counted per product and tag."""
+    name, _ = display.theme_tag()
+    return clean(spark, sf_dir).groupBy("product", name.alias("theme_tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("theme_share", _with_themes("""
+, th AS (
+  SELECT a.product, a.cluster_id, k.size AS review_count, k.avg_rating
+  FROM tadm a JOIN ranked k USING (product, cluster_id) WHERE a.final AND a.admitted AND a.outcome = 'theme'
+)
+SELECT product, cluster_id, review_count, CAST(sum(review_count) OVER (PARTITION BY product) AS BIGINT) AS reviews_in_themes,
+       round(review_count * 100.0 / sum(review_count) OVER (PARTITION BY product), 1) AS share_pct,
+       CASE WHEN avg_rating >= 3.5 THEN 'green' WHEN avg_rating >= 2.5 THEN 'amber' ELSE 'red' END AS rating_class
+FROM th
+""".replace("\n, th AS", ", th AS", 1)))
+def q_theme_share(spark, sf_dir):
+    """E11 + E12 + C18: share of each finished theme among reviews in the shown themes."""
+    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    t = themes.finished_themes(themes.budget_gate(resolved, THEME_BUDGET), ranked)
+    return explore.theme_share(t).select("product", "cluster_id", "review_count", "reviews_in_themes",
+                                         "share_pct", "rating_class")

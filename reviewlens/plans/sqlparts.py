@@ -70,3 +70,56 @@ clean AS (
          CAST({text_n} + {auth_n} AS INTEGER) AS redactions
   FROM deduped
 )"""
+
+
+def theme_tag_sql(text: str = "text", rating: str = "rating") -> tuple[str, str]:
+    from reviewlens.fixed_values import (FALLBACK_NEGATIVE, FALLBACK_NEUTRAL,
+                                         FALLBACK_POSITIVE, THEME_RULES)
+    name, color = "CASE", "CASE"
+    for _, rname, rcolor, lo, hi, pattern in sorted(THEME_RULES, key=lambda x: x[0]):
+        cond = f"coalesce(regexp_matches({text}, {q(pattern)}, 'i'), false)"
+        if lo is not None:
+            cond += f" AND {rating} >= {lo}"
+        if hi is not None:
+            cond += f" AND {rating} <= {hi}"
+        name += f" WHEN {cond} THEN {q(rname)}"
+        color += f" WHEN {cond} THEN {q(rcolor)}"
+    for i, out in ((0, "name"), (1, "color")):
+        fb = (f" WHEN {rating} >= 4 THEN {q(FALLBACK_POSITIVE[i])} WHEN {rating} <= 2 THEN {q(FALLBACK_NEGATIVE[i])}"
+              f" ELSE {q(FALLBACK_NEUTRAL[i])} END")
+        if out == "name":
+            name += fb
+        else:
+            color += fb
+    return name, color
+
+
+def card_sql() -> str:
+    name, color = theme_tag_sql()
+    return (f"CASE WHEN rating >= 4 THEN 'pos' WHEN rating <= 2 THEN 'neg' ELSE 'neu' END AS sentiment, "
+            f"CASE WHEN rating >= 4 THEN 'Thank User' WHEN rating <= 2 THEN 'Escalate' ELSE 'Reply' END AS action, "
+            f"CASE WHEN thumbs_up >= 1000 THEN CAST(round(thumbs_up / 1000.0, 1) AS VARCHAR) || 'K' "
+            f"ELSE CAST(thumbs_up AS VARCHAR) END AS thumbs_label, "
+            f"upper(substring(coalesce(nullif(author, ''), '?'), 1, 1)) AS initial, "
+            f"coalesce(strftime({ts()}, '%-d %b %Y'), 'Invalid Date') AS display_date, "
+            f"length(text) > 200 AS needs_clamp, {name} AS theme_tag, {color} AS theme_color")
+
+
+def explore_filter_sql(stars=(), version="all", search="") -> str:
+    cond = ["true"]
+    if stars:
+        cond.append(f"rating IN ({', '.join(str(s) for s in sorted(set(stars)))})")
+    if version != "all":
+        cond.append(f"coalesce(app_version = {q(version)}, false)")
+    if search.strip():
+        s = q(search.lower())
+        cond.append(f"(coalesce(contains(lower(text), {s}), false) OR coalesce(contains(lower(author), {s}), false))")
+    return " AND ".join(cond)
+
+
+def sort_sql(sort: str = "helpful") -> str:
+    if sort == "helpful":
+        return "thumbs_up DESC NULLS LAST, seq"
+    if sort == "newest":
+        return f"{ts()} DESC NULLS LAST, seq"
+    return f"{ts()} ASC NULLS LAST, seq"
