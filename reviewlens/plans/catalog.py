@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid
 from reviewlens.functions import display
-from reviewlens.operators import clusters, explore, ids, ingest, summary, themes
+from reviewlens.operators import clusters, explore, ids, ingest, language, summary, themes
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -557,3 +557,67 @@ def q_theme_share(spark, sf_dir):
     t = themes.finished_themes(themes.budget_gate(resolved, THEME_BUDGET), ranked)
     return explore.theme_share(t).select("product", "cluster_id", "review_count", "reviews_in_themes",
                                          "share_pct", "rating_class")
+
+
+# -------------------------------------------------------------- language ----
+
+LANG_TOP_K = language.TOP_K
+
+LANG_CTES = f"""
+, lchars AS (SELECT lang, string_split(lower(text), '') AS c FROM documents WHERE lang IS NOT NULL),
+ltrain AS (
+  SELECT lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM lchars
+),
+lcounts AS (SELECT lang, gram, count(*) AS c FROM ltrain GROUP BY ALL),
+lvocab AS (SELECT count(DISTINCT gram) AS v FROM lcounts),
+ltotals AS (SELECT lang, sum(c) AS n FROM lcounts GROUP BY lang),
+lprofile AS (
+  SELECT lang, gram, ln(c + 1) AS weight FROM lcounts
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) <= {LANG_TOP_K}
+  UNION ALL
+  SELECT lang, '' AS gram, ln(n + (SELECT v FROM lvocab)) AS weight FROM ltotals
+),
+ldchars AS (SELECT seq, string_split(lower(text), '') AS c FROM reviews),
+ldocs AS (
+  SELECT seq, list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) AS g FROM ldchars
+),
+lrows AS (
+  SELECT seq, unnest(g) AS gram, 1 AS mult FROM ldocs
+  UNION ALL SELECT seq, '' AS gram, len(g) AS mult FROM ldocs
+),
+lscores AS (
+  SELECT r.seq, p.lang, sum(CASE WHEN r.gram = '' THEN -r.mult * p.weight ELSE p.weight END) AS score,
+         max(CASE WHEN r.gram = '' THEN r.mult END) AS n
+  FROM lrows r JOIN lprofile p USING (gram) GROUP BY ALL
+),
+lbest AS (
+  SELECT seq, CASE WHEN n > 0 THEN lang END AS lang_pred FROM lscores
+  QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, lang) = 1
+),
+detected AS (SELECT r.*, b.lang_pred FROM reviews r LEFT JOIN lbest b USING (seq))"""
+
+
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with a predicted language from a model trained on the labelled documents."""
+    from reviewlens.sources.tables import read_table
+    profile = language.train_profile(read_table(spark, sf_dir, "documents"))
+    return language.detect(review_view(spark, sf_dir), profile)
+
+
+@register("language_id", _with(LANG_CTES + """
+SELECT product, seq, lang, lang_pred, coalesce(lang = lang_pred, false) AS correct FROM detected
+"""))
+def q_language_id(spark, sf_dir):
+    """Trigram naive Bayes language of every review text (whole texts)."""
+    d = detected(spark, sf_dir)
+    return d.select("product", "seq", "lang", "lang_pred",
+                    F.coalesce(F.col("lang") == F.col("lang_pred"), F.lit(False)).alias("correct"))
+
+
+@register("ingest_quality_detected", _with(LANG_CTES + f"""
+SELECT product, coalesce({S.reject_reason(lang='lang_pred')}, 'accepted') AS reason, count(*) AS n
+FROM detected GROUP BY ALL
+"""))
+def q_ingest_quality_detected(spark, sf_dir):
+    """B4 + B5 with the detector: first failing test per review, language from G0."""
+    return ingest.reject_counts(detected(spark, sf_dir), lang="lang_pred")
