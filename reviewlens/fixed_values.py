@@ -86,3 +86,25 @@ MAIL_DONE = "drafted"
 PENDING = "pending"
 FAILED = "failed"
 DRY_RUN = "dry_run"
+
+# --- report text (I1, I2): line formats -------------------------------------
+REPORT_HEADING = "{product} — Weekly Review Digest ({week})\n\n"
+REPORT_PERIOD = "Period: {weeks} weeks ending {week}\n\n"
+REPORT_THEME_LINE = "{rank}. {name} ({count} reviews, Avg Rating: {avg})\n   {description}\n\n"
+REPORT_QUOTES_HEADER = "   Real User Quotes:\n"
+REPORT_QUOTE_LINE = '   > "{text}" ({rating}/5)\n'
+REPORT_ACTIONS_HEADER = "   Action Ideas:\n"
+REPORT_ACTION_LINE = "   - {title}: {detail}\n"
+REPORT_END = "---\n\n"
+MISSING_THEME_TEXT = "Unknown Theme"
+MISSING_THEME_PAYLOAD = "Unknown"
+MISSING_QUOTE_RATING_TEXT = "?"
+EMAIL_SUBJECT = "{product} Review Digest — {week}"
+EMAIL_GREETING = "Hi Team,\n"
+EMAIL_INTRO = "Here are the top themes from our {product} user reviews for {week}:\n"
+EMAIL_THEME_LINE = "- {name} ({count} reviews)"
+EMAIL_LINK_LINE = "\nRead full report → {link}"
+EMAIL_HTML_GREETING = "<p>Hi Team,</p>"
+EMAIL_HTML_INTRO = "<p>Here are the top themes from our {product} user reviews for <strong>{week}</strong>:</p>"
+EMAIL_HTML_THEME = "  <li><strong>{name}</strong> ({count} reviews)</li>"
+EMAIL_HTML_LINK = '<p><a href="{link}">Read full report &rarr;</a></p>'

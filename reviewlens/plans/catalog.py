@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid
 from reviewlens.functions import display
-from reviewlens.operators import clusters, explore, ids, ingest, language, summary, themes
+from reviewlens import fixed_values as V
+from reviewlens.operators import clusters, explore, ids, ingest, language, render, summary, themes
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -621,3 +622,128 @@ FROM detected GROUP BY ALL
 def q_ingest_quality_detected(spark, sf_dir):
     """B4 + B5 with the detector: first failing test per review, language from G0."""
     return ingest.reject_counts(detected(spark, sf_dir), lang="lang_pred")
+
+
+# ------------------------------------------------------------- rendering ----
+
+def _doc_id_col():
+    # One product has no document id, so both URL defaults (C21) are exercised.
+    return F.when(F.col("product") == "view", F.lit("")).otherwise(F.concat(F.lit("d_"), F.col("product")))
+
+
+_DOC_ID_SQL = "CASE WHEN product = 'view' THEN '' ELSE 'd_' || product END"
+_WK = S.q(RUN_WEEK)
+
+
+def finished(spark, sf_dir):
+    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    gated = themes.budget_gate(resolved, THEME_BUDGET)
+    return themes.finished_themes(gated, ranked), gated
+
+
+RENDER_CTES = THEME_CTES + f""",
+th AS (
+  SELECT a.product, a.cluster_id, a.attempt, a.keep_quotes, k.size AS review_count, k.avg_rating,
+         row_number() OVER (PARTITION BY a.product ORDER BY a.rank) AS theme_rank
+  FROM tadm a JOIN ranked k USING (product, cluster_id) WHERE a.final AND a.admitted AND a.outcome = 'theme'
+),
+thq AS (
+  SELECT t.product, t.cluster_id,
+         string_agg({S.fmt(V.REPORT_QUOTE_LINE, text='q.q_text', rating=f"coalesce(CAST(q.q_rating AS VARCHAR), {S.q(V.MISSING_QUOTE_RATING_TEXT)})")}, '' ORDER BY q.qidx) AS qlines
+  FROM th t JOIN tquotes q ON q.product = t.product AND q.cluster_id = t.cluster_id AND q.attempt = t.attempt
+  WHERE t.keep_quotes GROUP BY ALL
+),
+tblock AS (
+  SELECT t.product, t.cluster_id, t.theme_rank, t.review_count,
+         'Theme ' || CAST(t.cluster_id AS VARCHAR) AS theme_name,
+         {S.fmt(V.REPORT_THEME_LINE, rank='t.theme_rank', name="'Theme ' || CAST(t.cluster_id AS VARCHAR)",
+                count='t.review_count', avg='CAST(t.avg_rating AS DOUBLE)',
+                description="'Cluster of ' || CAST(t.review_count AS VARCHAR) || ' reviews'")}
+         || CASE WHEN q.qlines IS NOT NULL THEN {S.q(V.REPORT_QUOTES_HEADER)} || q.qlines || chr(10) ELSE '' END
+         || {S.q(V.REPORT_ACTIONS_HEADER)}
+         || {S.fmt(V.REPORT_ACTION_LINE, title="'Look into cluster ' || CAST(t.cluster_id AS VARCHAR)", detail="'Read the representative reviews.'")}
+         || chr(10) AS block
+  FROM th t LEFT JOIN thq q USING (product, cluster_id)
+)"""
+
+
+def _with_render(body: str) -> str:
+    return _with(RENDER_CTES + "\n" + body)
+
+
+@register("report_text", _with_render(f"""
+SELECT product, {S.fmt(V.REPORT_HEADING, product='product', week=_WK)} || {S.fmt(V.REPORT_PERIOD, weeks=str(WINDOW_WEEKS), week=_WK)}
+       || string_agg(block, '' ORDER BY theme_rank) || {S.q(V.REPORT_END)} AS report
+FROM tblock GROUP BY product
+"""))
+def q_report_text(spark, sf_dir):
+    """I1 + E14 + F4: report section per product run."""
+    t, _ = finished(spark, sf_dir)
+    n = render.nest_themes(t)
+    return n.select("product", render.report_text(n, F.lit(RUN_WEEK), WINDOW_WEEKS).alias("report"))
+
+
+_LINK_SQL = f"CASE WHEN {_DOC_ID_SQL} <> '' THEN {S.q(V.DOC_URL_PREFIX)} || {_DOC_ID_SQL} ELSE {S.q(V.DOC_SITE_ROOT)} END"
+
+
+@register("email_payload", _with_render(f"""
+SELECT product, {S.fmt(V.EMAIL_SUBJECT, product='product', week=_WK)} AS subject,
+       {S.q(V.EMAIL_GREETING)} || chr(10) || {S.fmt(V.EMAIL_INTRO, product='product', week=_WK)} || chr(10)
+         || string_agg({S.fmt(V.EMAIL_THEME_LINE, name='theme_name', count='review_count')}, chr(10) ORDER BY theme_rank)
+         || chr(10) || {S.fmt(V.EMAIL_LINK_LINE, link=_LINK_SQL)} AS text_body,
+       {S.q(V.EMAIL_HTML_GREETING)} || chr(10) || {S.fmt(V.EMAIL_HTML_INTRO, product='product', week=_WK)} || chr(10) || '<ul>' || chr(10)
+         || string_agg({S.fmt(V.EMAIL_HTML_THEME, name='theme_name', count='review_count')}, chr(10) ORDER BY theme_rank)
+         || chr(10) || '</ul>' || chr(10) || {S.fmt(V.EMAIL_HTML_LINK, link=_LINK_SQL)} AS html_body,
+       {_LINK_SQL} AS doc_link
+FROM tblock GROUP BY product
+"""))
+def q_email_payload(spark, sf_dir):
+    """I2 + C21: e-mail subject, text and HTML bodies and link per product run."""
+    t, _ = finished(spark, sf_dir)
+    n = render.nest_themes(t)
+    return n.select("product", *render.email_columns(F.lit(RUN_WEEK), _doc_id_col()))
+
+
+@register("dashboard_payload", _with_render(f"""
+, tt AS (
+  SELECT product, CAST(coalesce(sum(used_tokens) FILTER (WHERE final AND admitted AND outcome = 'theme'), 0) AS BIGINT) AS llm_tokens_used
+  FROM tadm GROUP BY product
+),
+ws AS (
+  SELECT product, count(*) AS reviews_ingested, coalesce(round_even(avg(rating), 1), 0.0) AS avg_rating,
+         CAST(round_even(100.0 * count(*) FILTER (WHERE rating = 5) / greatest(count(*), 1), 0) AS INTEGER) AS pct_5,
+         CAST(round_even(100.0 * count(*) FILTER (WHERE rating = 1) / greatest(count(*), 1), 0) AS INTEGER) AS pct_1
+  FROM clean GROUP BY product
+),
+nt AS (SELECT product, count(*) AS n_themes, CAST(sum(review_count) AS BIGINT) AS reviews_in_themes FROM tblock GROUP BY product)
+SELECT ws.product, {_WK} AS iso_week, {WINDOW_WEEKS} AS window_weeks, ws.reviews_ingested, ws.avg_rating, ws.pct_5, ws.pct_1,
+       coalesce(nt.n_themes, 0) AS n_themes, coalesce(nt.reviews_in_themes, 0) AS reviews_in_themes,
+       coalesce(tt.llm_tokens_used, 0) AS llm_tokens_used, 100000 AS llm_tokens_limit,
+       least(100.0, coalesce(tt.llm_tokens_used, 0) / 100000 * 100) AS budget_use_pct,
+       'dry_run' AS doc_status, 'Dry Run' AS doc_status_label,
+       CASE WHEN {_DOC_ID_SQL.replace('product', 'ws.product')} <> '' THEN {S.q(V.DOC_URL_PREFIX)} || {_DOC_ID_SQL.replace('product', 'ws.product')} ELSE '' END AS doc_url,
+       {_WK} AS run_id, {S.q(AS_OF)} AS run_timestamp
+FROM ws LEFT JOIN nt USING (product) LEFT JOIN tt USING (product)
+""".replace("\n, tt AS", ", tt AS", 1)))
+def q_dashboard_payload(spark, sf_dir):
+    """I3 + E5 + E6 + E10 + C21-C24: dashboard row per product run (scalar fields)."""
+    t, gated = finished(spark, sf_dir)
+    n = render.nest_themes(t).select(
+        "product", F.size("themes").cast("long").alias("n_themes"),
+        F.aggregate(render.payload_themes(F.col("themes")), F.lit(0).cast("long"),
+                    lambda a, x: a + x["review_count"]).alias("reviews_in_themes"))
+    tt = themes.token_totals(gated).select("product", F.col("total_tokens").alias("llm_tokens_used"))
+    ws = summary.weekly_summary(clean(spark, sf_dir), RUN_WEEK).select(
+        "product", F.col("reviews").alias("reviews_ingested"), "avg_rating", "pct_5", "pct_1")
+    out = ws.join(n, "product", "left").join(tt, "product", "left")
+    used = F.coalesce(F.col("llm_tokens_used"), F.lit(0).cast("long"))
+    return out.select(
+        "product", F.lit(RUN_WEEK).alias("iso_week"), F.lit(WINDOW_WEEKS).alias("window_weeks"),
+        "reviews_ingested", "avg_rating", "pct_5", "pct_1",
+        F.coalesce(F.col("n_themes"), F.lit(0).cast("long")).alias("n_themes"),
+        F.coalesce(F.col("reviews_in_themes"), F.lit(0).cast("long")).alias("reviews_in_themes"),
+        used.alias("llm_tokens_used"), F.lit(V.TOKEN_BUDGET_CAP).alias("llm_tokens_limit"),
+        display.budget_use_pct(used).alias("budget_use_pct"),
+        F.lit(V.DRY_RUN).alias("doc_status"), display.status_label(F.lit(V.DRY_RUN)).alias("doc_status_label"),
+        display.doc_url(_doc_id_col()).alias("doc_url"),
+        F.lit(RUN_WEEK).alias("run_id"), F.lit(AS_OF).alias("run_timestamp"))

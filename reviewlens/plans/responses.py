@@ -66,10 +66,10 @@ tatt AS (
 tquotes AS (
   SELECT product, cluster_id, attempt, 0 AS qidx,
          CASE WHEN kind = 1 THEN reverse(q1) WHEN kind = 3 THEN '' ELSE q1 END AS q_text,
-         CASE WHEN kind = 2 THEN 'doc_x' ELSE d1 END AS q_doc_id
+         CASE WHEN kind = 2 THEN 'doc_x' ELSE d1 END AS q_doc_id, g1 AS q_rating
   FROM tatt WHERE parse_ok
   UNION ALL
-  SELECT product, cluster_id, attempt, 1 AS qidx, q2, d2 FROM tatt WHERE parse_ok AND d2 IS NOT NULL
+  SELECT product, cluster_id, attempt, 1 AS qidx, q2, d2, g2 FROM tatt WHERE parse_ok AND d2 IS NOT NULL
 ),
 tverdict AS (
   SELECT q.*, CASE WHEN r.text IS NULL THEN 'unknown_doc'

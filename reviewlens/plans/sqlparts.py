@@ -123,3 +123,17 @@ def sort_sql(sort: str = "helpful") -> str:
     if sort == "newest":
         return f"{ts()} DESC NULLS LAST, seq"
     return f"{ts()} ASC NULLS LAST, seq"
+
+
+def fmt(template: str, **exprs: str) -> str:
+    """SQL twin of ``render.fmt``: literal parts quoted, fields cast to text."""
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(q(template[pos:m.start()]))
+        parts.append(f"CAST({exprs[m.group(1)]} AS VARCHAR)")
+        pos = m.end()
+    if pos < len(template):
+        parts.append(q(template[pos:]))
+    return "(" + " || ".join(parts) + ")"
