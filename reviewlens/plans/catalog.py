@@ -17,7 +17,8 @@ from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid
 from reviewlens.functions import display
 from reviewlens import fixed_values as V
-from reviewlens.operators import clusters, explore, ids, ingest, language, render, summary, themes
+from reviewlens.operators import (clusters, explore, ids, ingest, language, receipts, render,
+                                 summary, themes)
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -747,3 +748,113 @@ def q_dashboard_payload(spark, sf_dir):
         F.lit(V.DRY_RUN).alias("doc_status"), display.status_label(F.lit(V.DRY_RUN)).alias("doc_status_label"),
         display.doc_url(_doc_id_col()).alias("doc_url"),
         F.lit(RUN_WEEK).alias("run_id"), F.lit(AS_OF).alias("run_timestamp"))
+
+
+# -------------------------------------------------------------- receipts ----
+
+def receipt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored receipt versions derived from the runs in the data.
+
+    Every (product, ISO week) with clean reviews had a run: version 1 is the
+    first write (both steps pending); version 2 records delivery by week
+    number mod 3 (0: nothing, 1: doc appended and mail failed, 2: both done);
+    weeks divisible by 5 end with a broken version 3 (no timestamp).
+    """
+    c = clean(spark, sf_dir).withColumn("iso_week", iso_week_label(F.try_to_timestamp("timestamp")))
+    runs = (c.filter(F.col("iso_week").isNotNull()).groupBy("product", "iso_week")
+            .agg(F.count(F.lit(1)).alias("reviews_ingested")))
+    wk = F.substring("iso_week", 7, 2).cast("int")
+    v = runs.withColumn("version", F.explode(
+        F.when(wk % 5 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2)))))
+    doc = F.when(F.col("version") == 1, F.lit("pending")).when(wk % 3 == 0, F.lit("pending")).otherwise(F.lit("appended"))
+    mail = (F.when(F.col("version") == 1, F.lit("pending")).when(wk % 3 == 0, F.lit("pending"))
+            .when(wk % 3 == 1, F.lit("failed")).otherwise(F.lit("drafted")))
+    return v.select(
+        render.idempotency_key().alias("idempotency_key"), F.col("version").cast("long").alias("version"),
+        F.when(F.col("version") < 3, F.concat(F.col("iso_week"), F.lit("T00:00:00+00:00"))).alias("run_timestamp"),
+        F.col("reviews_ingested").cast("long").alias("reviews_ingested"),
+        F.lit(0).cast("long").alias("clusters_found"), F.lit(0).cast("long").alias("themes_generated"),
+        doc.alias("doc_status"), F.when(doc == "appended", F.concat(F.lit("d_"), F.col("product"))).alias("doc_id"),
+        mail.alias("gmail_status"), F.when(mail == "drafted", F.concat(F.lit("m_"), F.col("iso_week"))).alias("draft_id"))
+
+
+RECEIPT_CTES = f"""
+, rruns AS (
+  SELECT product, {S.iso_week(S.ts())} AS iso_week, count(*) AS reviews_ingested
+  FROM clean WHERE {S.ts()} IS NOT NULL GROUP BY ALL
+),
+rver AS (
+  SELECT r.*, v.version, CAST(substr(iso_week, 7, 2) AS INTEGER) AS wk
+  FROM rruns r, range(1, 4) v(version)
+  WHERE v.version < 3 OR CAST(substr(iso_week, 7, 2) AS INTEGER) % 5 = 0
+),
+rst AS (
+  SELECT *, CASE WHEN version = 1 OR wk % 3 = 0 THEN 'pending' ELSE 'appended' END AS doc_status,
+            CASE WHEN version = 1 OR wk % 3 = 0 THEN 'pending' WHEN wk % 3 = 1 THEN 'failed' ELSE 'drafted' END AS gmail_status
+  FROM rver
+),
+versions AS (
+  SELECT lower(product) || ':' || iso_week AS idempotency_key, CAST(version AS BIGINT) AS version,
+         CASE WHEN version < 3 THEN iso_week || 'T00:00:00+00:00' END AS run_timestamp,
+         CAST(reviews_ingested AS BIGINT) AS reviews_ingested, CAST(0 AS BIGINT) AS clusters_found,
+         CAST(0 AS BIGINT) AS themes_generated, doc_status,
+         CASE WHEN doc_status = 'appended' THEN 'd_' || product END AS doc_id, gmail_status,
+         CASE WHEN gmail_status = 'drafted' THEN 'm_' || iso_week END AS draft_id
+  FROM rst
+),
+current AS (
+  SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY version DESC) = 1
+),
+current_ok AS (SELECT * FROM current WHERE idempotency_key IS NOT NULL AND run_timestamp IS NOT NULL)"""
+
+
+def _with_receipts(body: str) -> str:
+    return _with(RECEIPT_CTES.replace("\n, rruns", ", rruns", 1) + "\n" + body)
+
+
+@register("receipts_latest", _with_receipts("""
+SELECT idempotency_key, version, run_timestamp, reviews_ingested, doc_status, doc_id, gmail_status, draft_id
+FROM current_ok
+"""))
+def q_receipts_latest(spark, sf_dir):
+    """J1 + J2: latest receipt version per key; a broken latest version means no receipt."""
+    cur = receipts.latest(receipt_versions(spark, sf_dir))
+    return cur.select("idempotency_key", "version", "run_timestamp", "reviews_ingested", "doc_status", "doc_id",
+                      "gmail_status", "draft_id")
+
+
+@register("receipts_insert", _with_receipts(f"""
+, newruns AS (
+  SELECT lower(product) || ':' || {_WK} AS idempotency_key, count(*) AS reviews_ingested FROM clean GROUP BY product
+)
+SELECT n.idempotency_key, CAST(1 AS BIGINT) AS version, CAST(n.reviews_ingested AS BIGINT) AS reviews_ingested
+FROM newruns n WHERE n.idempotency_key NOT IN (SELECT idempotency_key FROM current_ok)
+""".replace("\n, newruns", ", newruns", 1)))
+def q_receipts_insert(spark, sf_dir):
+    """J3 + C20: this week's receipts appended only for keys without a current receipt."""
+    new = (clean(spark, sf_dir).groupBy("product").agg(F.count(F.lit(1)).cast("long").alias("reviews_ingested"))
+           .withColumn("iso_week", F.lit(RUN_WEEK))
+           .select(render.idempotency_key().alias("idempotency_key"), "reviews_ingested"))
+    out = receipts.insert_if_absent(receipt_versions(spark, sf_dir), new)
+    return out.select("idempotency_key", "version", "reviews_ingested")
+
+
+@register("delivery_outbox", _with_receipts("""
+SELECT idempotency_key, 'google_doc' AS channel, 1 AS step, CAST(NULL AS VARCHAR) AS depends_on, doc_status, gmail_status
+FROM current_ok WHERE doc_status <> 'appended'
+UNION ALL
+SELECT idempotency_key, 'gmail' AS channel, 2 AS step,
+       CASE WHEN doc_status <> 'appended' THEN 'google_doc' END AS depends_on, doc_status, gmail_status
+FROM current_ok WHERE gmail_status <> 'drafted'
+"""))
+def q_delivery_outbox(spark, sf_dir):
+    """J4 + B12: delivery steps still to do; delivered steps are skipped."""
+    return receipts.delivery_outbox(receipts.latest(receipt_versions(spark, sf_dir)))
+
+
+@register("receipt_status", _with_receipts("""
+SELECT idempotency_key, doc_status, gmail_status FROM current_ok
+"""))
+def q_receipt_status(spark, sf_dir):
+    """J5 + J6: key and both delivery statuses, sorted by key."""
+    return receipts.status_all(receipts.latest(receipt_versions(spark, sf_dir)))
