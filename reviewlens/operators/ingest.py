@@ -130,14 +130,17 @@ def stage_counts(reviews: DataFrame, as_of, window_weeks: int = DEFAULT_WINDOW_W
     Keep-first dedup keeps exactly one row per distinct id, so the dedup count
     is a distinct count over the rows that passed gate and window.
     """
-    accepted = reject_reason("text", lang).isNull()
-    windowed = accepted & in_window(as_of, window_weeks)
-    return reviews.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("landed"),
-        F.count_if(accepted).alias("accepted"),
-        F.count_if(windowed).alias("in_window"),
-        F.count_distinct(F.when(windowed, F.col("review_id"))).alias("deduplicated"),
-    )
+    # Flags are computed once per row in a projection (the gate runs regexes).
+    flags = reviews.select(*by, "review_id", reject_reason("text", lang).isNull().alias("__acc"),
+                           in_window(as_of, window_weeks).alias("__win"))
+    flags = flags.withColumn("__win", F.col("__acc") & F.col("__win"))
+    per_id = flags.groupBy(*by, "review_id").agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if("__acc").alias("__a"), F.count_if("__win").alias("__w"))
+    # Two-level aggregation: per (group, id) first, so the distinct count of
+    # surviving ids is a plain count; both levels combine map-side.
+    return per_id.groupBy(*by).agg(
+        F.sum("__n").alias("landed"), F.sum("__a").alias("accepted"), F.sum("__w").alias("in_window"),
+        F.count_if(F.col("__w") > 0).alias("deduplicated"))
 
 
 def reject_counts(reviews: DataFrame, lang: str = "lang", by: tuple[str, ...] = ("product",)) -> DataFrame:

@@ -3,8 +3,8 @@
 Training and scoring are Spark aggregations and joins over whole texts:
 
 * training: every trigram of ``lower(text)`` is counted per language; the
-  model keeps the ``top_k`` most frequent trigrams of each language (a fixed
-  bound of ``top_k`` rows per language) with weight ``ln(count + 1)``, plus one
+  model keeps the ``top_k`` most frequent trigrams of each language (ties by
+  trigram key; a fixed bound of ``top_k`` rows per language) with weight ``ln(count + 1)``, plus one
   normaliser row per language with ``ln(N_lang + V)`` (add-one smoothing,
   ``V`` = distinct trigrams seen in training);
 * scoring: the trigrams of each text are exploded, matched against the model
@@ -25,22 +25,24 @@ from pyspark.sql import functions as F
 from reviewlens.plans.joins import lookup_join
 
 TOP_K = 5000
-NORMALISER = ""  # the empty string is never a trigram, so it marks the per-language row
+NORMALISER = -1  # no trigram key is negative, so -1 marks the per-language row
 
 
 def with_trigrams(df: DataFrame, text_col: str = "text", out: str = "__g") -> DataFrame:
-    """Add ``out`` = all overlapping trigrams of ``lower(text)`` in O(length).
+    """Add ``out`` = all overlapping trigrams of ``lower(text)`` as exact long keys.
 
-    The text is split into code points once, then three shifted slices are
-    zipped; a per-position ``substring`` (or an outer array referenced inside a
-    per-element lambda) would make every text quadratic in its length.
+    A trigram of code points (a, b, c) is encoded as ``a<<42 | b<<21 | c``
+    (code points fit in 21 bits), so counting and matching run on longs. The
+    text is split into code points once and three shifted slices are zipped,
+    which keeps every text linear in its length (a per-position ``substring``,
+    or an outer array referenced inside a per-element lambda, is quadratic).
     """
-    d = df.withColumn("__chars", F.split(F.lower(F.col(text_col)), ""))
-    c = F.col("__chars")
+    d = df.withColumn("__cp", F.transform(F.split(F.lower(F.col(text_col)), ""), lambda ch: F.ascii(ch).cast("long")))
+    c = F.col("__cp")
     m = F.greatest(F.size(c) - 2, F.lit(0))
-    pairs = F.zip_with(F.slice(c, 1, m), F.slice(c, 2, m), lambda x, y: F.concat(x, y))
-    grams = F.zip_with(pairs, F.slice(c, 3, m), lambda x, y: F.concat(x, y))
-    return d.withColumn(out, grams).drop("__chars")
+    pairs = F.zip_with(F.slice(c, 1, m), F.slice(c, 2, m), lambda x, y: F.shiftleft(x, 21) + y)
+    grams = F.zip_with(pairs, F.slice(c, 3, m), lambda x, y: F.shiftleft(x, 21) + y)
+    return d.withColumn(out, grams).drop("__cp")
 
 
 def train_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -54,7 +56,7 @@ def train_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     w = Window.partitionBy("lang").orderBy(F.col("c").desc(), F.col("gram").asc())
     top = (counts.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= top_k)
            .select("lang", "gram", F.log(F.col("c") + 1).alias("weight")))
-    norm = totals.select("lang", F.lit(NORMALISER).alias("gram"),
+    norm = totals.select("lang", F.lit(NORMALISER).cast("long").alias("gram"),
                          F.log(F.col("n") + vocab.scalar()).alias("weight"))
     return top.unionByName(norm)
 
@@ -65,9 +67,9 @@ def detect(df: DataFrame, profile: DataFrame, key: str = "seq", text_col: str =
     docs = with_trigrams(df.select(key, text_col), text_col)
     occ = docs.select(key, F.explode("__g").alias("gram"), F.lit(1).alias("__mult"))
     # one normaliser row per text carries its trigram count
-    norm = docs.select(key, F.lit(NORMALISER).alias("gram"), F.size("__g").alias("__mult"))
+    norm = docs.select(key, F.lit(NORMALISER).cast("long").alias("gram"), F.size("__g").alias("__mult"))
     rows = occ.unionByName(norm)
-    j = lookup_join(rows, profile, ["gram"], "inner", row_bytes=F.lit(96))
+    j = lookup_join(rows, profile, ["gram"], "inner", row_bytes=F.lit(48))
     contrib = F.when(F.col("gram") == NORMALISER, -F.col("__mult") * F.col("weight")).otherwise(F.col("weight"))
     scores = j.groupBy(key, "lang").agg(F.sum(contrib).alias("score"),
                                         F.max(F.when(F.col("gram") == NORMALISER, F.col("__mult"))).alias("__n"))

@@ -566,9 +566,13 @@ def q_theme_share(spark, sf_dir):
 LANG_TOP_K = language.TOP_K
 
 LANG_CTES = f"""
-, lchars AS (SELECT lang, string_split(lower(text), '') AS c FROM documents WHERE lang IS NOT NULL),
+, lchars AS (
+  SELECT lang, list_transform(string_split(lower(text), ''), lambda ch: CAST(unicode(ch) AS BIGINT)) AS c
+  FROM documents WHERE lang IS NOT NULL
+),
 ltrain AS (
-  SELECT lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM lchars
+  SELECT lang, unnest(list_transform(range(1, len(c) - 1),
+                lambda i: c[i] * 4398046511104 + c[i + 1] * 2097152 + c[i + 2])) AS gram FROM lchars
 ),
 lcounts AS (SELECT lang, gram, count(*) AS c FROM ltrain GROUP BY ALL),
 lvocab AS (SELECT count(DISTINCT gram) AS v FROM lcounts),
@@ -577,19 +581,20 @@ lprofile AS (
   SELECT lang, gram, ln(c + 1) AS weight FROM lcounts
   QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) <= {LANG_TOP_K}
   UNION ALL
-  SELECT lang, '' AS gram, ln(n + (SELECT v FROM lvocab)) AS weight FROM ltotals
+  SELECT lang, CAST(-1 AS BIGINT) AS gram, ln(n + (SELECT v FROM lvocab)) AS weight FROM ltotals
 ),
-ldchars AS (SELECT seq, string_split(lower(text), '') AS c FROM reviews),
+ldchars AS (SELECT seq, list_transform(string_split(lower(text), ''), lambda ch: CAST(unicode(ch) AS BIGINT)) AS c FROM reviews),
 ldocs AS (
-  SELECT seq, list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) AS g FROM ldchars
+  SELECT seq, list_transform(range(1, len(c) - 1), lambda i: c[i] * 4398046511104 + c[i + 1] * 2097152 + c[i + 2]) AS g
+  FROM ldchars
 ),
 lrows AS (
   SELECT seq, unnest(g) AS gram, 1 AS mult FROM ldocs
-  UNION ALL SELECT seq, '' AS gram, len(g) AS mult FROM ldocs
+  UNION ALL SELECT seq, CAST(-1 AS BIGINT) AS gram, len(g) AS mult FROM ldocs
 ),
 lscores AS (
-  SELECT r.seq, p.lang, sum(CASE WHEN r.gram = '' THEN -r.mult * p.weight ELSE p.weight END) AS score,
-         max(CASE WHEN r.gram = '' THEN r.mult END) AS n
+  SELECT r.seq, p.lang, sum(CASE WHEN r.gram = -1 THEN -r.mult * p.weight ELSE p.weight END) AS score,
+         max(CASE WHEN r.gram = -1 THEN r.mult END) AS n
   FROM lrows r JOIN lprofile p USING (gram) GROUP BY ALL
 ),
 lbest AS (
@@ -601,8 +606,8 @@ detected AS (SELECT r.*, b.lang_pred FROM reviews r LEFT JOIN lbest b USING (seq
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with a predicted language from a model trained on the labelled documents."""
-    from reviewlens.sources.tables import read_table
-    profile = language.train_profile(read_table(spark, sf_dir, "documents"))
+    from reviewlens.sources.tables import read_text_table
+    profile = language.train_profile(read_text_table(spark, sf_dir, "documents"))
     return language.detect(review_view(spark, sf_dir), profile)
 
 

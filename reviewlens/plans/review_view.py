@@ -21,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.sources.tables import read_table
+from reviewlens.sources.tables import read_table, read_text_table
 
 DUPLICATE_SEQ_OFFSET = 1_000_000_000
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def review_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = read_text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     j = docs.join(events, docs.doc_id == events.event_id, "inner")
     shifted = F.col("ts") + F.make_dt_interval(days=(F.col("doc_id") % 17 * 7).cast("int"))

@@ -20,3 +20,21 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register the tables as temp views for SQL use."""
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread a scan over the cluster's cores when it has fewer splits than cores.
+
+    Text tables can be few row groups but heavy per row (regexes, trigram
+    explosion); a scan with fewer input splits than cores would run that work
+    on a handful of tasks. Large inputs already have enough splits and are
+    returned unchanged (no shuffle added).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * factor)
+    return df
+
+
+def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, name))
