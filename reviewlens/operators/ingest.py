@@ -38,6 +38,8 @@ def map_records(raw: DataFrame, product: str | Column | None = None) -> DataFram
         F.coalesce(F.col("thumbsUpCount"), F.lit(0)).cast("int").alias("thumbs_up"),
         F.col("reviewCreatedVersion").alias("app_version"),
     ]
+    if "lang" in raw.columns:  # language reported at landing, if any
+        cols.append(F.col("lang"))
     return raw.select(*cols)
 
 

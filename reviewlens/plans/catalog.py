@@ -18,7 +18,7 @@ from reviewlens.functions.dates import iso_week_label, iso_week_valid
 from reviewlens.functions import display
 from reviewlens import fixed_values as V
 from reviewlens.operators import (clusters, explore, ids, ingest, language, receipts, render,
-                                 summary, themes)
+                                 summary, themes, vectors)
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -863,3 +863,23 @@ SELECT idempotency_key, doc_status, gmail_status FROM current_ok
 def q_receipt_status(spark, sf_dir):
     """J5 + J6: key and both delivery statuses, sorted by key."""
     return receipts.status_all(receipts.latest(receipt_versions(spark, sf_dir)))
+
+
+# --------------------------------------------------------------- vectors ----
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    """G1: TF-IDF unit vectors of every clean review (rows only: no SQL twin for ML vectors)."""
+    from pyspark.ml.functions import vector_to_array
+    v = vectors.embed_text(clean(spark, sf_dir))
+    arr = vector_to_array("vector")
+    return v.select("product", "seq", F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"),
+                    F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+@register("reduce_dims")
+def q_reduce_dims(spark, sf_dir):
+    """Five principal components of the normalised 64-d vectors (rows only)."""
+    from reviewlens.sources.tables import read_table
+    r = vectors.reduce_dims(read_table(spark, sf_dir, "embeddings"))
+    return r.select("vec_id", F.size("reduced").alias("k"), "reduced")
