@@ -38,9 +38,9 @@ HEADLINE = [
     "explore_search",
     "theme_tags",
     "report_text",
+    "dashboard_payload",
+    "receipts_latest",
     "language_id",
-    "knn_exact",
-    "density_components",
 ]
 
 

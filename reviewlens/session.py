@@ -46,8 +46,14 @@ def get_session(master: str | None = None, app_name: str = "reviewlens",
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to an existing session."""
     for k, v in _SQL_CONF.items():
-        spark.conf.set(k, v)
-    checkpoint_dir(spark)
+        try:
+            spark.conf.set(k, v)
+        except Exception:  # a setting the deployment has locked stays as it is
+            pass
+    try:
+        checkpoint_dir(spark)
+    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
+        pass
     return spark
 
 

@@ -30,8 +30,12 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     on a handful of tasks. Large inputs already have enough splits and are
     returned unchanged (no shuffle added).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext (e.g. Spark Connect): leave the scan as it is
+        return df
+    if splits < cores:
         return df.repartition(cores * factor)
     return df
 
