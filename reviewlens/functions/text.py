@@ -18,10 +18,26 @@ def strip_ws(col) -> Column:
     return F.regexp_replace(_c(col), f"^{ws}+|{ws}+$", "")
 
 
+_NON_WS = WORD_PATTERN[:-1]  # one non-separator character
+
+
 def is_blank(col) -> Column:
-    """B1: null, empty or whitespace-only text."""
+    """B1: null, empty or whitespace-only text (stops at the first non-space)."""
     c = _c(col)
-    return c.isNull() | (F.regexp_count(c, F.lit(WORD_PATTERN)) == 0)
+    return c.isNull() | ~c.rlike(_NON_WS)
+
+
+def has_min_words(col, n: int) -> Column:
+    """B2: at least ``n`` words — the same predicate as ``word_count >= n``.
+
+    The regex stops as soon as the n-th word starts instead of counting every
+    word of a long text; possessive quantifiers keep a failing test linear.
+    """
+    if n <= 0:
+        return F.lit(True)
+    ws, word = WHITESPACE_CLASS, _NON_WS
+    pattern = f"^{ws}*+(?:{word}++{ws}++){{{n - 1}}}{word}"
+    return F.coalesce(_c(col).rlike(pattern), F.lit(False))
 
 
 def word_count(col) -> Column:

@@ -11,7 +11,7 @@ from reviewlens.fixed_values import (ACCEPTED_LANGUAGE, DEFAULT_WINDOW_WEEKS,
                                      MIN_WORDS, SORT_MODES)
 from reviewlens.functions.dates import window_cutoff
 from reviewlens.functions.redact import redact_columns
-from reviewlens.functions.text import has_emoji, is_blank, word_count
+from reviewlens.functions.text import has_emoji, has_min_words, is_blank
 from reviewlens.schemas import REVIEW
 
 REVIEW_COLUMNS = [f.name for f in REVIEW.fields]
@@ -47,7 +47,7 @@ def reject_reason(text: str = "text", lang: str = "lang") -> Column:
     """First failing test of the gate in order B1, B2, B3, B4; null = accepted."""
     t = F.col(text)
     return (F.when(is_blank(t), F.lit("empty"))
-            .when(word_count(t) < MIN_WORDS, F.lit("too_short"))
+            .when(~has_min_words(t, MIN_WORDS), F.lit("too_short"))
             .when(has_emoji(t), F.lit("emoji"))
             .when(F.coalesce(F.col(lang) != ACCEPTED_LANGUAGE, F.lit(True)), F.lit("not_english")))
 

@@ -47,9 +47,9 @@ def clean_stream(raw: DataFrame, watermark: str = "14 days") -> tuple[DataFrame,
 
 def _gate_no_lang():
     from reviewlens.fixed_values import MIN_WORDS
-    from reviewlens.functions.text import has_emoji, is_blank, word_count
+    from reviewlens.functions.text import has_emoji, has_min_words, is_blank
     t = F.col("text")
-    return (F.when(is_blank(t), F.lit("empty")).when(word_count(t) < MIN_WORDS, F.lit("too_short"))
+    return (F.when(is_blank(t), F.lit("empty")).when(~has_min_words(t, MIN_WORDS), F.lit("too_short"))
             .when(has_emoji(t), F.lit("emoji")))
 
 

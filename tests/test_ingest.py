@@ -122,3 +122,19 @@ def test_decode_tool_response(spark):
     got = ingest.decode_tool_response(df).collect()
     assert [r.reject for r in got] == [False, False, True]
     assert got[1].review_id == "a" and got[1].app_version is None
+
+
+def test_min_words_equals_count_property(spark):
+    import random
+    from reviewlens.functions.text import has_min_words, word_count
+    rnd = random.Random(7)
+    seps = [" ", "\t", "\n", " ", " ", "　", "\x1c", "\x85"]
+    texts = []
+    for _ in range(300):
+        k = rnd.randint(0, 12)
+        parts = [rnd.choice(["a", "bb", "ccc", "é", "\U0001F680", "x-y"]) for _ in range(k)]
+        texts.append(rnd.choice(["", " "]) + "".join(p + rnd.choice(seps) * rnd.randint(1, 2) for p in parts))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(word_count("t").alias("n"), has_min_words("t", 8).alias("ok")).collect()
+    assert all((r.n >= 8) == r.ok for r in rows)
+    assert any(r.ok for r in rows) and any(not r.ok for r in rows)
