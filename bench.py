@@ -3,7 +3,7 @@
 Runs each query in ``HEADLINE`` against ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) on ``local[$BENCH_CPUS]`` into a ``noop`` sink (full
 execution, no output cost): one warm-up run of the flagship, then the median
-of ``$BENCH_REPEATS`` (default 3) runs per query. Prints one JSON line.
+of ``$BENCH_REPEATS`` (default 1) runs per query. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def run_once(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = get_session(f"local[{cpus}]", "reviewlens-bench", shuffle_partitions=int(cpus) * 2)
     spark.sparkContext.setLogLevel("ERROR")
     names = [n for n in HEADLINE if n in QUERIES]
