@@ -338,7 +338,9 @@ def ranked_clusters(spark: SparkSession, sf_dir: str):
     ranked = clusters.rank_clusters(clusters.cluster_stats(m), clusters.global_mean(m))
     reps = clusters.representatives(clusters.member_distances(m, clusters.centroids(m)))
     reps = reps.join(ranked.select("product", "cluster_id"), ["product", "cluster_id"], "left_semi")
-    return ranked, reps
+    # Both are bounded by top_n clusters (x 5 representatives) per run and feed
+    # several consumers (prompts, answers, verdicts, themes): persisted once.
+    return ranked.persist(), reps.persist()
 
 
 def theme_run(spark: SparkSession, sf_dir: str):
