@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -389,6 +390,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
     tokens = load_ranks(encoded.sparkSession, path)
     sent = encoded.sparkSession.sparkContext.broadcast(tokens)
+    encoded = encoded.drop("decoded")
     schema = T.StructType(encoded.schema.fields + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
@@ -404,10 +406,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 data = pa.py_buffer(flat.buffers()[2] or b"") if len(flat) else pa.py_buffer(b"")
                 offsets = pa.py_buffer(starts[sizes].astype(np.int32).tobytes())
                 joined = pa.Array.from_buffers(pa.binary(), len(batch), [None, offsets, data])
-                joined = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.binary()), joined)
+                joined = pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), joined)
                 yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=[*batch.schema.names, "decoded"])
 
-    import pyarrow.compute  # noqa: F401  (pa.compute is loaded on import)
     return encoded.mapInArrow(run, schema)
 
 

@@ -132,7 +132,7 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     if many.isEmpty():
         return plain
     repeated = docs.alias("d").join(small_side(many).alias("i"), same_id, "left_semi")
-    thinned = (repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("row"),
-                                              F.first(F.struct(*docs.columns)).alias("any"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    thinned = (repeated.groupBy("doc_id").agg(F.min_by(whole, "text").alias("row"), F.first(whole).alias("any"))
                .select(F.coalesce("row", "any").alias("row")).select("row.*"))
     return plain.union(thinned)
