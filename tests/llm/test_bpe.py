@@ -61,6 +61,10 @@ def test_memory_is_bounded(monkeypatch, texts):
 def test_odd_rows(odd_docs, no_docs):
     got = bpe.round_trip(odd_docs, PATH, PATTERN)
     rows = got.collect()
+    again = bpe.decode(bpe.encode(odd_docs, PATH, PATTERN), PATH)
+    assert sorted(map(str, again.select(got.columns).collect())) == sorted(map(str, rows))
+    assert bpe.decode(got.selectExpr("doc_id", "CASE WHEN doc_id <> 2 THEN ids END AS ids"), PATH).filter(
+        "doc_id = 2").first().decoded is None
     assert len(rows) == 9 and {"fp", "score", "key"} <= set(got.columns)
     by = {r.doc_id: r for r in rows}
     assert by[2].ids == [] and by[2].decoded == b"" and by[3].ids == []
