@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.common import map_texts
+from reviewlens.llm.common import ROWS, map_texts
 
-MEMO = 700_000
-PAIR_MEMO = 1_000_000
-BATCH = 256
+MEMO = 400_000
+PAIR_MEMO = 200_000
 REACH = 4  # a match of the pattern depends on at most this many characters behind its end
 
 
@@ -375,39 +374,39 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def start():
         encoder = _encoder(sent, path, pattern)
 
-        def compute(texts):
-            parts = [encoder.encode_batch(texts[i:i + BATCH]) for i in range(0, len(texts), BATCH)]
-            return [pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))]
-        return compute
+        return lambda texts: [encoder.encode_batch(texts)]
 
     return map_texts(docs, [("ids", T.ArrayType(T.IntegerType()))], start)
 
 
+def decoded(ids: pa.ListArray, vocabulary: pa.BinaryArray) -> pa.BinaryArray:
+    """The bytes of each list of ids: tokens are taken for all lists at once and their buffer is cut anew."""
+    flat = vocabulary.take(ids.flatten())
+    if not len(flat):
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.binary()), pa.scalar(b"", pa.binary()))
+    sizes = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    starts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, flat.offset * 4)
+    offsets = pa.py_buffer(starts[sizes].astype(np.int32).tobytes())
+    joined = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, flat.buffers()[2]])
+    return pc.if_else(ids.is_null(), pa.scalar(None, pa.binary()), joined)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the bytes its ``ids`` stand for, as ``decoded`` (binary); null ids give null.
 
     An id outside the vocabulary is an error.
     """
-    tokens = load_ranks(encoded.sparkSession, path)
-    sent = encoded.sparkSession.sparkContext.broadcast(tokens)
+    sent = encoded.sparkSession.sparkContext.broadcast(load_ranks(encoded.sparkSession, path))
     encoded = encoded.drop("decoded")
     schema = T.StructType(encoded.schema.fields + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         vocabulary = pa.array(sent.value, pa.binary())
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                lists = batch.column("ids")
-                flat = vocabulary.take(lists.flatten())
-                sizes = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))
-                starts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, flat.offset * 4) if len(flat) \
-                    else np.zeros(1, np.int32)
-                data = pa.py_buffer(flat.buffers()[2] or b"") if len(flat) else pa.py_buffer(b"")
-                offsets = pa.py_buffer(starts[sizes].astype(np.int32).tobytes())
-                joined = pa.Array.from_buffers(pa.binary(), len(batch), [None, offsets, data])
-                joined = pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), joined)
-                yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=[*batch.schema.names, "decoded"])
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, decoded(batch.column("ids"), vocabulary)],
+                                                 names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
@@ -451,8 +450,18 @@ def reencode(encoder: Encoder, text: str, ids: list[int] | None, start: int, edi
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with ``ids`` and ``decoded`` in place of text."""
-    return decode(encode(docs, path, pattern), path)
+    """``docs`` with ``ids`` and, decoded from these, ``decoded`` in place of text: ``encode`` and ``decode`` in one pass."""
+    sent = _tokeniser(docs.sparkSession, path)
+
+    def start():
+        encoder, vocabulary = _encoder(sent, path, pattern), pa.array(sent.value[0], pa.binary())
+
+        def compute(texts):
+            ids = encoder.encode_batch(texts)
+            return [ids, decoded(ids, vocabulary)]
+        return compute
+
+    return map_texts(docs, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())], start)
 
 
 def digest(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
+ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,10 +73,12 @@ def map_texts(df: DataFrame, added: list[tuple[str, T.DataType]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for batch in batches:
-            arrays = compute(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + arrays,
-                                             names=names + [n for n, _ in added])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # results leave in small batches
+                batch = whole.slice(at, ROWS)
+                arrays = compute(batch.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + arrays,
+                                                 names=names + [n for n, _ in added])
 
     return df.mapInArrow(run, schema)
 
