@@ -26,8 +26,8 @@ WORD_STATS = 9
 WIDTH = WORD_STATS + HASHED + 4
 HIDDEN = 16
 BLOCK_CHARS = 1 << 20
-MAX_ROWS = 5_000
-MAX_BAG = 64
+MAX_ROWS = 3_000
+MAX_BAG = 32
 MEMO = 200_000
 THRESHOLD = 0.7
 
