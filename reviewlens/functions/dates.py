@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewlens.fixed_values import FULL_DATE_PATTERN
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def parse_time(col) -> Column:
+    """Timestamp of an ISO text that has its full date; null for anything else."""
+    c = _c(col)
+    return F.when(c.rlike(FULL_DATE_PATTERN), F.try_to_timestamp(c))
+
+
 def iso_week_label(col) -> Column:
     """``YYYY-Www`` using the ISO week-numbering year."""
     d = F.to_date(_c(col))
@@ -27,16 +35,6 @@ def iso_week_valid(col) -> Column:
     return F.when(shape, (week >= 1) & (week <= weeks_in_year)).otherwise(F.lit(False))
 
 
-def iso_week_start(col) -> Column:
-    """Monday of an ISO week label (inverse of C6), null for invalid labels."""
-    c = _c(col)
-    year = F.substring(c, 1, 4).cast("int")
-    week = F.substring(c, 7, 2).cast("int")
-    jan4 = F.make_date(year, F.lit(1), F.lit(4))
-    monday1 = F.date_sub(jan4, (F.dayofweek(jan4) + 5) % 7)
-    return F.when(iso_week_valid(c), F.date_add(monday1, (week - 1) * 7))
-
-
 def window_cutoff(as_of, window_weeks: int) -> Column:
     """Start of the rolling window: ``as_of`` minus 7 x weeks days (inclusive)."""
     a = F.lit(as_of).cast("timestamp") if not isinstance(as_of, Column) else as_of

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.functions.dates import parse_time
 from reviewlens.fixed_values import PAGE_SIZE
 from reviewlens.functions import display
 
@@ -31,7 +32,7 @@ def toggle_star(stars: frozenset | set, star: int) -> frozenset:
 
 def sort_order(sort: str = "helpful") -> list[Column]:
     """helpful = thumbs desc; newest = time desc; anything else = time asc; stable by arrival."""
-    ts = F.try_to_timestamp(F.col("timestamp"))
+    ts = parse_time("timestamp")
     if sort == "helpful":
         key = [F.col("thumbs_up").desc_nulls_last()]
     elif sort == "newest":
@@ -44,7 +45,7 @@ def sort_order(sort: str = "helpful") -> list[Column]:
 def card_columns(df: DataFrame) -> DataFrame:
     """C12-C17 + C25 on the rows shown."""
     name, color = display.theme_tag()
-    ts = F.try_to_timestamp(F.col("timestamp"))
+    ts = parse_time("timestamp")
     return df.select(
         "*",
         display.sentiment().alias("sentiment"),

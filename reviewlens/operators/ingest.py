@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.fixed_values import (ACCEPTED_LANGUAGE, DEFAULT_WINDOW_WEEKS,
                                      MIN_WORDS, SORT_MODES)
-from reviewlens.functions.dates import window_cutoff
+from reviewlens.functions.dates import parse_time, window_cutoff
 from reviewlens.functions.redact import redact_columns
 from reviewlens.functions.text import has_emoji, has_min_words, is_blank
 from reviewlens.schemas import REVIEW
@@ -66,7 +66,7 @@ def sort_keys(mode: str) -> list[Column]:
     elif mode == "most_relevant":
         key = [F.col("thumbs_up").desc_nulls_last()]
     else:
-        key = [F.try_to_timestamp(F.col("timestamp")).desc_nulls_last()]
+        key = [parse_time("timestamp").desc_nulls_last()]
     return key + [F.col("seq").asc()]
 
 
@@ -90,7 +90,7 @@ def in_window(as_of, window_weeks: int = DEFAULT_WINDOW_WEEKS, ts: str = "timest
     """B6 predicate: parsed time >= cutoff, or time not parseable (kept)."""
     if window_weeks < 1:
         raise ValueError("window_weeks must be >= 1")
-    parsed = F.try_to_timestamp(F.col(ts))
+    parsed = parse_time(ts)
     return parsed.isNull() | (parsed >= window_cutoff(as_of, window_weeks))
 
 
@@ -99,14 +99,15 @@ def rolling_window(df: DataFrame, as_of, window_weeks: int = DEFAULT_WINDOW_WEEK
     return df.filter(in_window(as_of, window_weeks))
 
 
-def dedup_keep_first(df: DataFrame, key: str = "review_id", order: str = "seq") -> DataFrame:
-    """one row per ``key``, the first in arrival order.
+def dedup_keep_first(df: DataFrame, key: str = "review_id", order: str = "seq",
+                     by: tuple[str, ...] = ("product",)) -> DataFrame:
+    """one row per product and ``key``, the first in arrival order.
 
     ``row_number() == 1`` is planned with a partial WindowGroupLimit before the
     exchange: each map task forwards one row per key, so a key holding a third
     of the data costs one row per task in the shuffle.
     """
-    w = Window.partitionBy(key).orderBy(F.col(order).asc())
+    w = Window.partitionBy(*[c for c in by if c in df.columns], key).orderBy(F.col(order).asc())
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 

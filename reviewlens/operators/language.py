@@ -3,9 +3,7 @@
 Training and scoring are Spark aggregations and joins over whole texts:
 
 * training: every trigram of ``lower(text)`` is counted per language; the
-  model keeps the ``top_k`` most frequent trigrams of each language (ties by
-  trigram key; a fixed bound of ``top_k`` rows per language) with weight ``ln(count + 1)``, plus one
-  normaliser row per language with ``ln(N_lang + V)`` (add-one smoothing,
+  model keeps every trigram with weight ``ln(count + 1)``, plus one normaliser row per language with ``ln(N_lang + V)`` (add-one smoothing,
   ``V`` = distinct trigrams seen in training);
 * scoring: the trigrams of each text are exploded, matched against the model
   (broadcast after its size is counted) and summed per (text, language);
@@ -24,7 +22,6 @@ from pyspark.sql import functions as F
 
 from reviewlens.plans.joins import lookup_join
 
-TOP_K = 5000
 NORMALISER = -1  # no trigram key is negative, so -1 marks the per-language row
 
 
@@ -45,20 +42,17 @@ def with_trigrams(df: DataFrame, text_col: str = "text", out: str = "__g") -> Da
     return d.withColumn(out, grams).drop("__cp")
 
 
-def train_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                  top_k: int = TOP_K) -> DataFrame:
-    """(lang, gram, weight) rows: top-k trigrams per language + one normaliser row per language."""
+def train_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, gram, weight) rows: every trigram of each language + one normaliser row per language."""
     grams = with_trigrams(labelled.filter(F.col(lang_col).isNotNull()).select(text_col, lang_col), text_col) \
         .select(F.col(lang_col).alias("lang"), F.explode("__g").alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
     vocab = counts.agg(F.count_distinct("gram").alias("v"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.col("c").desc(), F.col("gram").asc())
-    top = (counts.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= top_k)
-           .select("lang", "gram", F.log(F.col("c") + 1).alias("weight")))
+    weights = counts.select("lang", "gram", F.log(F.col("c") + 1).alias("weight"))
     norm = totals.select("lang", F.lit(NORMALISER).cast("long").alias("gram"),
                          F.log(F.col("n") + vocab.scalar()).alias("weight"))
-    return top.unionByName(norm)
+    return weights.unionByName(norm)
 
 
 def detect(df: DataFrame, profile: DataFrame, key: str = "seq", text_col: str = "text",

@@ -31,15 +31,16 @@ def flatten(receipts: DataFrame) -> DataFrame:
         F.col("delivery.google_doc.doc_id").alias("doc_id"),
         F.coalesce(F.col("delivery.gmail.status"), F.lit(PENDING)).alias("gmail_status"),
         F.col("delivery.gmail.draft_id").alias("draft_id"),
-        *[c for c in receipts.columns if c == "version"])
+        *[c for c in receipts.columns if c in ("version", "broken")])
 
 
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """J1 scan: JSON Lines receipts with a fixed schema; broken records are dropped.
+    """J1 scan: JSON Lines receipts with a fixed schema and a ``broken`` flag.
 
     A record is broken when it is not valid JSON or its delivery structs carry
     a field the receipt does not define (the same rule that makes a stored
-    receipt unreadable). Missing key/timestamp is handled by ``latest``.
+    receipt unreadable). It stays, without a timestamp, so that ``latest``
+    does not bring back an older version of its key.
     """
     schema = T.StructType(RECEIPT.fields + [T.StructField("version", T.LongType())])
     v = F.col("value")
@@ -52,8 +53,9 @@ def read_receipts(spark: SparkSession, path: str) -> DataFrame:
 
     ok = (F.json_object_keys(v).isNotNull() & known("$.delivery.google_doc", doc_fields)
           & known("$.delivery.gmail", mail_fields))
-    rows = spark.read.text(path).filter(F.coalesce(ok, F.lit(False)))
-    return flatten(rows.select(F.from_json(v, schema).alias("r")).select("r.*"))
+    rows = spark.read.text(path).select(F.from_json(v, schema).alias("r"), (~F.coalesce(ok, F.lit(False))).alias("broken"))
+    flat = flatten(rows.select("r.*", "broken"))
+    return flat.withColumn("run_timestamp", F.when(~F.col("broken"), F.col("run_timestamp")))
 
 
 def latest(versions: DataFrame) -> DataFrame:
@@ -74,13 +76,16 @@ def upsert(versions: DataFrame, updates: DataFrame) -> DataFrame:
     """J2 write side: rows to append so each updated key gets version = current max + 1."""
     cur = versions.groupBy("idempotency_key").agg(F.max("version").alias("__v"))
     return (updates.join(cur, "idempotency_key", "left")
-            .withColumn("version", F.coalesce(F.col("__v"), F.lit(0)) + 1).drop("__v"))
+            .withColumn("version", (F.coalesce(F.col("__v"), F.lit(0)) + 1).cast("long")).drop("__v"))
 
 
 def insert_if_absent(versions: DataFrame, new_runs: DataFrame) -> DataFrame:
-    """First writer wins — new receipts only for keys without a current receipt."""
+    """First writer wins — new receipts only for keys without a current receipt.
+
+    The new version follows the highest stored one, broken or not, so it becomes the current one.
+    """
     have = latest(versions).select("idempotency_key")
-    return new_runs.join(have, "idempotency_key", "left_anti").withColumn("version", F.lit(1).cast("long"))
+    return upsert(versions, new_runs.join(have, "idempotency_key", "left_anti"))
 
 
 def delivery_outbox(current: DataFrame) -> DataFrame:

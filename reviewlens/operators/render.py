@@ -61,16 +61,16 @@ def _theme_block(t: Column) -> Column:
     return F.concat(head, qblock, ablock)
 
 
-def report_text(nested: DataFrame, week: Column, window_weeks: int, product: Column | None = None) -> Column:
-    """Heading, period line, numbered themes, rule line."""
+def report_text(nested: DataFrame, week: Column, window_weeks: int, title: str, product: Column | None = None) -> Column:
+    """Heading with the caller's ``title``, period line, numbered themes, rule line."""
     p = product if product is not None else F.col("product")
     body = F.array_join(F.transform(F.coalesce(F.col("themes"), F.array()), _theme_block), "")
-    return F.concat(fmt(V.REPORT_HEADING, product=p, week=week),
+    return F.concat(fmt(V.REPORT_HEADING, product=p, title=F.lit(title), week=week),
                     fmt(V.REPORT_PERIOD, weeks=F.lit(window_weeks), week=week), body, F.lit(V.REPORT_END))
 
 
-def email_columns(week: Column, doc_id: Column, product: Column | None = None) -> list[Column]:
-    """Subject, text body, HTML body (not escaped) and link."""
+def email_columns(week: Column, doc_id: Column, title: str, product: Column | None = None) -> list[Column]:
+    """Subject with the caller's ``title``, text body, HTML body (not escaped) and link."""
     p = product if product is not None else F.col("product")
     link = doc_url(doc_id, for_email=True)
     themes = F.coalesce(F.col("themes"), F.array())
@@ -84,7 +84,7 @@ def email_columns(week: Column, doc_id: Column, product: Column | None = None) -
         F.array(F.lit(V.EMAIL_HTML_GREETING), fmt(V.EMAIL_HTML_INTRO, product=p, week=week), F.lit("<ul>")),
         F.transform(themes, lambda t: fmt(V.EMAIL_HTML_THEME, name=name(t), count=count(t))),
         F.array(F.lit("</ul>"), fmt(V.EMAIL_HTML_LINK, link=link)))
-    return [fmt(V.EMAIL_SUBJECT, product=p, week=week).alias("subject"),
+    return [fmt(V.EMAIL_SUBJECT, product=p, title=F.lit(title), week=week).alias("subject"),
             F.array_join(text_lines, "\n").alias("text_body"),
             F.array_join(html_lines, "\n").alias("html_body"),
             link.alias("doc_link")]
@@ -107,5 +107,5 @@ def payload_themes(themes: Column) -> Column:
 
 
 def idempotency_key(product="product", week="iso_week") -> Column:
-    """C20: product slug + ':' + week."""
-    return F.concat_ws(":", F.lower(F.col(product)), F.col(week))
+    """C20: product slug (lower case, other runs than letters and digits to one dash) + ':' + week."""
+    return F.concat_ws(":", F.regexp_replace(F.lower(F.col(product)), "[^a-z0-9]+", "-"), F.col(week))

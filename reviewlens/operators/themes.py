@@ -123,10 +123,12 @@ def resolve_attempts(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS,
     ``skipped``; ``keep_quotes`` is false when the last attempt failed
     validation (the theme is kept with no quotes).
     """
+    # A list shorter than ``max_attempts`` ends at its last attempt.
     ok_now = F.col("valid") if quote_validation else F.col("parse_ok")
     ends = (F.col("parse_ok") & (ok_now | (F.col("attempt") >= max_attempts))) | (F.col("attempt") >= max_attempts)
-    c = checked.filter(F.col("attempt") <= max_attempts).withColumn("__ends", ends)
     w = Window.partitionBy(*by, "cluster_id")
+    c = checked.filter(F.col("attempt") <= max_attempts)
+    c = c.withColumn("__ends", ends | (F.col("attempt") == F.max("attempt").over(w)))
     c = c.withColumn("__end_at", F.min(F.when(F.col("__ends"), F.col("attempt"))).over(w))
     return (c.withColumn("performed", F.col("attempt") <= F.col("__end_at"))
              .withColumn("final", F.col("attempt") == F.col("__end_at"))

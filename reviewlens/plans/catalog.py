@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
-from reviewlens.functions.dates import iso_week_label, iso_week_valid
+from reviewlens.functions.dates import iso_week_label, iso_week_valid, parse_time
 from reviewlens.functions import display
 from reviewlens import fixed_values as V
 from reviewlens.operators import (clusters, explore, ids, ingest, language, receipts, render,
@@ -27,6 +27,8 @@ from reviewlens.plans.review_view import review_view
 AS_OF = "2024-05-01 00:00:00"
 WINDOW_WEEKS = 12
 RUN_WEEK = "2024-W18"  # ISO week of AS_OF
+REPORT_TITLE = "Weekly Review Digest"
+MAIL_TITLE = "Review Digest"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,7 +98,7 @@ def q_ingest_window(spark, sf_dir):
     """B6 + C8: gated rows inside the 12-week window; unparseable times kept."""
     df = ingest.rolling_window(ingest.quality_gate(review_view(spark, sf_dir)), AS_OF, WINDOW_WEEKS)
     return df.select("product", "seq", "review_id",
-                     F.date_format(F.try_to_timestamp("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts_utc"))
+                     F.date_format(parse_time("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts_utc"))
 
 
 @register("ingest_dedup", _with("""
@@ -139,7 +141,7 @@ FROM clean GROUP BY ALL
 """))
 def q_iso_week_ratings(spark, sf_dir):
     """C6 + E5 per ISO week of the review time (unparseable -> null week)."""
-    df = clean(spark, sf_dir).withColumn("iso_week", iso_week_label(F.try_to_timestamp("timestamp")))
+    df = clean(spark, sf_dir).withColumn("iso_week", iso_week_label(parse_time("timestamp")))
     return df.groupBy("product", "iso_week").agg(
         F.count(F.lit(1)).alias("reviews"),
         F.sum("rating").cast("long").alias("rating_sum"),
@@ -163,7 +165,7 @@ FROM labels
 def q_iso_week_valid(spark, sf_dir):
     """C7 over labels derived from the data: weeks 0..54 of each ISO year seen, plus raw time strings."""
     rv = review_view(spark, sf_dir)
-    parsed = F.try_to_timestamp("timestamp")
+    parsed = parse_time("timestamp")
     years = rv.filter(parsed.isNotNull()).select(F.extract(F.lit("YEAROFWEEK"), F.to_date(parsed)).alias("y")).distinct()
     weeks = (years.select("y", F.explode(F.sequence(F.lit(0), F.lit(54))).alias("w"))
              .select(F.concat(F.col("y").cast("string"), F.lit("-W"),
@@ -329,7 +331,8 @@ def q_cluster_ranking(spark, sf_dir):
 
 # ---------------------------------------------------------------- themes ----
 
-THEME_BUDGET = 20_000  # per product run; small enough that the gate binds on this data
+# Per product run; small enough that the gate binds on this data. Only the two budget queries use it.
+THEME_BUDGET = 20_000
 
 
 def ranked_clusters(spark: SparkSession, sf_dir: str):
@@ -389,8 +392,11 @@ tadm AS (
 )"""
 
 
-def _with_themes(body: str) -> str:
-    return _with(THEME_CTES + "\n" + body)
+FULL_BUDGET_CTES = THEME_CTES.replace(f">= {THEME_BUDGET} AS refused", f">= {V.TOKEN_BUDGET_CAP} AS refused")
+
+
+def _with_themes(body: str, ctes: str = FULL_BUDGET_CTES) -> str:
+    return _with(ctes + "\n" + body)
 
 
 @register("cluster_prompts", _with_themes("""
@@ -434,7 +440,7 @@ def q_theme_attempts(spark, sf_dir):
 @register("token_budget", _with_themes("""
 SELECT product, rank, cluster_id, attempt, est_tokens, used_tokens, tokens_before, requests_before, refused, admitted
 FROM tadm
-"""))
+""", THEME_CTES))
 def q_token_budget(spark, sf_dir):
     """H4: admission of each performed attempt under the run's token budget."""
     _, _, _, _, resolved = theme_run(spark, sf_dir)
@@ -451,7 +457,7 @@ SELECT product,
        CAST(count(*) FILTER (WHERE admitted) AS BIGINT) AS requests,
        CAST(count(*) FILTER (WHERE final AND admitted AND outcome = 'theme') AS BIGINT) AS themes
 FROM tadm GROUP BY product
-"""))
+""", THEME_CTES))
 def q_token_totals(spark, sf_dir):
     """E10 + H7: tokens of finished themes and all admitted usage per run."""
     _, _, _, _, resolved = theme_run(spark, sf_dir)
@@ -469,7 +475,7 @@ WHERE a.final AND a.admitted AND a.outcome = 'theme'
 def q_theme_summaries(spark, sf_dir):
     """F4 + H3 + H4: finished themes renumbered in cluster order, with counts copied from the cluster."""
     ranked, _, _, _, resolved = theme_run(spark, sf_dir)
-    t = themes.finished_themes(themes.budget_gate(resolved, THEME_BUDGET), ranked)
+    t = themes.finished_themes(themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP), ranked)
     return t.select("product", F.col("theme_rank").cast("long").alias("theme_rank"), "cluster_id", "theme_name",
                     "review_count", "avg_rating", F.size("quotes").alias("n_quotes"))
 
@@ -558,15 +564,13 @@ FROM th
 def q_theme_share(spark, sf_dir):
     """E11 + E12 + C18: share of each finished theme among reviews in the shown themes."""
     ranked, _, _, _, resolved = theme_run(spark, sf_dir)
-    t = themes.finished_themes(themes.budget_gate(resolved, THEME_BUDGET), ranked)
+    t = themes.finished_themes(themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP), ranked)
     return explore.theme_share(t).select("product", "cluster_id", "review_count", "reviews_in_themes",
                                          "share_pct", "rating_class")
 
 
 # -------------------------------------------------------------- language ----
 
-LANG_TOP_K = language.TOP_K
-
 LANG_CTES = f"""
 , lchars AS (
   SELECT lang, list_transform(string_split(lower(text), ''), lambda ch: CAST(unicode(ch) AS BIGINT)) AS c
@@ -581,7 +585,6 @@ lvocab AS (SELECT count(DISTINCT gram) AS v FROM lcounts),
 ltotals AS (SELECT lang, sum(c) AS n FROM lcounts GROUP BY lang),
 lprofile AS (
   SELECT lang, gram, ln(c + 1) AS weight FROM lcounts
-  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) <= {LANG_TOP_K}
   UNION ALL
   SELECT lang, CAST(-1 AS BIGINT) AS gram, ln(n + (SELECT v FROM lvocab)) AS weight FROM ltotals
 ),
@@ -645,11 +648,11 @@ _WK = S.q(RUN_WEEK)
 
 def finished(spark, sf_dir):
     ranked, _, _, _, resolved = theme_run(spark, sf_dir)
-    gated = themes.budget_gate(resolved, THEME_BUDGET)
+    gated = themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP)
     return themes.finished_themes(gated, ranked), gated
 
 
-RENDER_CTES = THEME_CTES + f""",
+RENDER_CTES = FULL_BUDGET_CTES + f""",
 th AS (
   SELECT a.product, a.cluster_id, a.attempt, a.keep_quotes, k.size AS review_count, k.avg_rating,
          row_number() OVER (PARTITION BY a.product ORDER BY a.rank) AS theme_rank
@@ -680,7 +683,7 @@ def _with_render(body: str) -> str:
 
 
 @register("report_text", _with_render(f"""
-SELECT product, {S.fmt(V.REPORT_HEADING, product='product', week=_WK)} || {S.fmt(V.REPORT_PERIOD, weeks=str(WINDOW_WEEKS), week=_WK)}
+SELECT product, {S.fmt(V.REPORT_HEADING, product='product', title=S.q(REPORT_TITLE), week=_WK)} || {S.fmt(V.REPORT_PERIOD, weeks=str(WINDOW_WEEKS), week=_WK)}
        || string_agg(block, '' ORDER BY theme_rank) || {S.q(V.REPORT_END)} AS report
 FROM tblock GROUP BY product
 """))
@@ -688,14 +691,14 @@ def q_report_text(spark, sf_dir):
     """I1 + E14 + F4: report section per product run."""
     t, _ = finished(spark, sf_dir)
     n = render.nest_themes(t)
-    return n.select("product", render.report_text(n, F.lit(RUN_WEEK), WINDOW_WEEKS).alias("report"))
+    return n.select("product", render.report_text(n, F.lit(RUN_WEEK), WINDOW_WEEKS, REPORT_TITLE).alias("report"))
 
 
 _LINK_SQL = f"CASE WHEN {_DOC_ID_SQL} <> '' THEN {S.q(V.DOC_URL_PREFIX)} || {_DOC_ID_SQL} ELSE {S.q(V.DOC_SITE_ROOT)} END"
 
 
 @register("email_payload", _with_render(f"""
-SELECT product, {S.fmt(V.EMAIL_SUBJECT, product='product', week=_WK)} AS subject,
+SELECT product, {S.fmt(V.EMAIL_SUBJECT, product='product', title=S.q(MAIL_TITLE), week=_WK)} AS subject,
        {S.q(V.EMAIL_GREETING)} || chr(10) || {S.fmt(V.EMAIL_INTRO, product='product', week=_WK)} || chr(10)
          || string_agg({S.fmt(V.EMAIL_THEME_LINE, name='theme_name', count='review_count')}, chr(10) ORDER BY theme_rank)
          || chr(10) || {S.fmt(V.EMAIL_LINK_LINE, link=_LINK_SQL)} AS text_body,
@@ -709,7 +712,7 @@ def q_email_payload(spark, sf_dir):
     """I2 + C21: e-mail subject, text and HTML bodies and link per product run."""
     t, _ = finished(spark, sf_dir)
     n = render.nest_themes(t)
-    return n.select("product", *render.email_columns(F.lit(RUN_WEEK), _doc_id_col()))
+    return n.select("product", *render.email_columns(F.lit(RUN_WEEK), _doc_id_col(), MAIL_TITLE))
 
 
 @register("dashboard_payload", _with_render(f"""
@@ -728,7 +731,7 @@ SELECT ws.product, {_WK} AS iso_week, {WINDOW_WEEKS} AS window_weeks, ws.reviews
        coalesce(nt.n_themes, 0) AS n_themes, coalesce(nt.reviews_in_themes, 0) AS reviews_in_themes,
        coalesce(tt.llm_tokens_used, 0) AS llm_tokens_used, 100000 AS llm_tokens_limit,
        least(100.0, coalesce(tt.llm_tokens_used, 0) / 100000 * 100) AS budget_use_pct,
-       'dry_run' AS doc_status, 'Dry Run' AS doc_status_label,
+       'dry_run' AS doc_status, 'dry_run' AS doc_status_label,
        CASE WHEN {_DOC_ID_SQL.replace('product', 'ws.product')} <> '' THEN {S.q(V.DOC_URL_PREFIX)} || {_DOC_ID_SQL.replace('product', 'ws.product')} ELSE '' END AS doc_url,
        {_WK} AS run_id, {S.q(AS_OF)} AS run_timestamp
 FROM ws LEFT JOIN nt USING (product) LEFT JOIN tt USING (product)
@@ -767,7 +770,7 @@ def receipt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number mod 3 (0: nothing, 1: doc appended and mail failed, 2: both done);
     weeks divisible by 5 end with a broken version 3 (no timestamp).
     """
-    c = clean(spark, sf_dir).withColumn("iso_week", iso_week_label(F.try_to_timestamp("timestamp")))
+    c = clean(spark, sf_dir).withColumn("iso_week", iso_week_label(parse_time("timestamp")))
     runs = (c.filter(F.col("iso_week").isNotNull()).groupBy("product", "iso_week")
             .agg(F.count(F.lit(1)).alias("reviews_ingested")))
     wk = F.substring("iso_week", 7, 2).cast("int")
@@ -785,6 +788,8 @@ def receipt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         mail.alias("gmail_status"), F.when(mail == "drafted", F.concat(F.lit("m_"), F.col("iso_week"))).alias("draft_id"))
 
 
+INSERT_WEEKS = ("2024-W08", "2024-W10", RUN_WEEK)
+
 RECEIPT_CTES = f"""
 , rruns AS (
   SELECT product, {S.iso_week(S.ts())} AS iso_week, count(*) AS reviews_ingested
@@ -801,7 +806,7 @@ rst AS (
   FROM rver
 ),
 versions AS (
-  SELECT lower(product) || ':' || iso_week AS idempotency_key, CAST(version AS BIGINT) AS version,
+  SELECT regexp_replace(lower(product), '[^a-z0-9]+', '-', 'g') || ':' || iso_week AS idempotency_key, CAST(version AS BIGINT) AS version,
          CASE WHEN version < 3 THEN iso_week || 'T00:00:00+00:00' END AS run_timestamp,
          CAST(reviews_ingested AS BIGINT) AS reviews_ingested, CAST(0 AS BIGINT) AS clusters_found,
          CAST(0 AS BIGINT) AS themes_generated, doc_status,
@@ -832,15 +837,21 @@ def q_receipts_latest(spark, sf_dir):
 
 @register("receipts_insert", _with_receipts(f"""
 , newruns AS (
-  SELECT lower(product) || ':' || {_WK} AS idempotency_key, count(*) AS reviews_ingested FROM clean GROUP BY product
-)
-SELECT n.idempotency_key, CAST(1 AS BIGINT) AS version, CAST(n.reviews_ingested AS BIGINT) AS reviews_ingested
-FROM newruns n WHERE n.idempotency_key NOT IN (SELECT idempotency_key FROM current_ok)
+  SELECT regexp_replace(lower(product), '[^a-z0-9]+', '-', 'g') || ':' || w.week AS idempotency_key, count(*) AS reviews_ingested
+  FROM clean, (SELECT unnest([{', '.join(S.q(w) for w in INSERT_WEEKS)}]) AS week) w GROUP BY product, w.week
+),
+newest AS (SELECT idempotency_key, max(version) AS version FROM versions GROUP BY ALL)
+SELECT n.idempotency_key, CAST(coalesce(v.version, 0) + 1 AS BIGINT) AS version, CAST(n.reviews_ingested AS BIGINT) AS reviews_ingested
+FROM newruns n LEFT JOIN newest v USING (idempotency_key)
+WHERE n.idempotency_key NOT IN (SELECT idempotency_key FROM current_ok)
 """.replace("\n, newruns", ", newruns", 1)))
 def q_receipts_insert(spark, sf_dir):
-    """J3 + C20: this week's receipts appended only for keys without a current receipt."""
+    """J3 + C20: receipts of three weeks appended only for keys without a current receipt.
+
+    One week has healthy receipts, one broken newest versions, the run's week has none.
+    """
     new = (clean(spark, sf_dir).groupBy("product").agg(F.count(F.lit(1)).cast("long").alias("reviews_ingested"))
-           .withColumn("iso_week", F.lit(RUN_WEEK))
+           .withColumn("iso_week", F.explode(F.array(*map(F.lit, INSERT_WEEKS))))
            .select(render.idempotency_key().alias("idempotency_key"), "reviews_ingested"))
     out = receipts.insert_if_absent(receipt_versions(spark, sf_dir), new)
     return out.select("idempotency_key", "version", "reviews_ingested")

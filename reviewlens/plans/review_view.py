@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlens.functions.dates import parse_time
 from reviewlens.sources.tables import read_table, read_text_table
 
 DUPLICATE_SEQ_OFFSET = 1_000_000_000
@@ -78,4 +79,4 @@ reviews AS (
 
 def ts_col(col: str = "timestamp") -> Column:
     """Tolerant ISO-8601 parse (Z / offsets accepted, naive = UTC, junk = null)."""
-    return F.try_to_timestamp(F.col(col))
+    return parse_time(col)

@@ -6,7 +6,7 @@ two engines evaluate identical patterns and parameters.
 
 from __future__ import annotations
 
-from reviewlens.fixed_values import (EMOJI_CLASS, MIN_WORDS, PII_PATTERNS,
+from reviewlens.fixed_values import (EMOJI_CLASS, FULL_DATE_PATTERN, MIN_WORDS, PII_PATTERNS,
                                      REDACTION_MARKER, WORD_PATTERN)
 from reviewlens.plans.review_view import REVIEW_VIEW_SQL
 
@@ -40,7 +40,7 @@ def redact(col: str) -> tuple[str, str]:
 
 
 def ts(col: str = "timestamp") -> str:
-    return f"TRY_CAST({col} AS TIMESTAMP)"
+    return f"(CASE WHEN regexp_matches({col}, {q(FULL_DATE_PATTERN)}) THEN TRY_CAST({col} AS TIMESTAMP) END)"
 
 
 def iso_week(expr: str) -> str:
@@ -60,7 +60,7 @@ windowed AS (
   WHERE {ts()} IS NULL OR {ts()} >= TIMESTAMP '{as_of}' - INTERVAL {7 * window_weeks} DAY
 ),
 deduped AS (
-  SELECT * FROM windowed QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY seq) = 1
+  SELECT * FROM windowed QUALIFY row_number() OVER (PARTITION BY product, review_id ORDER BY seq) = 1
 ),
 clean AS (
   SELECT product, seq, review_id,

@@ -1,16 +1,14 @@
 """Spark session helpers.
 
-The library never creates a cluster-wide setting it does not own: it reads
-``spark.checkpoint.dir`` from the session and only falls back to a scratch
-folder when the setting is unset (local runs and tests).
+The library never creates a cluster-wide setting it does not own, and no
+scratch folder.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes, splits
 # skewed shuffle partitions and coalesces small ones; UTC keeps timestamps
@@ -50,29 +48,4 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
         except Exception:  # a setting the deployment has locked stays as it is
             pass
-    try:
-        checkpoint_dir(spark)
-    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
-        pass
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster, or a scratch one when unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        # Only reached when the session names no shared folder (local tests).
-        conf_dir = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)

@@ -82,13 +82,13 @@ def test_render_report_and_email(spark):
                               "description string, quotes array<struct<text:string,doc_id:string,rating:int>>, "
                               "action_ideas array<struct<title:string,detail:string>>")
     n = render.nest_themes(t)
-    rep = n.select(render.report_text(n, F.lit("2026-W24"), 4).alias("r")).first().r
+    rep = n.select(render.report_text(n, F.lit("2026-W24"), 4, "Weekly Review Digest").alias("r")).first().r
     assert "Acme" in rep and "2026-W24" in rep and "1. Fast app (10 reviews, Avg Rating: 4.5)" in rep
     assert '> "so fast" (5/5)' in rep and "- Keep it: Profile regularly." in rep and rep.endswith("---\n\n")
-    e = n.select(*render.email_columns(F.lit("2026-W24"), F.lit("abc"))).first()
+    e = n.select(*render.email_columns(F.lit("2026-W24"), F.lit("abc"), "Review Digest")).first()
     assert "Acme" in e.subject and "2026-W24" in e.subject
     assert "Fast app (10 reviews)" in e.text_body and e.doc_link.endswith("/d/abc") and e.doc_link in e.html_body
-    e2 = n.select(*render.email_columns(F.lit("2026-W24"), F.lit(""))).first()
+    e2 = n.select(*render.email_columns(F.lit("2026-W24"), F.lit(""), "Review Digest")).first()
     assert e2.doc_link == "https://docs.google.com/"
 
 
@@ -106,7 +106,8 @@ def test_receipts_latest_outbox_and_files(spark):
     out = [(r.idempotency_key, r.channel, r.depends_on) for r in receipts.delivery_outbox(cur).collect()]
     assert out == [("a:w1", "gmail", None)]
     new = spark.createDataFrame([("a:w1", 7), ("a:w3", 7)], "idempotency_key string, reviews_ingested long")
-    assert [r.idempotency_key for r in receipts.insert_if_absent(v, new).collect()] == ["a:w3"]
+    added = receipts.insert_if_absent(v, new)
+    assert [(r.idempotency_key, r.version) for r in added.collect()] == [("a:w3", 3)]  # above the broken version 2
     d = tempfile.mkdtemp(prefix="rl-rcpt-")
     with open(f"{d}/r.json", "w") as f:
         f.write(json.dumps({"idempotency_key": "k1", "run_timestamp": "t", "review_window": {},
@@ -116,8 +117,21 @@ def test_receipts_latest_outbox_and_files(spark):
         f.write("{broken\n")
         f.write(json.dumps({"idempotency_key": "k3", "run_timestamp": "t"}) + "\n")
     got = {r.idempotency_key: (r.doc_status, r.gmail_status, r.clusters_found)
-           for r in receipts.read_receipts(spark, f"{d}/r.json").collect()}
+           for r in receipts.read_receipts(spark, f"{d}/r.json").filter("not broken").collect()}
     assert got == {"k1": ("appended", "pending", 0), "k3": ("pending", "pending", 0)}
+    with open(f"{d}/v.json", "w") as f:
+        f.write(json.dumps({"idempotency_key": "k", "run_timestamp": "t", "version": 1}) + "\n")
+        f.write(json.dumps({"idempotency_key": "k", "run_timestamp": "t", "version": 2,
+                            "delivery": {"gmail": {"status": "x", "bogus": 1}}}) + "\n")
+    assert receipts.latest(receipts.read_receipts(spark, f"{d}/v.json")).count() == 0  # the broken newest hides version 1
+
+
+def test_short_attempt_lists_end_at_their_last(spark):
+    rows = [("p", 1, 1, True, False), ("p", 2, 1, False, False), ("p", 3, 1, True, False), ("p", 3, 2, True, True)]
+    df = spark.createDataFrame(rows, "product string, cluster_id int, attempt int, parse_ok boolean, valid boolean")
+    got = {(r.cluster_id, r.attempt): (r.final, r.outcome, r.keep_quotes) for r in themes.resolve_attempts(df).collect()}
+    assert got == {(1, 1): (True, "theme", False), (2, 1): (True, "skipped", False),
+                   (3, 1): (False, None, None), (3, 2): (True, "theme", True)}
 
 
 def test_sinks_partition_overwrite(spark):
