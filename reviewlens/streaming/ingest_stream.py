@@ -1,11 +1,10 @@
 """Incremental ingest of landed review files with Structured Streaming.
 
 S1: landed JSON records -> record mapping (A3) -> quality gate (B1-B3, plus
-B4 when a language column is present) -> event time from the ISO text (C8)
--> watermark + ``dropDuplicatesWithinWatermark(review_id)`` (keep-first
-across micro-batches) -> redaction (C3). Records whose time cannot be parsed
-cannot carry a watermark; they are split off to a side output in the same
-micro-batch (``foreachBatch``), so no row is dropped.
+B4 when a language column is present) -> redaction (C3) -> per micro-batch,
+the first arrival of each (product, review_id) that the stored table does not
+have yet is appended. Late files and records whose time cannot be parsed are
+ordinary rows: nothing expires, no row is dropped for its time.
 
 S2: weekly rating counts per product over event time, Monday-aligned
 tumbling windows (the epoch is a Thursday, so a 4-day start offset aligns
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.functions.dates import parse_time
 from reviewlens.operators import ingest
 from reviewlens.schemas import RAW_RECORD
 
@@ -33,16 +33,11 @@ def read_landing(spark: SparkSession, path: str, max_files_per_trigger: int | No
     return r.json(path)
 
 
-def clean_stream(raw: DataFrame, watermark: str = "14 days") -> tuple[DataFrame, DataFrame]:
-    """(clean timed stream, untimed stream). Both are gated and redacted."""
+def clean_stream(raw: DataFrame) -> DataFrame:
+    """Gated and redacted records with their event time ``ts`` (null if it cannot be parsed)."""
     mapped = ingest.map_records(raw)
     gate = ingest.reject_reason("text", "lang") if "lang" in mapped.columns else _gate_no_lang()
-    gated = mapped.filter(gate.isNull()).withColumn("ts", F.try_to_timestamp(F.col("timestamp")))
-    timed = (gated.filter(F.col("ts").isNotNull())
-             .withWatermark("ts", watermark)
-             .dropDuplicatesWithinWatermark(["review_id"]))
-    untimed = gated.filter(F.col("ts").isNull())
-    return ingest.redact_reviews(timed), ingest.redact_reviews(untimed)
+    return ingest.redact_reviews(mapped.filter(gate.isNull()).withColumn("ts", parse_time("timestamp")))
 
 
 def _gate_no_lang():
@@ -60,20 +55,27 @@ def weekly_rating_counts(timed: DataFrame) -> DataFrame:
             .select("product", F.col("week.start").alias("week_start"), "rating", "n"))
 
 
-def start_ingest(spark: SparkSession, landing: str, out_dir: str, checkpoint: str,
-                 watermark: str = "14 days", available_now: bool = True):
-    """Run S1 into parquet tables ``clean`` and ``untimed`` under ``out_dir``.
+def append_new(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Append the first arrival of each (product, review_id) that earlier batches have not stored.
 
-    ``checkpoint`` must be a shared, durable folder (restarts resume from it).
+    Rows lie in a folder per batch: a batch that is run again after a failure
+    replaces its own rows and is compared with the earlier ones only.
     """
-    timed, untimed = clean_stream(read_landing(spark, landing), watermark)
+    spark = batch.sparkSession
+    new = ingest.dedup_keep_first(batch)
+    if batch_id > 0:
+        stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(path).filter(F.col("batch") < batch_id)
+        new = new.join(stored.select("product", "review_id"), ["product", "review_id"], "left_anti").select(batch.columns)
+    new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
 
-    def write_untimed(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(f"{out_dir}/untimed")
+def start_ingest(spark: SparkSession, landing: str, out_dir: str, checkpoint: str,
+                 available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Run S1 into the parquet table ``clean`` under ``out_dir``.
 
-    w1 = (timed.writeStream.format("parquet").option("path", f"{out_dir}/clean")
-          .option("checkpointLocation", f"{checkpoint}/clean").outputMode("append"))
-    w2 = untimed.writeStream.foreachBatch(write_untimed).option("checkpointLocation", f"{checkpoint}/untimed")
-    if available_now:
-        w1, w2 = w1.trigger(availableNow=True), w2.trigger(availableNow=True)
-    return w1.start(), w2.start()
+    ``checkpoint`` must be a shared, durable folder (restarts resume from it).
+    """
+    clean = clean_stream(read_landing(spark, landing, max_files_per_trigger))
+    writer = (clean.writeStream.foreachBatch(lambda batch, i: append_new(batch, f"{out_dir}/clean", i))
+              .option("checkpointLocation", f"{checkpoint}/clean"))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
