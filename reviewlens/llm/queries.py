@@ -26,9 +26,9 @@ CONTEMPT = ("disgusting", "pathetic", "trash", "worthless")
 
 
 def toxic_categories(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``labels`` refined: insult and contempt are the toxic documents that hold such a word, toxic as given."""
+    """``labels`` (a bounded sample) refined: insult and contempt are the toxic documents that hold such a word."""
     low = F.lower("text")
-    given = labels.select("doc_id", "toxic").join(docs.select("doc_id", low.alias("low")), "doc_id", "left")
+    given = docs.select("doc_id", low.alias("low")).join(F.broadcast(labels.select("doc_id", "toxic")), "doc_id")
     holds = lambda words: F.coalesce((F.col("toxic") == 1) & F.col("low").rlike(rf"\b({'|'.join(words)})\b"), F.lit(False))
     return given.select("doc_id", holds(INSULTS).cast("int").alias("insult"),
                         holds(CONTEMPT).cast("int").alias("contempt"), "toxic")

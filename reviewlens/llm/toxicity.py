@@ -9,6 +9,7 @@ as they will be on new texts.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,9 @@ from pyspark.sql import types as T
 
 from reviewlens.llm.common import BLOCK_BYTES, map_texts
 
-MAX_ROWS = 12_000
+MAX_ROWS = 6_000
 MIN_CONTEXTS = 5
-MIN_Z = 4.0
+MIN_Z = 6.0
 FOLDS = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -119,8 +120,6 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
                     + [pa.array([w for w, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.int64())],
                     names=schema.fieldNames())
 
-    import zlib
-
     def hash_pair(a: str, b: str) -> int:
         return zlib.crc32(f"{a} {b}".encode())
 
@@ -151,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
               .mapInArrow(features, ", ".join(f"{c} int" for c in categories) + ", words array<int>, group long")
               .orderBy("group", "words", *categories).collect())  # max_rows rows of a few numbers
     rows.unpersist()
-    x = np.zeros((len(sample), len(words)))
+    x = np.zeros((len(sample), len(words)), np.float32)
     for i, r in enumerate(sample):
         x[i, r["words"]] = 1
     y = np.array([[r[c] for c in categories] for r in sample]).reshape(len(sample), len(categories))
