@@ -78,6 +78,7 @@ MESSAGE_OVERHEAD_TOKENS = 3
 REPLY_PRIMING_TOKENS = 3
 CHARS_PER_TOKEN = 4
 REVIEW_BLOCK_SEPARATOR = "\n---\n"
+QUOTES_SHOWN = 3
 
 # --- explorer ---------------------------------------------------------------
 PAGE_SIZE = 10
@@ -95,6 +96,14 @@ THEME_RULES = [
 FALLBACK_POSITIVE = ("Good Investment App", "green")   # rating >= 4
 FALLBACK_NEGATIVE = ("Trading Issues", "red")          # rating <= 2
 FALLBACK_NEUTRAL = ("Feature Requests", "amber")       # otherwise
+# What an extractive theme suggests, by the tag of its representatives.
+THEME_ACTIONS = {
+    "Trading Issues": ("Stabilise order flow", "Trace the reported failures and delays."),
+    "Poor Customer Support": ("Answer faster", "Review open support cases of these users."),
+    "Feature Requests": ("Plan requested features", "Rank the requests by how many users ask."),
+    "Good Investment App": ("Keep what works", "Show these strengths to new users."),
+    "Easy Interface": ("Keep it simple", "Test new screens against these praises."),
+}
 SENTIMENT_ACTIONS = {"pos": "Thank User", "neg": "Escalate", "neu": "Reply"}
 STATUS_LABELS = {"appended": "Appended", "draft_created": "Draft Created"}  # document, mail
 

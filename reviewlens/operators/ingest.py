@@ -15,6 +15,8 @@ from reviewlens.functions.text import has_emoji, has_min_words, is_blank
 from reviewlens.schemas import REVIEW
 
 REVIEW_COLUMNS = [f.name for f in REVIEW.fields]
+RESPONSE_FIELDS = ("review_id", "author", "rating", "text", "timestamp", "thumbs_up", "app_version")
+SALTS = 32  # parts of a product in the bounded scan
 
 
 def map_records(raw: DataFrame, product: str | Column | None = None) -> DataFrame:
@@ -43,13 +45,22 @@ def map_records(raw: DataFrame, product: str | Column | None = None) -> DataFram
     return raw.select(*cols)
 
 
-def reject_reason(text: str = "text", lang: str = "lang") -> Column:
-    """First failing test of the gate in order B1, B2, B3, B4; null = accepted."""
+def text_reject_reason(text: str = "text") -> Column:
+    """First failing test of B1, B2, B3, which read the text alone; null = passed."""
     t = F.col(text)
     return (F.when(is_blank(t), F.lit("empty"))
             .when(~has_min_words(t, MIN_WORDS), F.lit("too_short"))
-            .when(has_emoji(t), F.lit("emoji"))
-            .when(F.coalesce(F.col(lang) != ACCEPTED_LANGUAGE, F.lit(True)), F.lit("not_english")))
+            .when(has_emoji(t), F.lit("emoji")))
+
+
+def other_language(lang: str = "lang") -> Column:
+    """B4 fails: another language, or none."""
+    return F.coalesce(F.col(lang) != ACCEPTED_LANGUAGE, F.lit(True))
+
+
+def reject_reason(text: str = "text", lang: str = "lang") -> Column:
+    """First failing test of the gate in order B1, B2, B3, B4; null = accepted."""
+    return F.coalesce(text_reject_reason(text), F.when(other_language(lang), F.lit("not_english")))
 
 
 def quality_gate(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -74,16 +85,19 @@ def bounded_scan(df: DataFrame, count: int, sort_mode: str = "newest",
                  lang: str = "lang", by: tuple[str, ...] = ("product",)) -> DataFrame:
     """A1 + F9: accepted records, the first ``count`` per product in source order.
 
-    The cap counts rows after the gate. ``row_number() <= count`` lets Catalyst
-    insert a partial WindowGroupLimit before the shuffle, so a hot product sends
-    at most ``count`` rows per map task.
+    The cap counts rows after the gate. A product's rows are ranked in
+    ``SALTS`` parts by hash of their arrival key first, so a hot product is not
+    one task's sort; at most ``count`` rows of each part are ranked again.
     """
     if count < 1:
         raise ValueError("count must be >= 1")
-    w = Window.partitionBy(*by).orderBy(*sort_keys(sort_mode))
-    return (quality_gate(df, lang=lang)
-            .withColumn("__rn", F.row_number().over(w))
-            .filter(F.col("__rn") <= count).drop("__rn"))
+    order = sort_keys(sort_mode)
+    part = F.pmod(F.xxhash64("seq"), F.lit(SALTS))
+    first = Window.partitionBy(*by, "__part").orderBy(*order)
+    whole = Window.partitionBy(*by).orderBy(*order)
+    return (quality_gate(df, lang=lang).withColumn("__part", part)
+            .withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= count)
+            .withColumn("__rn", F.row_number().over(whole)).filter(F.col("__rn") <= count).drop("__rn", "__part"))
 
 
 def in_window(as_of, window_weeks: int = DEFAULT_WINDOW_WEEKS, ts: str = "timestamp") -> Column:
@@ -152,6 +166,12 @@ def reject_counts(reviews: DataFrame, lang: str = "lang", by: tuple[str, ...] =
             .groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n")))
 
 
+def response_rows(reviews: DataFrame, keys: tuple[str, ...] = ("product", "seq")) -> DataFrame:
+    """A5: ``keys`` and the seven response fields of each review as one JSON object (``value``), nulls kept."""
+    body = F.to_json(F.struct(*RESPONSE_FIELDS), {"ignoreNullFields": "false"})
+    return reviews.select(*[k for k in keys if k in reviews.columns], body.alias("value"))
+
+
 def decode_tool_response(df: DataFrame, col: str = "value") -> DataFrame:
     """A4: each element is JSON text; a JSON *string* is decoded once more.
 

@@ -3,21 +3,23 @@
 Training and scoring are Spark aggregations and joins over whole texts:
 
 * training: every trigram of ``lower(text)`` is counted per language; the
-  model keeps every trigram with weight ``ln(count + 1)``, plus one normaliser row per language with ``ln(N_lang + V)`` (add-one smoothing,
+  model keeps every trigram with weight ``ln(count + 1)``, plus one
+  normaliser row per language with ``ln(N_lang + V)`` (add-one smoothing,
   ``V`` = distinct trigrams seen in training);
-* scoring: the trigrams of each text are exploded, matched against the model
-  (broadcast after its size is counted) and summed per (text, language);
+* scoring: the trigrams of each text are exploded, matched against one model
+  row per trigram (broadcast after its size is counted) and summed per text;
   score = sum of matched weights - n_trigrams * ln(N_lang + V);
 * prediction: highest score, ties by language code; a text with no trigram
   is undetectable (null).
 
-Only (text, language) partial sums cross the shuffle; the exploded trigrams
-stay inside the map stage.
+Only one row of partial sums per text crosses the shuffle; texts and exploded
+trigrams stay inside the map stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.plans.joins import lookup_join
@@ -55,19 +57,33 @@ def train_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     return weights.unionByName(norm)
 
 
-def detect(df: DataFrame, profile: DataFrame, key: str = "seq", text_col: str = "text",
+def detect(df: DataFrame, profile: DataFrame, key: tuple[str, ...] = ("product", "seq"), text_col: str = "text",
            out: str = "lang_pred") -> DataFrame:
-    """Add ``out`` = most likely language of ``text_col`` (null when undetectable)."""
-    docs = with_trigrams(df.select(key, text_col), text_col)
-    occ = docs.select(key, F.explode("__g").alias("gram"), F.lit(1).alias("__mult"))
-    # one normaliser row per text carries its trigram count
-    norm = docs.select(key, F.lit(NORMALISER).cast("long").alias("gram"), F.size("__g").alias("__mult"))
-    rows = occ.unionByName(norm)
-    j = lookup_join(rows, profile, ["gram"], "inner", row_bytes=F.lit(48))
-    contrib = F.when(F.col("gram") == NORMALISER, -F.col("__mult") * F.col("weight")).otherwise(F.col("weight"))
-    scores = j.groupBy(key, "lang").agg(F.sum(contrib).alias("score"),
-                                        F.max(F.when(F.col("gram") == NORMALISER, F.col("__mult"))).alias("__n"))
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("lang").asc())
-    best = (scores.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1)
-            .select(key, F.when(F.col("__n") > 0, F.col("lang")).alias(out)))
-    return df.join(best, key, "left")
+    """``df`` without its text, with ``out`` = most likely language of ``text_col`` (null when undetectable).
+
+    One pass over the texts: an exploded trigram meets one profile row with a
+    weight column per language, and a text's sums are combined in its own map
+    task. ``key`` identifies a text; the other columns of ``df`` travel with it.
+    """
+    kept = [c for c in df.columns if c != text_col]
+    key = [c for c in key if c in kept]
+    long = profile.persist(StorageLevel.MEMORY_AND_DISK)
+    norms = {r["lang"]: r["weight"] for r in long.filter(F.col("gram") == NORMALISER).collect()}  # one per language
+    langs = sorted(norms)
+    if not langs:
+        long.unpersist()
+        return df.select(*kept, F.lit(None).cast("string").alias(out))
+    wide = long.filter(F.col("gram") != NORMALISER).groupBy("gram").agg(*[
+        F.sum(F.when(F.col("lang") == lang, F.col("weight"))).alias(f"__w{i}") for i, lang in enumerate(langs)])
+    docs = with_trigrams(df, text_col).withColumn("__n", F.coalesce(F.size("__g"), F.lit(0)))
+    occ = docs.select(*kept, "__n", F.explode_outer("__g").alias("gram"))
+    found = lookup_join(occ, wide, ["gram"], "left", row_bytes=F.lit(24 + 8 * len(langs)), salt_cols=key)
+    long.unpersist()
+    others = [c for c in kept if c not in key]
+    sums = found.groupBy(*key).agg(
+        F.max("__n").alias("__n"), *[F.first(c).alias(c) for c in others],
+        *[F.coalesce(F.sum(f"__w{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(len(langs))])
+    score = [F.col(f"__s{i}") - F.col("__n") * F.lit(norms[lang]) for i, lang in enumerate(langs)]
+    best = F.array_max(F.array(*score))
+    first = F.coalesce(*[F.when(s == best, F.lit(lang)) for s, lang in zip(score, langs)])  # ties: by language code
+    return sums.select(*kept, F.when(F.col("__n") > 0, first).alias(out))

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.fixed_values import (CHARS_PER_TOKEN, COMPLETION_BUFFER_TOKENS,
-                                     MAX_ATTEMPTS, MESSAGE_OVERHEAD_TOKENS,
+                                     MAX_ATTEMPTS, MESSAGE_OVERHEAD_TOKENS, QUOTES_SHOWN,
                                      REPLY_PRIMING_TOKENS, REQUESTS_PER_DAY,
                                      REVIEW_BLOCK_SEPARATOR, TOKEN_BUDGET_CAP)
+from reviewlens.functions.display import quote_class
 from reviewlens.schemas import THEME_RESPONSE
 
 # Our own instruction text for the summariser hook (any callable may replace it).
@@ -179,6 +180,24 @@ def finished_themes(gated: DataFrame, clusters: DataFrame, by: tuple[str, ...] =
     return theme.join(stats, [*by, "cluster_id"], "inner").withColumn("theme_rank", F.row_number().over(w))
 
 
+def usage_records(gated: DataFrame, used_at: Column, by: tuple[str, ...] = ("product",)) -> DataFrame:
+    """H7: the usage table's rows, one per admitted request."""
+    return gated.filter("admitted").select(*by, "cluster_id", "attempt", used_at.alias("used_at"), "used_tokens")
+
+
+def usage_daily(records: DataFrame, by: tuple[str, ...] = ("product",)) -> DataFrame:
+    """H7: requests and tokens per run and day."""
+    return records.groupBy(*by, F.to_date("used_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("used_tokens").cast("long").alias("tokens"))
+
+
+def quote_cards(finished: DataFrame, shown: int = QUOTES_SHOWN, by: tuple[str, ...] = ("product",)) -> DataFrame:
+    """F7 + C19: the first ``shown`` quotes of each theme, each with its rating class."""
+    first = finished.select(*by, "cluster_id", F.posexplode(F.slice("quotes", 1, shown)).alias("position", "q"))
+    return first.select(*by, "cluster_id", "position", F.col("q.text").alias("text"),
+                        F.col("q.rating").cast("int").alias("rating"), quote_class("q.rating").alias("quote_class"))
+
+
 def token_totals(gated: DataFrame, by: tuple[str, ...] = ("product",)) -> DataFrame:
     """E10 + H7: tokens of finished themes (last attempt each), all admitted tokens, requests."""
     fin = F.col("final") & F.col("admitted") & (F.col("outcome") == "theme")

@@ -18,7 +18,7 @@ from reviewlens.functions.dates import iso_week_label, iso_week_valid, parse_tim
 from reviewlens.functions import display
 from reviewlens import fixed_values as V
 from reviewlens.operators import (clusters, explore, ids, ingest, language, receipts, render,
-                                 summary, themes, vectors)
+                                 summarise, summary, themes, vectors)
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -613,7 +613,9 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with a predicted language from a model trained on the labelled documents."""
     from reviewlens.sources.tables import read_text_table
     profile = language.train_profile(read_text_table(spark, sf_dir, "documents"))
-    return language.detect(review_view(spark, sf_dir), profile)
+    reviews = review_view(spark, sf_dir).select(
+        "product", "seq", "lang", "text", ingest.text_reject_reason("text").alias("reason"))
+    return language.detect(reviews, profile)
 
 
 @register("language_id", _with(LANG_CTES + """
@@ -632,7 +634,8 @@ FROM detected GROUP BY ALL
 """))
 def q_ingest_quality_detected(spark, sf_dir):
     """B4 + B5 with the detector: first failing test per review, language from G0."""
-    return ingest.reject_counts(detected(spark, sf_dir), lang="lang_pred")
+    reason = F.coalesce("reason", F.when(ingest.other_language("lang_pred"), F.lit("not_english")), F.lit("accepted"))
+    return detected(spark, sf_dir).groupBy("product", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------- rendering ----
@@ -878,6 +881,195 @@ def q_receipt_status(spark, sf_dir):
     return receipts.status_all(receipts.latest(receipt_versions(spark, sf_dir)))
 
 
+RECEIPT_KEY = "view:2024-W08"
+
+
+@register("receipt_one", _with_receipts(f"""
+SELECT idempotency_key, version, doc_status, gmail_status FROM current_ok WHERE idempotency_key = {S.q(RECEIPT_KEY)}
+"""))
+def q_receipt_one(spark, sf_dir):
+    """The current receipt of one product and week (no row when there is none)."""
+    one = receipts.status_of(receipts.latest(receipt_versions(spark, sf_dir)), RECEIPT_KEY)
+    return one.select("idempotency_key", "version", "doc_status", "gmail_status")
+
+
+def delivery_attempts(current: DataFrame) -> DataFrame:
+    """Results of the outbox's steps, derived from the receipts; a mail waiting on a failed doc is not tried."""
+    todo = receipts.delivery_outbox(current).join(current.select("idempotency_key", "reviews_ingested"), "idempotency_key")
+    is_doc, doc_ok = F.col("channel") == "google_doc", F.col("reviews_ingested") % 3 != 0
+    return todo.filter(is_doc | F.col("depends_on").isNull() | doc_ok).select(
+        "idempotency_key", "channel", F.when(is_doc, doc_ok).otherwise(F.col("reviews_ingested") % 2 == 0).alias("ok"),
+        F.concat("channel", F.lit("-"), "idempotency_key").alias("ref"))
+
+
+OUTCOME_CTES = """
+, todo AS (
+  SELECT *, doc_status <> 'appended' AS doc_todo, gmail_status <> 'drafted' AS mail_todo,
+         reviews_ingested % 3 <> 0 AS doc_ok, reviews_ingested % 2 = 0 AS mail_ok
+  FROM current_ok
+),
+outcome AS (
+  SELECT idempotency_key, run_timestamp, reviews_ingested,
+         CASE WHEN NOT doc_todo THEN doc_status WHEN doc_ok THEN 'appended' ELSE 'failed' END AS doc_status,
+         CASE WHEN doc_todo AND doc_ok THEN 'google_doc-' || idempotency_key ELSE doc_id END AS doc_id,
+         CASE WHEN NOT mail_todo OR (doc_todo AND NOT doc_ok) THEN gmail_status
+              WHEN mail_ok THEN 'drafted' ELSE 'failed' END AS gmail_status,
+         CASE WHEN mail_todo AND mail_ok AND NOT (doc_todo AND NOT doc_ok) THEN 'gmail-' || idempotency_key
+              ELSE draft_id END AS draft_id
+  FROM todo WHERE doc_todo OR mail_todo
+)"""
+
+
+@register("delivery_results", _with_receipts(OUTCOME_CTES.replace("\n, todo", ", todo", 1) + """
+SELECT idempotency_key, reviews_ingested, doc_status, doc_id, gmail_status, draft_id FROM outcome
+"""))
+def q_delivery_results(spark, sf_dir):
+    """Results of the delivery steps folded back into the receipts; a failed doc leaves the mail untried."""
+    cur = receipts.latest(receipt_versions(spark, sf_dir))
+    return receipts.record_outcome(cur, delivery_attempts(cur)).select(
+        "idempotency_key", "reviews_ingested", "doc_status", "doc_id", "gmail_status", "draft_id")
+
+
+@register("receipts_upsert", _with_receipts(OUTCOME_CTES.replace("\n, todo", ", todo", 1) + """
+SELECT o.idempotency_key, CAST(v.version + 1 AS BIGINT) AS version, o.run_timestamp, o.doc_status, o.gmail_status
+FROM outcome o JOIN (SELECT idempotency_key, max(version) AS version FROM versions GROUP BY ALL) v USING (idempotency_key)
+"""))
+def q_receipts_upsert(spark, sf_dir):
+    """J2 write side: the delivered receipts as new versions."""
+    versions = receipt_versions(spark, sf_dir)
+    cur = receipts.latest(versions)
+    return receipts.upsert(versions, receipts.record_outcome(cur, delivery_attempts(cur))).select(
+        "idempotency_key", "version", "run_timestamp", "doc_status", "gmail_status")
+
+
+# ------------------------------------------- bounded scans and responses ----
+
+CAP = 25  # binds on every product of the given data
+SCAN_MODES = {"newest": f"{S.ts()} DESC NULLS LAST", "rating": "rating DESC NULLS LAST",
+              "most_relevant": "thumbs_up DESC NULLS LAST", "unlisted": f"{S.ts()} DESC NULLS LAST"}
+
+
+@register("ingest_quality_capped", _with("\nUNION ALL\n".join(f"""(
+SELECT {S.q(mode)} AS sort_mode, product, seq, review_id, rating, thumbs_up FROM gated
+QUALIFY row_number() OVER (PARTITION BY product ORDER BY {order}, seq) <= {CAP})""" for mode, order in SCAN_MODES.items())))
+def q_ingest_quality_capped(spark, sf_dir):
+    """A1 + A2 + F9: a binding cap per product in each source order; an unlisted mode is newest."""
+    rv, out = review_view(spark, sf_dir), None
+    for mode in SCAN_MODES:
+        one = ingest.bounded_scan(rv, CAP, mode).select(
+            F.lit(mode).alias("sort_mode"), "product", "seq", "review_id", "rating", "thumbs_up")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("response_rows", _with("""
+SELECT product, seq, CAST(to_json({'review_id': review_id, 'author': author, 'rating': rating, 'text': text,
+       'timestamp': timestamp, 'thumbs_up': thumbs_up, 'app_version': app_version}) AS VARCHAR) AS value
+FROM gated
+"""))
+def q_response_rows(spark, sf_dir):
+    """A5: the seven response fields of every accepted review as JSON."""
+    return ingest.response_rows(ingest.quality_gate(review_view(spark, sf_dir)))
+
+
+# ------------------------------------------ prompts, usage, cards, themes ----
+
+@register("prompt_messages", _with_themes(f"""
+SELECT product, cluster_id, 0 AS position, 'system' AS role, {_SYS} AS content FROM tprompt
+UNION ALL
+SELECT product, cluster_id, 1 AS position, 'user' AS role, 'Reviews:' || chr(10) || block AS content FROM tprompt
+"""))
+def q_prompt_messages(spark, sf_dir):
+    """The two messages of each cluster's prompt."""
+    prompts = themes.cluster_prompts(*ranked_clusters(spark, sf_dir))
+    return prompts.select("product", "cluster_id", F.posexplode("messages").alias("position", "m")).select(
+        "product", "cluster_id", "position", "m.role", "m.content")
+
+
+@register("usage_daily", _with_themes(f"""
+SELECT product, {S.q(AS_OF[:10])} AS day, count(*) AS requests, CAST(sum(used_tokens) AS BIGINT) AS tokens
+FROM tadm WHERE admitted GROUP BY product
+"""))
+def q_usage_daily(spark, sf_dir):
+    """H7: the usage table's requests and tokens per run and day."""
+    _, gated = finished(spark, sf_dir)
+    daily = themes.usage_daily(themes.usage_records(gated, F.lit(AS_OF).cast("timestamp")))
+    return daily.withColumn("day", F.col("day").cast("string"))
+
+
+@register("quote_cards", _with_render("""
+SELECT t.product, t.cluster_id, q.qidx AS position, q.q_text AS text, q.q_rating AS rating,
+       CASE WHEN q.q_rating >= 4 THEN 'green' WHEN q.q_rating <= 2 THEN 'red' ELSE 'amber' END AS quote_class
+FROM th t JOIN tquotes q ON q.product = t.product AND q.cluster_id = t.cluster_id AND q.attempt = t.attempt
+WHERE t.keep_quotes AND q.qidx < 3
+"""))
+def q_quote_cards(spark, sf_dir):
+    """F7 + C19: first three quotes of each finished theme with their class."""
+    return themes.quote_cards(finished(spark, sf_dir)[0])
+
+
+@register("run_counters", _with_render("""
+SELECT c.product, c.n AS reviews_ingested, coalesce(k.n, 0) AS clusters_found, coalesce(t.n, 0) AS themes_generated
+FROM (SELECT product, count(*) AS n FROM clean GROUP BY product) c
+LEFT JOIN (SELECT product, count(*) AS n FROM ranked GROUP BY product) k USING (product)
+LEFT JOIN (SELECT product, count(*) AS n FROM th GROUP BY product) t USING (product)
+"""))
+def q_run_counters(spark, sf_dir):
+    """Reviews, clusters and themes of each run."""
+    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    done = themes.finished_themes(themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP), ranked)
+    count = lambda df, name: df.groupBy("product").agg(F.count(F.lit(1)).alias(name))
+    out = (count(clean(spark, sf_dir), "reviews_ingested").join(count(ranked, "clusters_found"), "product", "left")
+           .join(count(done, "themes_generated"), "product", "left"))
+    return out.fillna(0, ["clusters_found", "themes_generated"])
+
+
+_ACTION_SQL = "CASE tag " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v[0])}" for k, v in V.THEME_ACTIONS.items()) + " END"
+
+
+@register("cluster_themes", _with_clusters(f"""
+, cterm AS (
+  SELECT product, cluster_id, term, count(*) AS n
+  FROM (SELECT product, cluster_id, unnest(list_distinct(regexp_extract_all(lower(text), '{summarise.TERM_PATTERN}'))) AS term
+        FROM members) GROUP BY ALL
+),
+cname AS (
+  SELECT product, cluster_id, string_agg(term, ' / ' ORDER BY place) AS theme_name
+  FROM (SELECT t.product, t.cluster_id, t.term, row_number() OVER (
+               PARTITION BY t.product, t.cluster_id ORDER BY round(t.n * ln(m.total / d.df), 6) DESC, t.term) AS place
+        FROM cterm t JOIN (SELECT product, term, sum(n) AS df FROM cterm GROUP BY ALL) d USING (product, term)
+        JOIN (SELECT product, count(*) AS total FROM members GROUP BY product) m USING (product)
+        WHERE t.cluster_id <> -1)
+  WHERE place <= {summarise.NAME_TERMS} GROUP BY ALL
+),
+csent AS (
+  SELECT *, list_filter(list_transform(regexp_extract_all(text, '{summarise.SENTENCE_PATTERN}'), lambda s: trim(s)),
+                        lambda s: length(s) > 0) AS sentences FROM reps
+),
+cquote AS (
+  SELECT product, cluster_id, string_agg(doc_id || ': ' || CASE WHEN len(sentences) > 0 THEN list_reduce(
+           sentences, lambda a, b: CASE WHEN length(b) < length(a) THEN b ELSE a END) ELSE '' END, chr(10) ORDER BY rank) AS quotes
+  FROM csent GROUP BY ALL
+),
+ctag AS (
+  SELECT product, cluster_id, tag, count(*) AS n
+  FROM (SELECT product, cluster_id, {S.theme_tag_sql()[0]} AS tag FROM reps) GROUP BY product, cluster_id, tag
+  QUALIFY row_number() OVER (PARTITION BY product, cluster_id ORDER BY count(*) DESC, tag) = 1
+)
+SELECT k.product, k.rank, k.cluster_id, coalesce(n.theme_name, {S.q(V.MISSING_THEME_TEXT)}) AS theme_name,
+       CAST(k.size AS VARCHAR) || ' reviews, most about ' || tag AS description, q.quotes, {_ACTION_SQL} AS action
+FROM ranked k LEFT JOIN cname n USING (product, cluster_id) LEFT JOIN cquote q USING (product, cluster_id)
+LEFT JOIN ctag USING (product, cluster_id)
+"""))
+def q_cluster_themes(spark, sf_dir):
+    """H1: extractive theme of each ranked cluster: name, description, verbatim quotes, action."""
+    ranked, reps = ranked_clusters(spark, sf_dir)
+    t = summarise.extractive_themes(ranked, reps, members(spark, sf_dir))
+    lines = F.transform("quotes", lambda q: F.concat(q["doc_id"], F.lit(": "), q["text"]))
+    return t.select("product", F.col("rank").cast("long").alias("rank"), "cluster_id", "theme_name", "description",
+                    F.array_join(lines, "\n").alias("quotes"), F.get("action_ideas", F.lit(0))["title"].alias("action"))
+
+
 # --------------------------------------------------------------- vectors ----
 
 @register("embed_text")

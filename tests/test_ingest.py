@@ -52,6 +52,26 @@ def test_redaction_mixed_line_and_idempotent(spark):
     assert t2 == t and n2 == 0
 
 
+def test_bounded_scan_orders_and_cap(spark):
+    text = "one two three four five six seven eight"
+    rows = [("p", s, f"r{s}", s % 5 + 1, text, f"2026-06-{s % 28 + 1:02d}T00:00:00", s % 7, "en") for s in range(400)]
+    df = spark.createDataFrame(rows, "product string, seq long, review_id string, rating int, text string, "
+                                     "timestamp string, thumbs_up int, lang string")
+    want = {"rating": sorted(range(400), key=lambda s: (-(s % 5), s))[:30],
+            "most_relevant": sorted(range(400), key=lambda s: (-(s % 7), s))[:30],
+            "newest": sorted(range(400), key=lambda s: (-(s % 28), s))[:30]}
+    for mode, seqs in (*want.items(), ("unlisted", want["newest"])):
+        assert sorted(r.seq for r in ingest.bounded_scan(df, 30, mode).collect()) == sorted(seqs)
+
+
+def test_responses_decode_to_their_reviews(spark):
+    rows = [("p", 1, "r1", "A \"b\"", 5, "line\none é", "2026-06-01", 3, None), ("p", 2, "r2", "", 1, "x", "", 0, "1.0")]
+    df = spark.createDataFrame(rows, "product string, seq long, review_id string, author string, rating int, text string, "
+                                     "timestamp string, thumbs_up int, app_version string")
+    back = ingest.decode_tool_response(ingest.response_rows(df)).select(*ingest.RESPONSE_FIELDS, "reject")
+    assert sorted(tuple(r) for r in back.collect()) == [(*r[2:], False) for r in rows]
+
+
 def test_quality_gate(spark):
     rows = [
         ("a", "five words are right here", "en"),

@@ -10,7 +10,8 @@ from tools.oracle_check import rows_of
 
 SAMPLE = ["weekly_summary", "ingest_stage_counts", "redact_reviews", "anonymised_reviews",
           "cluster_representatives", "quote_validation", "token_budget", "explore_feed",
-          "theme_tags", "report_text", "delivery_outbox"]
+          "theme_tags", "report_text", "delivery_outbox", "cluster_themes", "ingest_quality_capped",
+          "response_rows", "quote_cards", "receipts_upsert"]
 
 
 @pytest.fixture(scope="module")

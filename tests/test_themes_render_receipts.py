@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from reviewlens.operators import receipts, render, themes
+from reviewlens.operators import receipts, render, summarise, themes
 from reviewlens.sources import landing
 
 REPS = [("p", 1, 1, "doc_1", 5, "The app crashes on login every time"),
@@ -134,6 +134,49 @@ def test_short_attempt_lists_end_at_their_last(spark):
                    (3, 1): (False, None, None), (3, 2): (True, "theme", True)}
 
 
+def test_extractive_themes_quote_verbatim(spark):
+    texts = [(1, 1, "Login fails. The login page crashes every single time I open it!", 1), (2, 1, "Login broken again", 1),
+             (3, 2, "Lovely charts and colours.\nGreat", 5), (4, 2, "", 5), (5, -1, "Nothing about login here", 3)]
+    members = spark.createDataFrame([("p", s, c, f"doc_{s}", r, t) for s, c, t, r in texts],
+                                    "product string, seq long, cluster_id int, doc_id string, rating int, text string")
+    reps = members.filter("cluster_id > 0").withColumn("rank", F.col("seq").cast("int"))
+    ranked = spark.createDataFrame([("p", 1, 1, 2, 1.0), ("p", 2, 2, 2, 5.0)],
+                                   "product string, cluster_id int, rank int, size long, avg_rating double")
+    got = {r.cluster_id: r for r in summarise.extractive_themes(ranked, reps, members).collect()}
+    assert [q.text for q in got[1].quotes] == ["Login fails.", "Login broken again"]
+    assert [q.text for q in got[2].quotes] == ["Great", ""]
+    assert got[1].theme_name == "again / broken / crashes" and got[1].description == "2 reviews, most about " + got[1].tag
+    assert got[1].action_ideas[0].title and got[2].action_ideas[0].detail
+    attempts = spark.createDataFrame([("p", k, 1, True, r.asDict(recursive=True)) for k, r in got.items()],
+                                     "product string, cluster_id int, attempt int, parse_ok boolean, parsed struct<"
+                                     "quotes: array<struct<text: string, doc_id: string, rating: int>>>")
+    assert {r.verdict for r in themes.quote_verdicts(attempts, reps).collect()} == {"ok"}
+
+
+def test_outcomes_fold_back_as_new_versions(spark):
+    cols = ("idempotency_key string, version long, run_timestamp string, reviews_ingested long, clusters_found long, "
+            "themes_generated long, doc_status string, doc_id string, gmail_status string, draft_id string")
+    v = spark.createDataFrame([("a:w1", 4, "t", 5, 0, 0, "pending", None, "pending", None),
+                               ("a:w2", 1, "t", 5, 0, 0, "appended", "d", "failed", None)], cols)
+    results = spark.createDataFrame([("a:w1", "google_doc", False, "x"), ("a:w2", "gmail", True, "m")],
+                                    "idempotency_key string, channel string, ok boolean, ref string")
+    cur = receipts.latest(v)
+    new = receipts.upsert(v, receipts.record_outcome(cur, results))
+    got = {r.idempotency_key: (r.version, r.doc_status, r.doc_id, r.gmail_status, r.draft_id) for r in new.collect()}
+    assert got == {"a:w1": (5, "failed", None, "pending", None), "a:w2": (2, "appended", "d", "drafted", "m")}
+    both = receipts.latest(v.unionByName(new))
+    assert [r.version for r in receipts.status_of(both, "a:w1").collect()] == [5]
+    assert receipts.status_of(both, "a:w9").count() == 0
+
+
+def test_usage_by_day(spark):
+    g = spark.createDataFrame([("p", 1, 1, True, 10, "2026-06-10 23:59:00"), ("p", 1, 2, True, 5, "2026-06-11 00:01:00"),
+                               ("p", 2, 1, False, 99, "2026-06-11 00:02:00")],
+                              "product string, cluster_id int, attempt int, admitted boolean, used_tokens long, at string")
+    daily = themes.usage_daily(themes.usage_records(g, F.col("at").cast("timestamp")))
+    assert sorted((str(r.day), r.requests, r.tokens) for r in daily.collect()) == [("2026-06-10", 1, 10), ("2026-06-11", 1, 5)]
+
+
 def test_sinks_partition_overwrite(spark):
     d = tempfile.mkdtemp(prefix="rl-sink-")
     df = spark.createDataFrame([("p", "2026-W24", "r1", "a", 5, "t", "ts", 1, None),
