@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as V
 from reviewlens.functions.display import doc_url
+from reviewlens.operators.summary import STARS
 
 _FIELD = re.compile(r"\{(\w+)\}")
 
@@ -106,6 +107,26 @@ def payload_themes(themes: Column) -> Column:
             F.coalesce(a["detail"], F.lit("")).alias("detail"))).alias("action_ideas")))
 
 
+def payload(runs: DataFrame, week: str, window_weeks: int, model: str, doc_id: Column, run_timestamp: str,
+            report_title: str, mail_title: str) -> DataFrame:
+    """I3 + E14: one nested dashboard row per run.
+
+    ``runs`` has the columns of ``weekly_summary``, ``themes`` of ``nest_themes``
+    (null: none) and ``llm_tokens_used`` (null: 0).
+    """
+    used = F.coalesce("llm_tokens_used", F.lit(0)).cast("long")
+    return runs.select(
+        "product", F.lit(week).alias("iso_week"), F.lit(window_weeks).alias("window_weeks"),
+        F.col("reviews").alias("reviews_ingested"), "avg_rating", payload_themes(F.col("themes")).alias("themes"),
+        F.struct(*[F.col(f"pct_{s}").alias(str(s)) for s in STARS]).alias("rating_distribution"),
+        F.struct(F.lit(model).alias("model"), used.alias("llm_tokens_used"),
+                 F.lit(V.TOKEN_BUDGET_CAP).alias("llm_tokens_limit"), F.lit(V.DRY_RUN).alias("doc_status"),
+                 F.lit(V.DRY_RUN).alias("gmail_status"), doc_url(doc_id).alias("doc_url"), F.lit(week).alias("run_id"),
+                 F.lit(run_timestamp).alias("run_timestamp")).alias("pipeline"),
+        F.struct(*email_columns(F.lit(week), doc_id, mail_title)).alias("email"),
+        report_text(runs, F.lit(week), window_weeks, report_title).alias("docs_report"))
+
+
 def idempotency_key(product="product", week="iso_week") -> Column:
     """C20: product slug (lower case, other runs than letters and digits to one dash) + ':' + week."""
     return F.concat_ws(":", F.regexp_replace(F.lower(F.col(product)), "[^a-z0-9]+", "-"), F.col(week))

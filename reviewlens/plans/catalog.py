@@ -718,49 +718,74 @@ def q_email_payload(spark, sf_dir):
     return n.select("product", *render.email_columns(F.lit(RUN_WEEK), _doc_id_col(), MAIL_TITLE))
 
 
-@register("dashboard_payload", _with_render(f"""
+MODEL = "extractive"  # no model is called
+
+PAYLOAD_CTES = f"""
 , tt AS (
   SELECT product, CAST(coalesce(sum(used_tokens) FILTER (WHERE final AND admitted AND outcome = 'theme'), 0) AS BIGINT) AS llm_tokens_used
   FROM tadm GROUP BY product
 ),
 ws AS (
   SELECT product, count(*) AS reviews_ingested, coalesce(round_even(avg(rating), 1), 0.0) AS avg_rating,
-         CAST(round_even(100.0 * count(*) FILTER (WHERE rating = 5) / greatest(count(*), 1), 0) AS INTEGER) AS pct_5,
-         CAST(round_even(100.0 * count(*) FILTER (WHERE rating = 1) / greatest(count(*), 1), 0) AS INTEGER) AS pct_1
+         {', '.join(f"CAST(round_even(100.0 * count(*) FILTER (WHERE rating = {s}) / greatest(count(*), 1), 0) AS INTEGER) AS pct_{s}" for s in summary.STARS)}
   FROM clean GROUP BY product
 ),
-nt AS (SELECT product, count(*) AS n_themes, CAST(sum(review_count) AS BIGINT) AS reviews_in_themes FROM tblock GROUP BY product)
-SELECT ws.product, {_WK} AS iso_week, {WINDOW_WEEKS} AS window_weeks, ws.reviews_ingested, ws.avg_rating, ws.pct_5, ws.pct_1,
-       coalesce(nt.n_themes, 0) AS n_themes, coalesce(nt.reviews_in_themes, 0) AS reviews_in_themes,
-       coalesce(tt.llm_tokens_used, 0) AS llm_tokens_used, 100000 AS llm_tokens_limit,
-       least(100.0, coalesce(tt.llm_tokens_used, 0) / 100000 * 100) AS budget_use_pct,
-       'dry_run' AS doc_status, 'dry_run' AS doc_status_label,
+pquote AS (
+  SELECT t.product, t.cluster_id, list({{'text': coalesce(q.q_text, ''), 'rating': coalesce(q.q_rating, 0)}} ORDER BY q.qidx) AS quotes
+  FROM th t JOIN tquotes q ON q.product = t.product AND q.cluster_id = t.cluster_id AND q.attempt = t.attempt
+  WHERE t.keep_quotes GROUP BY ALL
+),
+ptheme AS (
+  SELECT t.product, count(*) AS n_themes, CAST(sum(t.review_count) AS BIGINT) AS reviews_in_themes,
+         CAST(to_json(list({{'rank': t.theme_rank, 'theme_name': 'Theme ' || CAST(t.cluster_id AS VARCHAR), 'review_count': t.review_count,
+           'avg_rating': round_even(CAST(t.avg_rating AS DOUBLE), 2), 'description': 'Cluster of ' || CAST(t.review_count AS VARCHAR) || ' reviews',
+           'quotes': coalesce(q.quotes, []),
+           'action_ideas': [{{'title': 'Look into cluster ' || CAST(t.cluster_id AS VARCHAR), 'detail': 'Read the representative reviews.'}}]}}
+           ORDER BY t.theme_rank)) AS VARCHAR) AS themes
+  FROM th t LEFT JOIN pquote q USING (product, cluster_id) GROUP BY t.product
+),
+ptext AS (
+  SELECT product, CAST(to_json({{
+           'subject': {S.fmt(V.EMAIL_SUBJECT, product='product', title=S.q(MAIL_TITLE), week=_WK)},
+           'text_body': {S.q(V.EMAIL_GREETING)} || chr(10) || {S.fmt(V.EMAIL_INTRO, product='product', week=_WK)} || chr(10)
+             || coalesce(string_agg({S.fmt(V.EMAIL_THEME_LINE, name='theme_name', count='review_count')}, chr(10) ORDER BY theme_rank) || chr(10), '')
+             || {S.fmt(V.EMAIL_LINK_LINE, link=_LINK_SQL)},
+           'html_body': {S.q(V.EMAIL_HTML_GREETING)} || chr(10) || {S.fmt(V.EMAIL_HTML_INTRO, product='product', week=_WK)} || chr(10) || '<ul>' || chr(10)
+             || coalesce(string_agg({S.fmt(V.EMAIL_HTML_THEME, name='theme_name', count='review_count')}, chr(10) ORDER BY theme_rank) || chr(10), '')
+             || '</ul>' || chr(10) || {S.fmt(V.EMAIL_HTML_LINK, link=_LINK_SQL)},
+           'doc_link': {_LINK_SQL}}}) AS VARCHAR) AS email,
+         {S.fmt(V.REPORT_HEADING, product='product', title=S.q(REPORT_TITLE), week=_WK)} || {S.fmt(V.REPORT_PERIOD, weeks=str(WINDOW_WEEKS), week=_WK)}
+           || coalesce(string_agg(block, '' ORDER BY theme_rank), '') || {S.q(V.REPORT_END)} AS docs_report
+  FROM ws LEFT JOIN tblock USING (product) GROUP BY product
+)"""
+
+
+@register("dashboard_payload", _with_render(PAYLOAD_CTES.replace("\n, tt AS", ", tt AS", 1) + f"""
+SELECT ws.product, {_WK} AS iso_week, {WINDOW_WEEKS} AS window_weeks, ws.reviews_ingested, ws.avg_rating,
+       coalesce(p.themes, '[]') AS themes, coalesce(p.n_themes, 0) AS n_themes, coalesce(p.reviews_in_themes, 0) AS reviews_in_themes,
+       CAST(to_json({{{', '.join(f"'{s}': pct_{s}" for s in summary.STARS)}}}) AS VARCHAR) AS rating_distribution,
+       {S.q(MODEL)} AS model, coalesce(tt.llm_tokens_used, 0) AS llm_tokens_used, {V.TOKEN_BUDGET_CAP} AS llm_tokens_limit,
+       least(100.0, coalesce(tt.llm_tokens_used, 0) / {V.TOKEN_BUDGET_CAP} * 100) AS budget_use_pct,
+       'dry_run' AS doc_status, 'dry_run' AS doc_status_label, 'dry_run' AS gmail_status, 'dry_run' AS gmail_status_label,
        CASE WHEN {_DOC_ID_SQL.replace('product', 'ws.product')} <> '' THEN {S.q(V.DOC_URL_PREFIX)} || {_DOC_ID_SQL.replace('product', 'ws.product')} ELSE '' END AS doc_url,
-       {_WK} AS run_id, {S.q(AS_OF)} AS run_timestamp
-FROM ws LEFT JOIN nt USING (product) LEFT JOIN tt USING (product)
-""".replace("\n, tt AS", ", tt AS", 1)))
+       {_WK} AS run_id, {S.q(AS_OF)} AS run_timestamp, x.email, x.docs_report
+FROM ws LEFT JOIN ptheme p USING (product) LEFT JOIN tt USING (product) JOIN ptext x USING (product)
+"""))
 def q_dashboard_payload(spark, sf_dir):
-    """I3 + E5 + E6 + E10 + C21-C24: dashboard row per product run (scalar fields)."""
+    """I3 + E14 + E5 + E6 + E10 + C21-C24: the whole dashboard row per product run, nested fields as JSON."""
     t, gated = finished(spark, sf_dir)
-    n = render.nest_themes(t).select(
-        "product", F.size("themes").cast("long").alias("n_themes"),
-        F.aggregate(render.payload_themes(F.col("themes")), F.lit(0).cast("long"),
-                    lambda a, x: a + x["review_count"]).alias("reviews_in_themes"))
-    tt = themes.token_totals(gated).select("product", F.col("total_tokens").alias("llm_tokens_used"))
-    ws = summary.weekly_summary(clean(spark, sf_dir), RUN_WEEK).select(
-        "product", F.col("reviews").alias("reviews_ingested"), "avg_rating", "pct_5", "pct_1")
-    out = ws.join(n, "product", "left").join(tt, "product", "left")
-    used = F.coalesce(F.col("llm_tokens_used"), F.lit(0).cast("long"))
-    return out.select(
-        "product", F.lit(RUN_WEEK).alias("iso_week"), F.lit(WINDOW_WEEKS).alias("window_weeks"),
-        "reviews_ingested", "avg_rating", "pct_5", "pct_1",
-        F.coalesce(F.col("n_themes"), F.lit(0).cast("long")).alias("n_themes"),
-        F.coalesce(F.col("reviews_in_themes"), F.lit(0).cast("long")).alias("reviews_in_themes"),
-        used.alias("llm_tokens_used"), F.lit(V.TOKEN_BUDGET_CAP).alias("llm_tokens_limit"),
-        display.budget_use_pct(used).alias("budget_use_pct"),
-        F.lit(V.DRY_RUN).alias("doc_status"), display.status_label(F.lit(V.DRY_RUN)).alias("doc_status_label"),
-        display.doc_url(_doc_id_col()).alias("doc_url"),
-        F.lit(RUN_WEEK).alias("run_id"), F.lit(AS_OF).alias("run_timestamp"))
+    tokens = themes.token_totals(gated).select("product", F.col("total_tokens").alias("llm_tokens_used"))
+    runs = (summary.weekly_summary(clean(spark, sf_dir), RUN_WEEK).join(render.nest_themes(t), "product", "left")
+            .join(tokens, "product", "left"))
+    p = render.payload(runs, RUN_WEEK, WINDOW_WEEKS, MODEL, _doc_id_col(), AS_OF, REPORT_TITLE, MAIL_TITLE)
+    nested = [F.to_json(c).alias(c) for c in ("themes", "rating_distribution", "email")]
+    return p.select(
+        "product", "iso_week", "window_weeks", "reviews_ingested", "avg_rating", *nested, "docs_report",
+        F.size("themes").cast("long").alias("n_themes"),
+        F.aggregate("themes", F.lit(0).cast("long"), lambda a, x: a + x["review_count"]).alias("reviews_in_themes"),
+        "pipeline.*", display.budget_use_pct(F.col("pipeline.llm_tokens_used")).alias("budget_use_pct"),
+        display.status_label(F.col("pipeline.doc_status")).alias("doc_status_label"),
+        display.status_label(F.col("pipeline.gmail_status")).alias("gmail_status_label"))
 
 
 # -------------------------------------------------------------- receipts ----
