@@ -1,4 +1,4 @@
-"""Landing-file scans and output sinks (A1 re-aimed, A6-A12).
+"""Landing-file scans and output sinks (A1 re-aimed, A6-A12, B11).
 
 Every write is a Spark write (no driver-side file handling): JSON Lines or
 Parquet, partitioned by product and week so a re-run replaces exactly its own
@@ -7,11 +7,14 @@ partitions (dynamic partition overwrite) and readers prune to one week.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlens.operators.ids import with_doc_ids
-from reviewlens.schemas import NORMALIZED_REVIEW, RAW_RECORD, REVIEW
+from reviewlens.schemas import NORMALIZED_REVIEW, RAW_RECORD
 
 REVIEW_FIELDS = ["review_id", "author", "rating", "text", "timestamp", "thumbs_up", "app_version"]
 
@@ -22,13 +25,18 @@ def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_normalized(spark: SparkSession, path: str, product: str = "default") -> DataFrame:
-    """Normalised review file (one JSON array); rating and text required,
-    thumbs_up defaults to 0, app_version to null; doc ids by position (C5)."""
-    df = (spark.read.option("multiLine", True).schema(NORMALIZED_REVIEW).json(path)
+    """One normalised review file (a JSON array); rating and text required,
+    thumbs_up defaults to 0, app_version to null; doc ids by position (C5).
+
+    A JSON array is read whole by one task, so this form is for snapshots of
+    one product; large landings are JSON Lines (``read_raw_records``). A
+    missing file is an error; a file that is no JSON array has no reviews.
+    """
+    rows = F.from_json("value", T.ArrayType(NORMALIZED_REVIEW))
+    df = (spark.read.text(path, wholetext=True).select(F.posexplode(rows).alias("seq", "r"))
+          .select(F.lit(product).alias("product"), F.col("seq").cast("long").alias("seq"), "r.*")
           .filter(F.col("rating").isNotNull() & F.col("text").isNotNull())
-          .withColumn("thumbs_up", F.coalesce(F.col("thumbs_up"), F.lit(0)))
-          .withColumn("product", F.lit(product))
-          .withColumn("seq", F.monotonically_increasing_id()))
+          .withColumn("thumbs_up", F.coalesce(F.col("thumbs_up"), F.lit(0))))
     return with_doc_ids(df)
 
 
@@ -37,6 +45,14 @@ def _overwrite_partitions(df: DataFrame, fmt: str, path: str, by: list[str]) ->
     df.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
 
 
+def write_if_any(df: DataFrame, write: Callable[..., None], *args, **kwargs) -> bool:
+    """``write(df, ...)`` unless ``df`` is empty; an empty run writes and replaces nothing. True if written."""
+    if df.isEmpty():
+        return False
+    write(df, *args, **kwargs)
+    return True
+
+
 def write_reviews(df: DataFrame, path: str, by=("product", "iso_week"), fmt: str = "json") -> None:
     """All seven review fields per run partition."""
     _overwrite_partitions(df.select(*by, *REVIEW_FIELDS), fmt, path, list(by))
@@ -58,15 +74,11 @@ def write_payload(payload: DataFrame, path: str, by=("product", "iso_week")) ->
     _overwrite_partitions(payload, "json", path, list(by))
 
 
-def read_payload(spark: SparkSession, path: str, product: str, iso_week: str) -> DataFrame:
-    """Payload of one run; the filter prunes to one partition."""
-    return spark.read.json(path).filter((F.col("product") == product) & (F.col("iso_week") == iso_week))
+def read_payload(spark: SparkSession, path: str, product: str, iso_week: str, schema: T.StructType) -> DataFrame:
+    """Payload of one run, with the ``schema`` that was written; the filter prunes to one partition."""
+    return spark.read.schema(schema).json(path).filter((F.col("product") == product) & (F.col("iso_week") == iso_week))
 
 
 def export_json(df: DataFrame, path: str) -> None:
     """Every row as one JSON text line."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
-
-
-def review_schema_fields() -> list[str]:
-    return [f.name for f in REVIEW.fields]
