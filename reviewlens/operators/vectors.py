@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUM_FEATURES = 1 << 14
@@ -52,3 +52,40 @@ def reduce_dims(df: DataFrame, vec_col: str = "embedding", k: int = 5, out: str
     v = Normalizer(inputCol="__v", outputCol="__n", p=2.0).transform(v)
     model = PCA(k=k, inputCol="__n", outputCol="__p").fit(v)
     return model.transform(v).withColumn(out, vector_to_array("__p")).drop("__v", "__n", "__p")
+
+
+def sign_projection(vec: Column, size: int, masks: tuple[int, ...]) -> Column:
+    """G2 without a fit: one coordinate per mask, the sum of the ``size`` entries of ``vec`` with fixed signs.
+
+    Entry i counts negatively where i and the mask share an odd number of bits,
+    so coordinates of different masks are orthogonal combinations.
+    """
+    def coordinate(mask: int) -> Column:
+        total = None
+        for i in range(size):
+            x = F.get(vec, F.lit(i)).cast("double")
+            x = -x if (i & mask).bit_count() % 2 else x
+            total = x if total is None else total + x
+        return total
+    return F.array(*map(coordinate, masks))
+
+
+def project_terms(df: DataFrame, keys: tuple[str, ...] = ("product", "seq"), text_col: str = "text", dims: int = 3,
+                  out: str = "reduced") -> DataFrame:
+    """G1 + G2 in one aggregation: TF-IDF over the whole vocabulary, unit length, projected by signs of a term's hash.
+
+    One row per distinct ``keys``; a text without words, or null, lies at the origin.
+    """
+    n = df.select(*keys).distinct().count()
+    terms = (df.select(*keys, F.explode(F.split(F.lower(text_col), r"\W+")).alias("term")).filter("term <> ''")
+             .groupBy(*keys, "term").agg(F.count("*").alias("tf")))
+    held = terms.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.col("tf") * F.log((F.lit(n) + 1) / (F.col("df") + 1))
+    weighted = terms.join(held, "term").select(*keys, weight.alias("w"), F.xxhash64("term").alias("h"))
+    sign = lambda i: 1 - 2 * F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))
+    sums = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
+                                       *[F.sum(F.col("w") * sign(i)).alias(f"x{i}") for i in range(dims)])
+    place = F.array(*[F.round(F.col(f"x{i}") / F.col("length"), 9) for i in range(dims)])
+    placed = sums.select(*keys, F.when(F.col("length") > 0, place).alias(out))
+    return df.select(*keys).distinct().join(placed, list(keys), "left").withColumn(
+        out, F.coalesce(out, F.array(*[F.lit(0.0)] * dims)))

@@ -17,11 +17,12 @@ from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid, parse_time
 from reviewlens.functions import display
 from reviewlens import fixed_values as V
-from reviewlens.operators import (clusters, explore, ids, ingest, language, receipts, render,
+from reviewlens.operators import (clusters, density, explore, ids, ingest, language, receipts, render,
                                  summarise, summary, themes, vectors)
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
+from reviewlens.sources.shared import checkpointed
 
 # Run parameters shared by the Spark side and the SQL side.
 AS_OF = "2024-05-01 00:00:00"
@@ -1113,3 +1114,47 @@ def q_reduce_dims(spark, sf_dir):
     from reviewlens.sources.tables import read_table
     r = vectors.reduce_dims(read_table(spark, sf_dir, "embeddings"))
     return r.select("vec_id", F.size("reduced").alias("k"), "reduced")
+
+
+# --------------------------------------------------- density clustering ----
+
+MASKS, DENSITY_EPS = (11, 21, 38), 0.4
+REVIEW_EPS = 0.8  # projected texts lie about one from the origin in each coordinate
+_COORDINATES = ", ".join("(" + " ".join(("-" if (i & m).bit_count() % 2 else "+") + f" CAST(embedding[{i + 1}] AS DOUBLE)"
+                                        for i in range(64)).removeprefix("+ ") + f") AS x{j}" for j, m in enumerate(MASKS))
+
+
+@register("density_components", f"""
+WITH RECURSIVE p AS (SELECT vec_id, {_COORDINATES} FROM embeddings),
+near AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM p a, p b
+  WHERE {' + '.join(f'(a.x{j} - b.x{j}) * (a.x{j} - b.x{j})' for j in range(len(MASKS)))} <= {DENSITY_EPS * DENSITY_EPS!r}
+),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) > {V.MIN_SAMPLES}),
+link AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id AS root, id AS node FROM core UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.node),
+label AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+kept AS (SELECT root FROM label GROUP BY root HAVING count(*) >= {V.MIN_CLUSTER_SIZE})
+SELECT p.vec_id, coalesce(k.root, -1) AS cluster_id
+FROM p LEFT JOIN label l ON l.node = p.vec_id LEFT JOIN kept k USING (root)
+""")
+def q_density_components(spark, sf_dir):
+    """G3 + G3a: density clusters of the projected vectors, found without a fixed number of clusters."""
+    from reviewlens.sources.tables import read_table
+    v = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", vectors.sign_projection(F.col("embedding"), 64, MASKS).alias("reduced"))
+    return density.density_components(v, DENSITY_EPS, len(MASKS), key="vec_id").select("vec_id", "cluster_id")
+
+
+@register("review_pipeline")
+def q_review_pipeline(spark, sf_dir):
+    """Every clean review from text to ranked cluster: G1, G2, G3, G5, F3 (rows only: hashed signs have no SQL twin)."""
+    reviews = checkpointed(normalized(spark, sf_dir))
+    placed = density.density_components(vectors.project_terms(reviews), REVIEW_EPS, 3, key="seq", by=("product",))
+    m = checkpointed(reviews.join(placed.withColumnRenamed("reduced", "embedding"), ["product", "seq"]))
+    ranked = clusters.rank_clusters(clusters.cluster_stats(m), clusters.global_mean(m))
+    built = clusters.build_clusters(m).select("product", "cluster_id", "centroid", "representatives")
+    return ranked.join(built, ["product", "cluster_id"]).select(
+        "product", F.col("rank").cast("long").alias("rank"), "cluster_id", "size", "avg_rating",
+        F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"),
+        F.transform("representatives", lambda r: r["doc_id"]).alias("representatives"))

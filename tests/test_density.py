@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlens.operators import vectors
 from reviewlens.operators.density import density_components
 
 
@@ -64,3 +65,25 @@ def test_nulls_wrong_sizes_and_empty(spark):
     df = spark.createDataFrame(points[:12], "id long, reduced array<double>")
     apart = density_components(df.withColumn("product", F.col("id") % 2), 0.5, 2, min_samples=3, min_cluster_size=6, by=("product",))
     assert {(r["id"] % 2, r.cluster_id) for r in apart.collect()} == {(0, 0), (1, 1)}
+
+
+def test_sign_projection(spark):
+    x = np.random.default_rng(1).normal(size=8)
+    df = spark.createDataFrame([([float(v) for v in x],)], "e array<double>")
+    got = df.select(vectors.sign_projection(F.col("e"), 8, (0, 5)).alias("p")).first().p
+    signs = [(-1) ** (i & 5).bit_count() for i in range(8)]
+    assert np.allclose(got, [x.sum(), (x * signs).sum()])
+
+
+def test_project_terms(spark):
+    rows = [("p", 0, "slow app, slow login"), ("p", 1, "slow app, slow login"), ("q", 0, "great charts"), ("q", 1, None),
+            ("q", 2, " .. "), ("q", 3, "great app")]
+    df = spark.createDataFrame(rows, "product string, seq long, text string")
+    got = {(r["product"], r.seq): r.reduced for r in vectors.project_terms(df).collect()}
+    assert len(got) == len(rows) and got["p", 0] == got["p", 1]
+    assert got["q", 1] == got["q", 2] == [0.0] * 3
+    held = {"slow": 2, "app": 3, "login": 2, "great": 2, "charts": 1}
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in held], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    w = {t: n * np.log(7 / (held[t] + 1)) for t, n in {"slow": 2, "app": 1, "login": 1}.items()}
+    expected = [sum(w[t] * (1 - 2 * (hashes[t] >> i & 1)) for t in w) / np.sqrt(sum(v * v for v in w.values())) for i in range(3)]
+    assert np.allclose(got["p", 0], expected, atol=1e-8)
