@@ -16,37 +16,44 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import checkpointed, word_blocks
+from reviewlens.llm.common import ROWS, checkpointed, word_blocks
 
 ALPHA = 0.4
-VOCABULARY_BITS = 20   # words below a share of 2^-20 of all tokens are one unknown word
+COMMON_BITS = 20       # words of a share of 2^-20 and above have an id and a count in every task, others go by their hash
+VOCABULARY_BITS = None  # if given (at most COMMON_BITS), words below a share of 2^-VOCABULARY_BITS are one unknown word
 HOT_BITS = 16          # bigrams around a share of 2^-16 and above are counted aside
 SAMPLE = 16
-ID_BITS = VOCABULARY_BITS + 1
+ID_BITS = COMMON_BITS + 1
 MEMO = 200_000
 CHUNK = 1 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd constant that spreads bits
+
+
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of the known words, ascending, their ids (1 is the most frequent), counts by id (0: unknown)."""
+    """Hashes of the common words, ascending, their ids (1 is the most frequent), counts by id (0: unknown)."""
 
     hashes: np.ndarray
     ids: np.ndarray
     counts: np.ndarray
     tokens: int
+    whole: bool
 
     def mapper(self):
-        """word -> id, remembering words it has met."""
-        hashes, ids = self.hashes, self.ids
+        """word -> id, or below 0 the complement of a rare word's hash, remembering words it has met."""
+        hashes, ids, whole = self.hashes, self.ids, self.whole
 
         class Ids(dict):
             def __missing__(self, word: bytes) -> int:
                 if len(self) >= MEMO:
                     self.clear()
-                key = np.uint64(xxhash.xxh64_intdigest(word))
+                key = _word_hash(word)
                 at = int(np.searchsorted(hashes, key))
-                self[word] = found = int(ids[at]) if at < len(hashes) and hashes[at] == key else 0
+                self[word] = found = int(ids[at]) if at < len(hashes) and hashes[at] == key else ~key if whole else 0
                 return found
 
         return Ids()
@@ -85,53 +92,69 @@ def _summed(docs: DataFrame, keys_of, schema: str = "key long, n long") -> DataF
     return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Words of at least 2^-``VOCABULARY_BITS`` of all tokens, so at most 2^``VOCABULARY_BITS`` of them."""
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Words of at least 2^-``COMMON_BITS`` of all tokens, so at most 2^``COMMON_BITS``, and (word, n) of all others."""
     def keys_of():
         class Hashes(dict):
             def __missing__(self, word: bytes) -> int:
                 if len(self) >= MEMO:
                     self.clear()
-                self[word] = value = xxhash.xxh64_intdigest(word)
+                self[word] = value = _word_hash(word)
                 return value
         memo = Hashes()
-        return lambda text: (np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)).view(np.int64)
-                             for w in word_blocks(text) if w)
+        return lambda text: (np.fromiter(map(memo.__getitem__, w), np.int64, len(w)) for w in word_blocks(text) if w)
 
     counts = checkpointed(_summed(docs, keys_of))
     tokens = counts.agg(F.sum("n")).first()[0] or 0
-    known = counts.filter(F.col("n") * (1 << VOCABULARY_BITS) >= tokens).toArrow()
-    keys, n = (known.column(c).to_numpy() for c in ("key", "n"))
+    bits = COMMON_BITS if VOCABULARY_BITS is None else VOCABULARY_BITS
+    is_common = F.col("n") * (1 << bits) >= tokens
+    common = counts.filter(is_common).toArrow()
+    keys, n = (common.column(c).to_numpy() for c in ("key", "n"))
     order = np.lexsort((keys, -n))
     ids = np.empty(len(keys), np.int64)
     ids[order] = np.arange(1, len(keys) + 1)
-    ascending = np.argsort(keys.view(np.uint64))
-    return Vocabulary(keys.view(np.uint64)[ascending], ids[ascending],
-                      np.concatenate([[tokens - n.sum()], n[order]]).astype(np.int64), int(tokens))
+    ascending = np.argsort(keys)
+    words = Vocabulary(keys[ascending], ids[ascending], np.concatenate([[tokens - n.sum()], n[order]]).astype(np.int64),
+                       int(tokens), VOCABULARY_BITS is None)
+    return words, counts.filter(~is_common).select(F.bitwise_not("key").alias("word"), F.col("n").alias("n_rare"))
 
 
-def _bigram_keys(text: str | None, ids: dict) -> Iterator[tuple[np.ndarray, int]]:
-    """Bigram keys of a text, block by block, with the block's first word if it opens the text (else -1)."""
+def _bigrams(text: str | None, ids: dict) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
+    """First and second words of a text's bigrams, block by block, with the block's first word if it opens the text."""
     last = None
     for words in word_blocks(text):
         if words:
             found = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
             whole = found if last is None else np.append(last, found)
-            yield whole[:-1] << ID_BITS | whole[1:], int(found[0]) if last is None else -1
+            yield whole[:-1], whole[1:], int(found[0]) if last is None else None
             last = found[-1]
 
 
+def _common_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys, below 2^(2 ``ID_BITS``), of the bigrams of two common words."""
+    both = (a >= 0) & (b >= 0)
+    return a[both] << ID_BITS | b[both]
+
+
+def _rare_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of 2^62 and above: they deal out bigrams with a rare word, which their two words tell apart."""
+    mixed = (a.view(np.uint64) * _STEP ^ b.view(np.uint64)) * _STEP
+    mixed = (mixed ^ mixed >> np.uint64(32)) * _STEP
+    return (mixed >> np.uint64(2) | np.uint64(1 << 62)).astype(np.int64)
+
+
 def hot_bigrams(docs: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Keys, ascending, and exact counts over all texts of bigrams that are frequent in a sample.
 
     The sample (about 1 in ``SAMPLE`` texts) only chooses which bigrams, 2^``HOT_BITS`` at most, are kept
-    from the shuffle; any choice gives the same scores.
+    from the shuffle; any choice gives the same scores. A rare word's bigrams are no more than the word,
+    so only those of common words can be hot.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((words.hashes, words.ids, words.counts, words.tokens))
+    sent = docs.sparkSession.sparkContext.broadcast((words.hashes, words.ids, words.counts, words.tokens, words.whole))
 
     def all_keys():
         ids = Vocabulary(*sent.value).mapper()
-        return lambda text: (keys for keys, _ in _bigram_keys(text, ids))
+        return lambda text: (_common_keys(a, b) for a, b, _ in _bigrams(text, ids))
 
     part = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
     seen = checkpointed(_summed(part, all_keys))
@@ -143,7 +166,8 @@ def hot_bigrams(docs: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndar
         ids = Vocabulary(*sent.value).mapper()
 
         def count(text):
-            for keys, _ in _bigram_keys(text, ids):
+            for a, b, _ in _bigrams(text, ids):
+                keys = _common_keys(a, b)
                 yield keys[_position(hot, keys) >= 0]
         return count
 
@@ -165,43 +189,55 @@ def _exploded(docs: DataFrame, words: Vocabulary, hot: np.ndarray, hot_counts: n
     """A row for each document and bigram, and one with key below 0 for each document.
 
     The latter has the number of tokens and what needs no join: the first
-    word's score and those of the hot bigrams.
+    word's score, if it is common, and those of the hot bigrams. ``a`` and
+    ``b`` are the words of a bigram with a rare one, 0 for all others, whose
+    key has both ids. A rare first word is ``a`` of the document's own row.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(
-        (words.hashes, words.ids, words.counts, words.tokens, hot, hot_counts))
+        ((words.hashes, words.ids, words.counts, words.tokens, words.whole), hot, hot_counts))
 
     def run(batches):
-        hashes, ids, counts, tokens, hot, hot_counts = sent.value
-        memo = Vocabulary(hashes, ids, counts, tokens).mapper()
-        for batch in batches:
-            rows, keys, own, parts, n_tokens = [], [], [], [], []
-            base = np.zeros(batch.num_rows)
+        known, hot, hot_counts = sent.value
+        known = Vocabulary(*known)
+        memo, counts, tokens = known.mapper(), known.counts, known.tokens
+        for at, batch in ((k, whole.slice(k, ROWS)) for whole in batches for k in range(0, whole.num_rows, ROWS)):
+            rows, keys, own, firsts, seconds, n_tokens = [], [], [], [], [], []
+            base, opening = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column("text").to_pylist()):
-                blocks = list(_bigram_keys(text, memo))
-                n = sum(len(k) for k, _ in blocks) + bool(blocks)
-                n_tokens.append(n)
+                blocks = list(_bigrams(text, memo))
+                n_tokens.append(sum(len(a) for a, _, _ in blocks) + bool(blocks))
                 if not blocks:
                     continue
-                base[i] = np.log(counts[blocks[0][1]] / tokens)
-                found, times = np.unique(np.concatenate([k for k, _ in blocks]), return_counts=True)
-                at = _position(hot, found)
-                met = at >= 0
-                base[i] += (times[met] * log_score(hot_counts[at[met]], times[met], counts[found[met] >> ID_BITS],
+                if blocks[0][2] >= 0:
+                    base[i] = np.log(counts[blocks[0][2]] / tokens)
+                else:
+                    base[i], opening[i] = -np.log(tokens), blocks[0][2]
+                found, times = np.unique(np.concatenate([_common_keys(a, b) for a, b, _ in blocks]), return_counts=True)
+                place = _position(hot, found)
+                met = place >= 0
+                base[i] += (times[met] * log_score(hot_counts[place[met]], times[met], counts[found[met] >> ID_BITS],
                                                    counts[found[met] & (1 << ID_BITS) - 1], tokens)).sum()
-                rows.append(np.full((~met).sum(), i))
-                keys.append(found[~met])
-                own.append(times[~met])
+                a, b = (np.concatenate([x[k][(x[0] < 0) | (x[1] < 0)] for x in blocks]) for k in (0, 1))
+                rare, where, rare_times = np.unique(_rare_keys(a, b), return_index=True, return_counts=True)
+                none = np.zeros((~met).sum(), np.int64)
+                rows.append(np.full(len(none) + len(rare), i))
+                keys += [found[~met], rare]
+                own += [times[~met], rare_times]
+                firsts += [none, a[where]]
+                seconds += [none, b[where]]
             every = np.arange(batch.num_rows)
-            rows, keys, own = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (rows, keys, own))
+            rows, keys, own, firsts, seconds = (
+                np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, keys, own, firsts, seconds))
             ids_out = batch.column("doc_id").take(pa.array(np.concatenate([every, rows]).astype(np.int64)))
-            spread = -1 - every.astype(np.int64)  # sends the documents' own rows to different tasks
+            spread = -1 - at - every.astype(np.int64)  # sends the documents' own rows to different tasks
             yield pa.RecordBatch.from_arrays(
-                [ids_out, pa.array(np.concatenate([spread, keys]).astype(np.int64)),
-                 pa.array(np.concatenate([n_tokens, own]).astype(np.int64)),
-                 pa.array(np.concatenate([base, np.zeros(len(rows))]))], names=["doc_id", "key", "c", "base"])
+                [ids_out, *[pa.array(np.concatenate(x)) for x in (
+                    (spread, keys), (opening, firsts), (np.zeros(len(every), np.int64), seconds), (np.array(n_tokens, np.int64), own))],
+                 pa.array(np.concatenate([base, np.zeros(len(rows))]))], names=["doc_id", "key", "a", "b", "c", "base"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, key long, c long, base double")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {id_type}, key long, a long, b long, c long, base double")
 
 
 def log_score(n: np.ndarray, own: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int) -> np.ndarray:
@@ -212,29 +248,38 @@ def log_score(n: np.ndarray, own: np.ndarray, context: np.ndarray, word: np.ndar
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_score) of every document against counts over all documents.
 
-    Tokens are words without ASCII white space, A-Z lower-cased; a word below
-    a share of 2^-``VOCABULARY_BITS`` counts as the unknown word. A bigram
-    scores (n - own) / n(first word) if other documents have it, n being its
-    count and ``own`` the document's; else ``ALPHA`` n(second word) / N. The
-    first word scores n / N. ``log_score`` is the sum of natural logarithms.
-    Null, empty and blank texts have no tokens, log_score 0 and a null mean.
-    Rows that share a doc_id are scored one by one and added up.
+    Tokens are words without ASCII white space, A-Z lower-cased; every word
+    counts as itself (see ``VOCABULARY_BITS``). A bigram scores (n - own) /
+    n(first word) if other documents have it, n being its count and ``own``
+    the document's; else ``ALPHA`` n(second word) / N. The first word scores
+    n / N. ``log_score`` is the sum of natural logarithms. Null, empty and
+    blank texts have no tokens, log_score 0 and a null mean. Rows that share a
+    doc_id are scored one by one and added up.
     """
     spark = docs.sparkSession
-    words = vocabulary(docs)
+    words, rare = vocabulary(docs)
     hot, hot_counts = hot_bigrams(docs, words)
     # One shuffle by key brings a bigram's rows together: their total is its count, joined back to each of them.
-    counted = _exploded(docs, words, hot, hot_counts).withColumn("n", F.sum("c").over(Window.partitionBy("key")))
+    counted = _exploded(docs, words, hot, hot_counts).withColumn("n", F.sum("c").over(Window.partitionBy("key", "a", "b")))
     by_id = pa.table({"id": np.arange(len(words.counts)), "n_word": words.counts})
-    unigrams = F.broadcast(spark.createDataFrame(by_id))  # 2^VOCABULARY_BITS + 1 rows at most
-    low = (1 << ID_BITS) - 1
-    scored = (counted.withColumn("first", F.shiftright("key", ID_BITS)).withColumn("second", F.col("key").bitwiseAND(F.lit(low)))
-              .join(unigrams.select(F.col("id").alias("first"), F.col("n_word").alias("n_first")), "first", "left")
-              .join(unigrams.select(F.col("id").alias("second"), F.col("n_word").alias("n_second")), "second", "left"))
-    seen = F.log((F.col("n") - F.col("c")) / F.col("n_first"))
-    unseen = F.log(F.lit(ALPHA) * F.col("n_second") / F.lit(max(1, words.tokens)))
-    value = F.when(F.col("key") < 0, F.col("base")).otherwise(
-        F.col("c") * F.when(F.col("n") > F.col("c"), seen).otherwise(unseen))
-    sums = scored.select("doc_id", value.alias("v"), F.when(F.col("key") < 0, F.col("c")).otherwise(0).alias("t"))
-    done = sums.groupBy("doc_id").agg(F.sum("t").alias("n_tokens"), F.sum("v").alias("log_score"))
+    unigrams = F.broadcast(spark.createDataFrame(by_id))  # 2^COMMON_BITS + 1 rows at most
+    plain, own_row, seen = F.expr("a = 0 AND b = 0"), F.col("key") < 0, F.col("n") > F.col("c")
+    first = F.when(plain, F.shiftright("key", ID_BITS)).otherwise(F.col("a"))
+    second = F.when(plain, F.col("key").bitwiseAND(F.lit((1 << ID_BITS) - 1))).otherwise(F.col("b"))
+    # Each bigram needs one word's count: the first word's if other documents have it, else the second's.
+    needed = counted.select(
+        "doc_id", F.when(own_row & (F.col("a") < 0), F.col("a")).when(~own_row, F.when(seen, first).otherwise(second)).alias("id"),
+        F.when(own_row, (F.col("a") < 0).cast("long")).when(seen, -F.col("c")).otherwise(F.col("c")).alias("times"),
+        F.when(own_row, F.col("base")).otherwise(F.col("c") * F.when(seen, F.log(F.col("n") - F.col("c"))).otherwise(
+            F.lit(float(np.log(ALPHA / max(1, words.tokens)))))).alias("v"),
+        F.when(own_row, F.col("c")).otherwise(0).alias("t")).join(unigrams, "id", "left")
+    # Rare words' counts are dealt out by word; what else a document has comes along by a key of its own.
+    by_word = needed.select(
+        "doc_id", F.when(F.col("id") < 0, F.col("id")).otherwise(F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).alias("word"),
+        F.when(F.col("id") < 0, F.col("times")).otherwise(0).alias("times"), "t",
+        (F.col("v") + F.coalesce(F.col("times") * F.log("n_word"), F.lit(0.0))).alias("v")).groupBy("doc_id", "word").agg(
+        F.sum("times").alias("times"), F.sum("v").alias("v"), F.sum("t").alias("t"))
+    done = (by_word.join(rare, "word", "left").groupBy("doc_id")
+            .agg(F.sum("t").alias("n_tokens"),
+                 F.sum(F.col("v") + F.coalesce(F.col("times") * F.log("n_rare"), F.lit(0.0))).alias("log_score")))
     return done.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

@@ -103,6 +103,25 @@ def test_rare_words_are_one_unknown_word(spark, monkeypatch):
     assert all(got[i] == pytest.approx(v) for i, (_, v) in plain_scores(unknown).items())
 
 
+@pytest.mark.parametrize("common_bits", [0, 3, 6])
+def test_rare_words_keep_their_own_counts(spark, docs, texts, monkeypatch, common_bits):
+    """However few words are common, the others count as themselves; many documents open with or consist of rare ones."""
+    monkeypatch.setattr(M, "COMMON_BITS", common_bits)
+    rows = [(1, "a a a a a a b c"), (2, "a b"), (3, "a c"), (4, "c b c b"), (5, "d"), (None, "b c")]
+    got = {r.doc_id: (r.n_tokens, r.log_score) for r in M.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_scores(dict(rows))
+    assert got.keys() == want.keys() and all(got[i] == (n, pytest.approx(v)) for i, (n, v) in want.items())
+    got = {r.doc_id: r.log_score for r in M.score(docs).collect()}
+    assert all(got[i] == pytest.approx(v, abs=1e-6) for i, (_, v) in plain_scores(texts).items())
+
+
+def test_rare_words_of_a_large_table_are_not_merged(spark):
+    """Two words seen once among more than 2^20 tokens have one count each."""
+    rows = [(1, "x y"), (2, "x z"), (3, "a " * (1 << 20))]
+    got = {r.doc_id: r.log_score for r in M.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == pytest.approx(v) for i, (_, v) in plain_scores(dict(rows)).items())
+
+
 def test_long_texts_cross_blocks(spark, monkeypatch):
     from reviewlens.llm import common
     rows = [(1, "x y z " * 40), (2, "x y"), (3, "z x")]
