@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased. N-grams of the benchmark
 items seed candidate passages of the training texts; a passage and an item are
@@ -20,7 +20,6 @@ from reviewlens.llm.common import BLOCK_BYTES, checkpointed, small_side
 
 SEED_WORDS = 3
 FILTER_BITS = 24
-RARE_PASSAGES = 10
 SEGMENT_WORDS = 256
 MATCH, MISMATCH, GAP = 2, -1, 1
 MIN_SCORE = 0.5
@@ -187,18 +186,26 @@ def align(item: list[str], text: list[str]) -> tuple[int, int, int, int]:
     return score, matched, j, end
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
-    """Score (passage, words, item_id, segment, item): share of the best possible score, matched words."""
+def _aligned(pairs: DataFrame, min_score: float) -> DataFrame:
+    """Score (passage, words, item_id, segment, item): share of the best possible score, matched words.
+
+    A pair is left out if too few of the item's words are in the passage, in
+    whatever order, to reach ``min_score`` or ``MIN_MATCHED``.
+    """
     arrow = pa.schema([("passage", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
                        ("matched", pa.int32()), ("item_words", pa.int32())])
 
     def run(batches):
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                score, matched, _, _ = align(row["item"], row["words"].split(" "))
-                out.append({"passage": row["passage"], "item_id": row["item_id"], "matched": matched,
-                            "score": score / (MATCH * len(row["item"])), "item_words": len(row["item"])})
+            for passage, words, item_id, item in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                words = words.split(" ")
+                most = sum(map(set(words).__contains__, item))  # no alignment matches more words
+                if most < max(min_score * len(item), min(MIN_MATCHED, len(item))):
+                    continue
+                score, matched, _, _ = align(item, words)
+                out.append({"passage": passage, "item_id": item_id, "matched": matched,
+                            "score": score / (MATCH * len(item)), "item_words": len(item)})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return pairs.select("passage", "words", "item_id", "item").mapInArrow(
@@ -208,10 +215,9 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, item_id, score, matched): documents that hold a copy, edited or not, of an item.
 
-    A passage is aligned with an item if they share a rare n-gram (in at most
-    ``RARE_PASSAGES`` passages) or two different ones; so a frequent n-gram
-    alone starts nothing, and a text copied into very many documents is still
-    found. ``score`` is the alignment's share of the item's full score, the
+    A passage is aligned with every item it shares an n-gram with, however
+    frequent the n-gram and however many documents hold the passage, unless
+    too few of the item's words are in it. ``score`` is the alignment's share of the item's full score, the
     best over its segments and passages; pairs count from ``min_score`` and
     from ``MIN_MATCHED`` matched words, or all of a shorter item. Each distinct
     passage is aligned once, whoever holds it. Null and empty texts, and items
@@ -221,17 +227,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     items = checkpointed(items_of(benchmark))
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     found = checkpointed(passages(docs, items, longest + longest // 4))
-    seeds = items.select("item_id", "segment", F.explode("seeds").alias("s")).select("item_id", "segment", "s.seed", "s.at")
-    texts = found.groupBy("passage").agg(F.first("words").alias("words"), F.first("hits").alias("hits"),
-                                         F.count("*").alias("copies"))
-    hits = texts.select("passage", "copies", F.explode(F.array_distinct(F.col("hits.seed"))).alias("seed"))
-    spread = hits.groupBy("seed").agg(F.sum("copies").alias("spread"))
-    rare = seeds.join(spread, "seed").withColumn("rare", F.col("spread") <= RARE_PASSAGES)
-    chosen = (hits.join(rare, "seed").groupBy("passage", "item_id", "segment")
-              .agg(F.max("rare").alias("rare"), F.count("*").alias("n")).filter("rare or n > 1"))
+    seeds = items.select("item_id", "segment", F.explode("seeds").alias("s")).select("item_id", "segment", "s.seed").distinct()
+    texts = found.groupBy("passage").agg(F.first("words").alias("words"), F.first("hits").alias("hits"))
+    hits = texts.select("passage", F.explode(F.array_distinct(F.col("hits.seed"))).alias("seed"))
+    chosen = hits.join(seeds, "seed").select("passage", "item_id", "segment").distinct()
     pairs = (chosen.join(texts.select("passage", "words"), "passage")
              .join(items.select("item_id", "segment", F.col("words").alias("item")), ["item_id", "segment"]))
-    good = _aligned(pairs).filter((F.col("score") >= min_score)
+    good = _aligned(pairs, min_score).filter((F.col("score") >= min_score)
                                   & (F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("item_words"))))
     owners = found.select("doc_id", "passage").distinct()
     return (owners.join(good, "passage").groupBy("doc_id", "item_id")

@@ -56,6 +56,16 @@ def test_finds_exact_edited_and_hot_copies(spark, benchmark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_one_frequent_seed_is_enough(spark):
+    """Copies that share a single 3-gram are found however many documents, or other passages, hold it."""
+    edited = "p1 p2 p3 x p5 p6 x p8 p9 x p11 p12 x p14 p15"
+    rows = [(k, edited) for k in range(40)] + [(100 + k, f"y{k} p1 p2 p3 z{k}") for k in range(40)]
+    rows += [(200 + k, f"u{k} red green blue v{k}") for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(f"p{k}" for k in range(1, 16))), (2, "red green blue")], "item_id long, text string")
+    got = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, 1) for k in range(40)} | {(200 + k, 2) for k in range(40)}
+
+
 def test_long_texts_and_long_items(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 64)
     long_item = [f"q{k}" for k in range(900)]
