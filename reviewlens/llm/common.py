@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,12 @@ def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def row_key(df: DataFrame) -> Column:
+    """A string that tells rows of ``df`` apart: two hashes of all columns. Only equal rows share it."""
+    cells = [c for name in df.columns for c in (df[name].isNull(), df[name])]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *cells)), 16, "0") for seed in (1, 2)])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import BLOCK_BYTES, checkpointed, small_side
+from reviewlens.llm.common import BLOCK_BYTES, checkpointed, row_key, small_side
 
 SEED_WORDS = 3
 FILTER_BITS = 24
@@ -241,6 +241,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    ids = checkpointed(contaminated(docs, benchmark, min_score).select("doc_id").distinct())
-    return docs.alias("d").join(small_side(ids).alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; rows that share a doc_id, or have none, are judged one by one."""
+    own = row_key(docs)
+    keys = checkpointed(contaminated(docs.select(own.alias("doc_id"), "text"), benchmark, min_score).select(
+        F.col("doc_id").alias("key")).distinct())
+    return docs.join(small_side(keys), own == keys["key"], "left_anti")

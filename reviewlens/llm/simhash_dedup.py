@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.common import checkpointed, map_texts, small_side, word_blocks
+from reviewlens.llm.common import checkpointed, map_texts, row_key, small_side, word_blocks
 from reviewlens.operators.components import components
 
 BITS = 64
@@ -118,21 +118,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: its smallest doc_id.
 
-    doc_id is the key of a document: of rows that share one, the row with the
-    least text stays. Rows without a doc_id are one such key, which stays only
-    if no document of its group has an id. Only the ids to drop or to thin out
-    are joined to the texts, so few copies mean little to move.
+    Each row is judged by its own text, so rows that share a doc_id, or have
+    none, go only if they are near-duplicates; rows without an id stay only if
+    no row of their group has one, and among equal ids a hash of the row
+    decides. Of equal rows one stays. Only the keys of rows to drop or to thin
+    out are joined to the texts, so few copies mean little to move.
     """
-    found = near_duplicates(docs, width, radius)
-    ids = checkpointed(found.groupBy("doc_id").agg(
+    own = row_key(docs)
+    found = near_duplicates(docs.select(
+        F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), own.alias("key")).alias("doc_id"), "text"),
+        width, radius)
+    keys = checkpointed(found.groupBy("doc_id.key").agg(
         F.count("*").alias("rows"), F.max(F.expr("doc_id <=> component_id")).alias("stays")))
-    same_id = F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))
-    plain = docs.alias("d").join(small_side(ids.filter("not stays or rows > 1")).alias("i"), same_id, "left_anti")
-    many = ids.filter("stays and rows > 1")
+    plain = docs.join(small_side(keys.filter("not stays or rows > 1")), own == keys["key"], "left_anti")
+    many = keys.filter("stays and rows > 1")
     if many.isEmpty():
         return plain
-    repeated = docs.alias("d").join(small_side(many).alias("i"), same_id, "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    thinned = (repeated.groupBy("doc_id").agg(F.min_by(whole, "text").alias("row"), F.first(whole).alias("any"))
-               .select(F.coalesce("row", "any").alias("row")).select("row.*"))
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    thinned = docs.join(small_side(many), own == keys["key"]).groupBy(own).agg(F.first(whole).alias("row")).select("row.*")
     return plain.union(thinned)

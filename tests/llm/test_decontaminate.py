@@ -66,6 +66,15 @@ def test_one_frequent_seed_is_enough(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, 1) for k in range(40)} | {(200 + k, 2) for k in range(40)}
 
 
+def test_rows_without_or_with_equal_ids_are_judged_one_by_one(spark):
+    item = "alpha beta gamma delta epsilon"
+    rows = [(None, item, "a"), (None, "clean words", "a"), (None, None, "a"), (5, item, "b"), (5, "other clean words", "b"), (6, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    left = D.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == sorted(
+        (r for r in rows if r[1] != item), key=str)
+
+
 def test_long_texts_and_long_items(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 64)
     long_item = [f"q{k}" for k in range(900)]

@@ -94,6 +94,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert S.keep_one(no_docs).count() == 0
 
 
+def test_only_near_duplicates_go_whatever_their_ids(spark):
+    text = {k: " ".join(f"{k}{j}" for j in range(30)) for k in "abcdef"}
+    rows = [(None, text["a"], "x"), (None, text["b"], "x"), (None, text["c"], "x"), (None, text["c"], "x"), (3, text["d"], None),
+            (5, text["d"], "x"), (5, text["e"], "x"), (None, text["e"], "y"), (6, text["f"], "x"), (6, text["f"], "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string")
+    got = sorted(((r.doc_id, r.text) for r in S.keep_one(docs).collect()), key=str)
+    assert got == sorted([(None, text["a"]), (None, text["b"]), (None, text["c"]), (3, text["d"]), (5, text["e"]), (6, text["f"])], key=str)
+
+
 def test_long_chain_is_one_component(spark):
     from reviewlens.operators.components import components
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
