@@ -21,6 +21,10 @@ def _safe(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def _name(speaker: str) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(F.col(speaker), F.lit("unknown")), r"[\s<>|]+", " "))
+
+
 def _turns(dialogues: DataFrame, speaker: str) -> DataFrame:
     """One row for each distinct turn, with the part it belongs to.
 
@@ -28,8 +32,7 @@ def _turns(dialogues: DataFrame, speaker: str) -> DataFrame:
     ``PART_TURNS`` different rows, they are split by their hash, so no part
     grows without bound.
     """
-    name = F.trim(F.regexp_replace(F.coalesce(F.col(speaker), F.lit("unknown")), r"[\s<>|]+", " "))
-    rows = dialogues.select("conv_id", F.col("turn").cast("long").alias("turn"), name.alias("speaker"),
+    rows = dialogues.select("conv_id", F.col("turn").cast("long").alias("turn"), _name(speaker).alias("speaker"),
                             _safe(F.col("text")).alias("body")).distinct()
     rows = rows.withColumn("rank", F.xxhash64("speaker", "body"))
     crowded = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).filter(F.col("n") > PART_TURNS)
@@ -44,12 +47,13 @@ def _turns(dialogues: DataFrame, speaker: str) -> DataFrame:
 def rotate(dialogues: DataFrame, speaker: str = "role") -> DataFrame:
     """(conv_id, part, piece, perspective, n_turns, n_trained, text, spans).
 
-    One row for each participant of each part of a dialogue: ``text`` is the
-    rendered part with the participant as assistant, ``spans`` the code point
+    One row for each part of a dialogue and each participant of the whole
+    dialogue, so a participant's parts make up the dialogue, also where it is
+    silent: ``text`` is the rendered part with the participant as assistant, ``spans`` the code point
     ranges [start, end) of its turns' bodies and end markers. Turns follow in
     turn order (null first; equal numbers by a hash of speaker and text);
-    ``part`` numbers stretches of ``PART_TURNS`` turn numbers, a participant
-    is rendered in the parts it speaks in. ``system`` turns stay system turns
+    ``part`` numbers stretches of ``PART_TURNS`` turn numbers; a turn is in one
+    part only, ``system`` turns too. ``system`` turns stay system turns
     and are nobody's perspective, so a dialogue of only those gives no row.
     A null text is empty, a null speaker ``unknown``, rows with a null conv_id
     are one dialogue, a repeated row is one turn. Markers inside texts and
@@ -57,8 +61,9 @@ def rotate(dialogues: DataFrame, speaker: str = "role") -> DataFrame:
     """
     parts = _turns(dialogues, speaker).groupBy("conv_id", "part", "crowded_turn", "piece").agg(
         F.sort_array(F.collect_list(F.struct("turn", "rank", "speaker", "body"))).alias("turns"))
-    speakers = F.array_distinct(F.filter(F.col("turns.speaker"), lambda s: s != SYSTEM))
-    each = parts.select("conv_id", "part", "piece", "turns", F.explode(speakers).alias("perspective"))
+    speakers = dialogues.select("conv_id", _name(speaker).alias("perspective")).filter(F.col("perspective") != SYSTEM).distinct()
+    each = parts.alias("p").join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select(
+        "p.conv_id", "part", "piece", "turns", "perspective")
 
     def head(t: Column) -> Column:
         who = (F.when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).when(t["speaker"] == F.col("perspective"), F.lit("assistant"))

@@ -112,6 +112,19 @@ def test_parts_of_long_and_crowded_dialogues(spark):
     assert "".join(whole) == render([(w, t) for _, _, w, t in long], "s0")[0]
 
 
+def test_everyone_gets_the_whole_of_a_long_dialogue(spark):
+    """Someone who speaks once, at turn 70, and someone who is silent after turn 1 get all 150 turns."""
+    turns = [(0, "system", "rules"), (1, "eve", "hi")] + [(k, "bob" if k != 70 else "ann", f"t{k}") for k in range(2, 150)]
+    rows = [(c, k, who, text) for c in (1, None) for k, who, text in turns]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, None):
+        for me in ("ann", "bob", "eve"):
+            parts = sorted((r for r in got if r.conv_id == c and r.perspective == me), key=lambda r: r.part)
+            assert "".join(r.text for r in parts) == render([(w, t) for _, w, t in turns], me)[0]
+            assert sum(r.n_trained for r in parts) == sum(w == me for _, w, _ in turns)
+    assert len(got) == 18
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_twin(spark, name):
     from tools.oracle_check import rows_of
