@@ -47,6 +47,21 @@ def test_scan_tells_secrets_from_lookalikes(spark, scanner):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
 
 
+def test_path_has_an_influence(spark, scanner):
+    """The same strings score higher in configuration than in tests, and labelled findings of both kinds have both paths."""
+    values = [HEX[k:k + 24] + HEX[:k] for k in range(10)]
+    docs = spark.createDataFrame([(k, f"the value {v} there", p) for k, v in enumerate(values) for p in (".env", "tests/test_a.py")],
+                                 "doc_id long, text string, source string")
+    scores = {(r.doc_id, r.path): r.score for r in S.scan(docs, scanner).collect()}
+    assert sum(scores[k, ".env"] - scores[k, "tests/test_a.py"] for k in range(10)) > 0
+    assert all(scores[k, ".env"] >= scores[k, "tests/test_a.py"] for k in range(10))
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = S.labelled_findings(given, 100).select("path", "label").distinct().collect()
+    for label in (0, 1):
+        paths = {r.path for r in rows if r.label == label}
+        assert paths >= {*S.CONFIG_PATHS, *S.TEST_PATHS} and len(paths) > len(S.CONFIG_PATHS) + len(S.TEST_PATHS)
+
+
 def test_redaction_keeps_all_documents(spark, scanner, odd_docs, no_docs):
     rows = [(1, f'a token = "{HEX}" b "{HEX}"', 100), (1, f'a token = "{HEX}" b "{HEX}"', 100), (None, f'secret: "{HEX}"', 9),
             (2, "clean text stays", 16), (3, None, None), (4, f"see commit {HEX}", 51), (5, "", 0)]
