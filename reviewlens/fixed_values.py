@@ -52,6 +52,8 @@ EMOJI_CLASS = (
     r"\x{21A9}\x{21AA}\x{24C2}\x{25AA}\x{25AB}\x{25B6}\x{25C0}\x{25FB}-\x{25FE}"
     r"\x{2934}\x{2935}\x{3030}\x{303D}\x{3297}\x{3299}\x{20E3}]"
 )
+# Wide ranges that hold every character of EMOJI_CLASS.
+EMOJI_ENCLOSING = r"[\x{00A9}\x{00AE}\x{203C}-\x{3299}\x{1F004}-\x{1FAF8}]"
 ACCEPTED_LANGUAGE = "en"
 
 # --- ingest -----------------------------------------------------------------

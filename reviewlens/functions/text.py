@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewlens.fixed_values import EMOJI_CLASS, WHITESPACE_CLASS, WORD_PATTERN
+from reviewlens.fixed_values import EMOJI_CLASS, EMOJI_ENCLOSING, WHITESPACE_CLASS, WORD_PATTERN
 
 
 def _c(col) -> Column:
@@ -46,5 +46,10 @@ def word_count(col) -> Column:
 
 
 def has_emoji(col) -> Column:
-    """B3 helper: any emoji code point."""
-    return F.coalesce(_c(col).rlike(EMOJI_CLASS), F.lit(False))
+    """B3 helper: any emoji code point.
+
+    The exact class has many ranges and is slow to test on every character, so
+    a text first has to meet the few wide ranges that enclose it.
+    """
+    c = _c(col)
+    return F.coalesce(c.rlike(EMOJI_ENCLOSING) & c.rlike(EMOJI_CLASS), F.lit(False))
