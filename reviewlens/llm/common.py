@@ -86,3 +86,15 @@ def word_blocks(text: str | None, size: int = BLOCK_BYTES) -> Iterator[list[byte
             end += 1
         yield data[at:end].split()
         at = end
+
+
+def word_lists(text: str | None, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text, unchanged, in lists that cover about ``size`` bytes each."""
+    data = (text or "").encode()
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield data[at:end].split()
+        at = end

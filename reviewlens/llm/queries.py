@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from reviewlens.llm import (bpe, chat, decontaminate, fingerprints, language, lm_score, quality, secret_scan,
+from reviewlens.llm import (bpe, chat, decontaminate, fingerprints, language, lm_score, periodic, quality, secret_scan,
                              simhash_dedup, toxicity)
 from reviewlens.llm.common import table
 
@@ -91,6 +94,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def repeated_order(doc_id, n: int) -> np.ndarray | None:
+    """Every tenth document by crc32 repeats a stretch of its own words up to its end."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g = h // 10
+    if h % 10:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    order = np.arange(n)
+    order[a:] = a + (order[a:] - a) % p
+    return order
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), arrange=repeated_order)
+    greater = "best IS NULL OR r.length * best.period > best.length * r.period"  # equal ones: the first stays
+    best = F.expr(f"aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (best, r) -> IF({greater}, r, best))")
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_toxicity, op3_simhash, op4_secrets, op5_language, op6_bpe, op7_fingerprints, op8_chat,
-    op9_lm_score, op10_quality)}
+    op9_lm_score, op10_quality, op11_periodic)}
