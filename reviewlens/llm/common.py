@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +89,9 @@ def word_blocks(text: str | None, size: int = BLOCK_BYTES) -> Iterator[list[byte
         at = end
 
 
-def word_lists(text: str | None, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+def word_lists(text: str | bytes | None, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text, unchanged, in lists that cover about ``size`` bytes each."""
-    data = (text or "").encode()
+    data = text if isinstance(text, bytes) else (text or "").encode()
     at = 0
     while at < len(data):
         end = at + size
@@ -98,3 +99,12 @@ def word_lists(text: str | None, size: int = BLOCK_BYTES) -> Iterator[list[bytes
             end += 1
         yield data[at:end].split()
         at = end
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte behind its last."""
+    codes = np.frombuffer(data, np.uint8)
+    blank = np.ones(len(codes) + 2, bool)
+    blank[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
