@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from reviewlens.llm import (bpe, chat, decontaminate, fingerprints, language, lm_score, periodic, quality, relative_lz,
-                             secret_scan, simhash_dedup, toxicity)
+from reviewlens.llm import (alignment, bpe, chat, decontaminate, fingerprints, language, lm_score, periodic, quality,
+                             relative_lz, secret_scan, simhash_dedup, toxicity)
 from reviewlens.llm.common import table
 
 
@@ -118,6 +118,12 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = alignment.byte_level(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    b = alignment.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relative_lz.remove_duplicates(table(spark, sf_dir, "documents"))
     removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
@@ -127,4 +133,4 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_toxicity, op3_simhash, op4_secrets, op5_language, op6_bpe, op7_fingerprints, op8_chat,
     op9_lm_score, op10_quality, op11_periodic,
-    op13_substring_dedup)}
+    op12_alignment, op13_substring_dedup)}
