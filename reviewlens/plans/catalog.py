@@ -17,8 +17,8 @@ from reviewlens.fixed_values import DEFAULT_MAX_REVIEWS
 from reviewlens.functions.dates import iso_week_label, iso_week_valid, parse_time
 from reviewlens.functions import display
 from reviewlens import fixed_values as V
-from reviewlens.operators import (clusters, density, explore, ids, ingest, language, receipts, render,
-                                 summarise, summary, themes, vectors)
+from reviewlens.operators import (clusters, density, explore, hierarchy, ids, ingest, language, neighbours, receipts,
+                                 render, spectral, summarise, summary, themes, vectors)
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -1108,12 +1108,61 @@ def q_embed_text(spark, sf_dir):
                     F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
+NEAR, LINKED, QUERY_EVERY = 5, 20, 100  # neighbours that count, links of a node, every so many ids are a query
+
+
+def embedded(spark, sf_dir):
+    """Distinct given vectors as nodes, the rows they stand for, and the neighbour graph between them."""
+    from reviewlens.sources.tables import read_table
+    nodes, rows = neighbours.classes(read_table(spark, sf_dir, "embeddings"), 64, "vec_id", "embedding", NEAR)
+    return nodes, checkpointed(rows), neighbours.descend(nodes, 64, LINKED)
+
+
+def nearest_queries(rows, vec, distance):
+    """(query, near) of every hundredth id by brute force; ``rows`` (key, vec)."""
+    points = rows.select("key", F.col(vec).alias("p"))
+    asked = points.filter(F.col("key") % QUERY_EVERY == 0).select(F.col("key").alias("query"), F.col("p").alias("q"))
+    return neighbours.nearest(asked, points, NEAR, distance)
+
+
+@register("knn_graph")
+def q_knn_graph(spark, sf_dir):
+    """Five nearest neighbours of every given vector, with the recall of every hundredth id (rows only: approximate)."""
+    from reviewlens.sources.tables import read_table
+    vectors_ = read_table(spark, sf_dir, "embeddings")
+    found = checkpointed(neighbours.knn_graph(vectors_, NEAR, 64, degree=LINKED))
+    unit = vectors_.select(F.col("vec_id").alias("key"), neighbours.unit_vector(F.col("embedding"), 64).alias("vec")).dropna()
+    dot = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    exact = nearest_queries(unit, "vec", F.round(1.0 - dot, 9))
+    lists = found.groupBy(F.col("vec_id").alias("query")).agg(F.collect_list("neighbour").alias("near"))
+    kept = neighbours.recall(lists, exact)
+    return found.join(kept, found["vec_id"] == kept["query"], "left").select("vec_id", "rank", "neighbour", "distance", F.col("kept").alias("recall"))
+
+
 @register("reduce_dims")
 def q_reduce_dims(spark, sf_dir):
-    """Five principal components of the normalised 64-d vectors (rows only)."""
-    from reviewlens.sources.tables import read_table
-    r = vectors.reduce_dims(read_table(spark, sf_dir, "embeddings"))
-    return r.select("vec_id", F.size("reduced").alias("k"), "reduced")
+    """Five dimensions along the neighbour graph; the share of near neighbours that every hundredth id keeps, and
+    keeps in as many sign projections (rows only)."""
+    nodes, rows, graph = embedded(spark, sf_dir)
+    reduced = spectral.spectral_reduce(nodes, graph, 64)
+    places = checkpointed(rows.join(nodes.select("id", "vec"), "id").join(reduced, "id", "left").select(
+        "key", "vec", "reduced", vectors.sign_projection(F.col("vec"), 64, spectral.START_MASKS[:5]).alias("signs")))
+    square = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    truth = nearest_queries(places, "vec", square)
+    kept = neighbours.recall(nearest_queries(places.dropna(subset=["reduced"]), "reduced", square), truth).withColumnRenamed("query", "key")
+    signs = neighbours.recall(nearest_queries(places, "signs", square), truth).select(
+        F.col("query").alias("key"), F.col("kept").alias("kept_by_signs"))
+    return places.join(kept, "key", "left").join(signs, "key", "left").select(
+        F.col("key").alias("vec_id"), F.size("reduced").alias("k"), "reduced", "kept", "kept_by_signs")
+
+
+@register("density_hierarchy")
+def q_density_hierarchy(spark, sf_dir):
+    """Clusters of the given vectors without a distance, by excess of mass over the neighbour graph (rows only)."""
+    nodes, rows, graph = embedded(spark, sf_dir)
+    sizes = checkpointed(rows.groupBy("id").agg(F.count("*").alias("n")))
+    found = hierarchy.density_hierarchy(graph, sizes)
+    return rows.join(found, "id").select(F.col("key").alias("vec_id"), "cluster_id")
 
 
 # --------------------------------------------------- density clustering ----
