@@ -61,6 +61,17 @@ def candidates(docs: DataFrame, path_col: str | None = "source") -> DataFrame:
             .select("doc_id", "f.start", "f.value", "f.left", "f.right", "path"))
 
 
+def _sampled(docs: DataFrame, path: Column, max_rows: int) -> DataFrame:
+    """(text, path) of the ``max_rows`` distinct texts with the least hashes; of copies the least path.
+
+    The hashes are ranked first, without the texts, so only the sample moves.
+    """
+    rows = docs.filter("text is not null").select("text", path.alias("path"), F.xxhash64("text").alias("h"))
+    bound = rows.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    few = rows.filter(F.col("h") <= bound) if bound is not None else rows.limit(0)
+    return few.groupBy("text").agg(F.min("path").alias("path"))
+
+
 def labelled_findings(docs: DataFrame, max_rows: int = MAX_ROWS, path_col: str | None = "source") -> DataFrame:
     """(value, left, right, path, label): findings labelled by rule, derived from at most ``max_rows`` texts.
 
@@ -76,8 +87,7 @@ def labelled_findings(docs: DataFrame, max_rows: int = MAX_ROWS, path_col: str |
     no word explains is true in configuration and false elsewhere.
     """
     given = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
-    sample = docs.filter("text is not null").select("text", given.alias("path")).orderBy(
-        F.xxhash64("text"), "path").limit(max_rows)
+    sample = checkpointed(_sampled(docs, given, max_rows))
     w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("word"))
     hexa, raw = F.sha2("text", 256), F.base64(F.unhex(F.concat(F.sha2("text", 256), F.md5("text"))))
     mixed = F.translate(raw, "+/=", "aZ9")
@@ -109,7 +119,7 @@ def labelled_findings(docs: DataFrame, max_rows: int = MAX_ROWS, path_col: str |
         (F.lit("xxxxxxxxxxxxxxxxxxxx1"), spaced("api_key = "), F.lit("\n"), no),
         (F.concat_ws("_", w(2), w(3), w(4), w(5)), spaced('password = "'), F.lit('"'), no),
     ]
-    words = F.filter(F.split(F.substring("text", 1, 4000), r"[^A-Za-z]+"), lambda x: F.length(x).between(3, 12))
+    words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda x: F.length(x).between(3, 12))
 
     bare = [(F.substring(hexa, 9 + 8 * k, 24 + 8 * k), spaced("value "), F.concat(F.lit(" "), w(2)), y)
             for k in (0, 1, 2) for y in (yes, no)]
@@ -141,14 +151,15 @@ class Scanner:
     dictionary: bytes
 
 
-def _sample_words(docs: DataFrame, max_rows: int) -> DataFrame:
-    sample = docs.filter("text is not null").select("text").orderBy(F.xxhash64("text")).limit(max_rows)
-    return sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))).alias("word")).filter(
-        F.length("word").between(2, 20)).groupBy("word").agg(F.count("*").alias("n"))
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): in how many of all texts each word stands; counted per task before anything moves."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))
+    return docs.select(F.explode(words).alias("word")).filter(F.length("word").between(2, 20)).groupBy("word").agg(
+        F.count("*").alias("n"))
 
 
 def _transitions(words: DataFrame) -> list[float]:
-    """ln of how likely a letter follows another in the sampled words, for 26 x 26 letters, smoothed."""
+    """ln of how likely a letter follows another in the corpus's words, for 26 x 26 letters, smoothed."""
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(
         F.col("word"), i, F.lit(2)))).alias("pair")).groupBy("pair").count().collect()  # 676 rows at most
     n = {r["pair"]: r["count"] for r in pairs}
@@ -161,9 +172,9 @@ def _slots(word: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed), word), F.lit(DICTIONARY_SLOTS)) for seed in (1, 2)]
 
 
-def _dictionary(words: DataFrame, max_rows: int) -> bytes:
-    """A Bloom filter of the words that a share of the sampled texts have: one byte per slot, so fixed in size."""
-    kept = words.filter((F.col("n") >= max(2, DICTIONARY_SHARE * max_rows)) & (F.length("word") >= 3))
+def _dictionary(words: DataFrame, texts: int) -> bytes:
+    """A Bloom filter of the words that a share of all ``texts`` have: one byte per slot, so fixed in size."""
+    kept = words.filter((F.col("n") >= max(2, DICTIONARY_SHARE * texts)) & (F.length("word") >= 3))
     slots = kept.select(F.explode(F.array(*_slots(F.col("word")))).alias("s")).distinct().collect()
     table = bytearray(DICTIONARY_SLOTS)
     for r in slots:
@@ -204,14 +215,15 @@ def _known(word: Column, dictionary: bytes) -> Column:
     return first & second
 
 
-def train(findings: DataFrame, docs: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: int = 8) -> Scanner:
-    """Fit the forest on labelled findings; transitions and dictionary come from at most ``max_rows`` texts.
+def train(findings: DataFrame, docs: DataFrame, trees: int = 30, depth: int = 8) -> Scanner:
+    """Fit the forest on labelled findings; transitions and dictionary come from the words of all ``docs``.
+
+    Null texts have no words; copies count as often as they come.
 
     Without true and false findings there is no forest, and nothing is a secret.
     """
-    words = _sample_words(docs, max_rows).cache()
-    transitions, dictionary = _transitions(words), _dictionary(words, max_rows)
-    words.unpersist()
+    words = checkpointed(_word_counts(docs))
+    transitions, dictionary = _transitions(words), _dictionary(words, docs.filter("text is not null").count())
     rows = checkpointed(features(findings, transitions, dictionary).select(
         array_to_vector("features").alias("vector"), F.col("label").cast("double").alias("label")))
     if rows.agg(F.countDistinct("label")).first()[0] < 2:
