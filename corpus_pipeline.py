@@ -6,12 +6,29 @@ as Parquet and read again as the next stage's docs.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.llm import bpe, decontaminate, quality, secret_scan, simhash_dedup
 from reviewlens.llm.common import table, written
 
+#: Rows of an Arrow batch while the stages run. Rows hold whole texts, and batches wait on both sides of a Python worker.
+ARROW_ROWS = 1_000
+
+
+def small_batches(stage):
+    """``stage`` with batches of ``ARROW_ROWS`` rows at most in its session."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+            spark.conf.set(name, str(ARROW_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the labels of ``docs`` train the model."""
@@ -40,11 +57,11 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("secrets", secret_stage),
-    ("encoding", encoding_stage),
+    ("quality", small_batches(quality_stage)),
+    ("near_duplicates", small_batches(near_duplicate_stage)),
+    ("decontamination", small_batches(decontamination_stage)),
+    ("secrets", small_batches(secret_stage)),
+    ("encoding", small_batches(encoding_stage)),
 ]
 
 # Learned models, alignments and byte-pair merges are not for SQL; tests/llm compares with brute force instead.
