@@ -1098,14 +1098,26 @@ def q_cluster_themes(spark, sf_dir):
 
 # --------------------------------------------------------------- vectors ----
 
-@register("embed_text")
+TEXT_DIMS = 16
+_SIGNED_SUMS = ", ".join(f"sum(CASE WHEN substr(h, {i + 1}, 1) >= '8' THEN -w ELSE w END) AS s{i}" for i in range(TEXT_DIMS))
+
+
+@register("embed_text", _with(f"""
+, terms AS (
+  SELECT product, seq, term, count(*) AS tf
+  FROM (SELECT product, seq, unnest(string_split_regex(lower(text), '\\W+')) AS term FROM clean) WHERE term <> '' GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+weighted AS (
+  SELECT product, seq, tf * ln(((SELECT count(*) FROM clean) + 1.0) / (df + 1)) AS w, md5(term) AS h
+  FROM terms JOIN held USING (term)),
+sums AS (SELECT product, seq, sqrt(sum(w * w)) AS length, {_SIGNED_SUMS} FROM weighted GROUP BY ALL)
+SELECT product, seq, {", ".join(f"round(coalesce(s{i} / nullif(length, 0), 0), 9) + 0.0 AS x{i}" for i in range(TEXT_DIMS))}
+FROM clean LEFT JOIN sums USING (product, seq)
+""".replace("\n, terms", ", terms", 1)))
 def q_embed_text(spark, sf_dir):
-    """G1: TF-IDF unit vectors of every clean review (rows only: no SQL twin for ML vectors)."""
-    from pyspark.ml.functions import vector_to_array
-    v = vectors.embed_text(clean(spark, sf_dir))
-    arr = vector_to_array("vector")
-    return v.select("product", "seq", F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"),
-                    F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    """G1: a vector of every clean review from all of its words: TF-IDF over the whole vocabulary, projected by hashed signs."""
+    placed = vectors.project_terms(checkpointed(clean(spark, sf_dir).select("product", "seq", "text")), dims=TEXT_DIMS)
+    return placed.select("product", "seq", *[(F.get("reduced", F.lit(i)) + F.lit(0.0)).alias(f"x{i}") for i in range(TEXT_DIMS)])
 
 
 NEAR, LINKED, QUERY_EVERY = 5, 20, 100  # neighbours that count, links of a node, every so many ids are a query
