@@ -71,22 +71,28 @@ def sign_projection(vec: Column, size: int, masks: tuple[int, ...]) -> Column:
 
 
 def project_terms(df: DataFrame, keys: tuple[str, ...] = ("product", "seq"), text_col: str = "text", dims: int = 3,
-                  out: str = "reduced") -> DataFrame:
+                  out: str = "reduced", portable: bool = False) -> DataFrame:
     """G1 + G2 in one aggregation: TF-IDF over the whole vocabulary, unit length, projected by signs of a term's hash.
 
-    Every term counts; none share a slot. Coordinate i takes its sign from the
-    i-th hexadecimal digit of the term's MD5, so any engine gives the same.
+    Every term counts; none share a slot. Coordinate i takes its sign from bit i
+    of the term's hash or, if ``portable``, from the i-th hexadecimal digit of
+    its MD5, which any engine computes alike.
     One row per distinct ``keys``; a text without words, or null, lies at the origin.
     """
     if not 1 <= dims <= 32:
-        raise ValueError("dims must be 1 to 32, the digits of the hash")
+        raise ValueError("dims must be 1 to 32")
     n = df.select(*keys).distinct().count()
     terms = (df.select(*keys, F.explode(F.split(F.lower(text_col), r"\W+")).alias("term")).filter("term <> ''")
              .groupBy(*keys, "term").agg(F.count("*").alias("tf")))
     held = terms.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * F.log((F.lit(n) + 1) / (F.col("df") + 1))
-    weighted = terms.join(held, "term").select(*keys, weight.alias("w"), F.md5("term").alias("h"))
-    sign = lambda i: F.when(F.substring("h", i + 1, 1) >= "8", -1).otherwise(1)
+    weighted = terms.join(held, "term").select(*keys, weight.alias("w"), (F.md5 if portable else F.xxhash64)("term").alias("h"))
+
+    def sign(i: int) -> Column:
+        if portable:
+            return F.when(F.substring("h", i + 1, 1) >= "8", -1).otherwise(1)
+        return 1 - 2 * F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))
+
     sums = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
                                        *[F.sum(F.col("w") * sign(i)).alias(f"x{i}") for i in range(dims)])
     place = F.array(*[F.round(F.col(f"x{i}") / F.col("length"), 9) for i in range(dims)])

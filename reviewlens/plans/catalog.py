@@ -1116,7 +1116,7 @@ FROM clean LEFT JOIN sums USING (product, seq)
 """.replace("\n, terms", ", terms", 1)))
 def q_embed_text(spark, sf_dir):
     """G1: a vector of every clean review from all of its words: TF-IDF over the whole vocabulary, projected by hashed signs."""
-    placed = vectors.project_terms(checkpointed(clean(spark, sf_dir).select("product", "seq", "text")), dims=TEXT_DIMS)
+    placed = vectors.project_terms(checkpointed(clean(spark, sf_dir).select("product", "seq", "text")), dims=TEXT_DIMS, portable=True)
     return placed.select("product", "seq", *[(F.get("reduced", F.lit(i)) + F.lit(0.0)).alias(f"x{i}") for i in range(TEXT_DIMS)])
 
 
