@@ -8,6 +8,7 @@ Computed columns carry the same alias in both.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,8 @@ from reviewlens.operators import (clusters, density, explore, hierarchy, ids, in
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
-from reviewlens.sources.shared import checkpointed
+from reviewlens.sources.shared import checkpointed, shared_folder
+from reviewlens.streaming import ingest_stream
 
 # Run parameters shared by the Spark side and the SQL side.
 AS_OF = "2024-05-01 00:00:00"
@@ -481,6 +483,35 @@ def q_theme_summaries(spark, sf_dir):
                     "review_count", "avg_rating", F.size("quotes").alias("n_quotes"))
 
 
+# --------------------------------------------------------------- streams ----
+
+ARRIVALS = 4  # clean reviews arrive in this many drops, by arrival number
+LATENESS_DAYS = 7
+
+
+@register("weekly_stream", _with(f"""
+, w AS (SELECT product, date_trunc('week', {S.ts()}) AS week_start, rating, {S.ts()} AS ts FROM clean WHERE {S.ts()} IS NOT NULL)
+SELECT product, strftime(week_start, '%Y-%m-%d') AS week_start, rating, count(*) AS n
+FROM w WHERE week_start + INTERVAL 7 DAY < (SELECT date_trunc('millisecond', max(ts)) FROM w) - INTERVAL {LATENESS_DAYS} DAY
+GROUP BY ALL
+"""))
+def q_weekly_stream(spark, sf_dir):
+    """Weekly rating counts of all closed weeks, by a stream that is restarted for every drop of files.
+
+    The drops are not in order of time, so many rows come behind the
+    watermark; counts at closing and late rows add up to the whole.
+    """
+    base = f"{shared_folder(spark)}/weekly-{uuid.uuid4().hex}"
+    rows = checkpointed(clean(spark, sf_dir).select("product", "review_id", "rating", parse_time("timestamp").alias("ts"),
+                                                    (F.col("seq") % ARRIVALS).alias("part")))
+    for part in range(ARRIVALS):
+        rows.filter(F.col("part") == part).drop("part").write.parquet(f"{base}/in/part={part}")
+        timed = spark.readStream.schema(rows.drop("part").schema).parquet(f"{base}/in/part=*")
+        ingest_stream.start_weekly_counts(timed, f"{base}/out", f"{base}/state", f"{LATENESS_DAYS} days").awaitTermination()
+    return ingest_stream.weekly_table(spark, f"{base}/out").select(
+        "product", F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "rating", "n")
+
+
 # -------------------------------------------------------------- explorer ----
 
 FEED = dict(stars=(1, 2), version="all", search="", sort="newest", page=2)
