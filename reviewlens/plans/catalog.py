@@ -19,7 +19,7 @@ from reviewlens.functions.dates import iso_week_label, iso_week_valid, parse_tim
 from reviewlens.functions import display
 from reviewlens import fixed_values as V
 from reviewlens.operators import (clusters, density, explore, hierarchy, ids, ingest, language, neighbours, receipts,
-                                 render, spectral, summarise, summary, themes, vectors)
+                                 render, rounds, spectral, summarise, summary, themes, vectors)
 from reviewlens.plans import responses
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.review_view import review_view
@@ -361,7 +361,15 @@ def theme_run(spark: SparkSession, sf_dir: str):
     return ranked, reps, prompts, verdicts, resolved
 
 
+def rounds_run(spark: SparkSession, sf_dir: str):
+    """Ranked clusters, their attempts in rounds, and what each cluster ends with."""
+    ranked, reps = ranked_clusters(spark, sf_dir)
+    made = rounds.theme_rounds(themes.cluster_prompts(ranked, reps), reps, rounds.extractive_answer())
+    return ranked, themes.resolve_attempts(made)
+
+
 _SYS = S.q(themes.SYSTEM_PROMPT)
+_SYNTH = responses.SYNTH_SQL.replace("FROM reps WHERE rank", "FROM rreps WHERE rank")
 THEME_CTES = CLUSTER_CTES + """,
 rreps AS (SELECT r.* FROM reps r JOIN ranked k USING (product, cluster_id)),
 tprompt AS (
@@ -374,7 +382,7 @@ tprompt2 AS (
   SELECT *, CAST(3 + ceil(length('system') / 4) + ceil(length(""" + _SYS + """) / 4)
                  + 3 + ceil(length('user') / 4) + ceil(length('Reviews:' || chr(10) || block) / 4) + 3 AS BIGINT) AS prompt_tokens
   FROM tprompt
-)""" + responses.SYNTH_SQL.replace("FROM reps WHERE rank", "FROM rreps WHERE rank") + f""",
+)""" + _SYNTH + f""",
 tperf AS (
   SELECT r.product, r.cluster_id, r.rank, r.attempt, p.prompt_tokens,
          CAST(r.completion_tokens + p.prompt_tokens AS BIGINT) AS used_tokens,
@@ -397,6 +405,9 @@ tadm AS (
 
 FULL_BUDGET_CTES = THEME_CTES.replace(f">= {THEME_BUDGET} AS refused", f">= {V.TOKEN_BUDGET_CAP} AS refused")
 
+# The same with the answers of ``rounds.extractive_answer``; all that is rendered stands on these.
+ROUND_CTES = FULL_BUDGET_CTES.replace(_SYNTH, rounds.ROUNDS_SQL)
+
 
 def _with_themes(body: str, ctes: str = FULL_BUDGET_CTES) -> str:
     return _with(ctes + "\n" + body)
@@ -469,20 +480,39 @@ def q_token_totals(spark, sf_dir):
 
 @register("theme_summaries", _with_themes("""
 SELECT a.product, row_number() OVER (PARTITION BY a.product ORDER BY a.rank) AS theme_rank, a.cluster_id,
-       'Theme ' || CAST(a.cluster_id AS VARCHAR) AS theme_name, k.size AS review_count, k.avg_rating,
+       t.theme_name, k.size AS review_count, k.avg_rating,
        CAST(CASE WHEN a.keep_quotes THEN (SELECT count(*) FROM tquotes q WHERE q.product = a.product
              AND q.cluster_id = a.cluster_id AND q.attempt = a.attempt) ELSE 0 END AS INTEGER) AS n_quotes
-FROM tadm a JOIN ranked k USING (product, cluster_id)
+FROM tadm a JOIN ranked k USING (product, cluster_id) JOIN tres t USING (product, cluster_id, attempt)
 WHERE a.final AND a.admitted AND a.outcome = 'theme'
-"""))
+""", ROUND_CTES))
 def q_theme_summaries(spark, sf_dir):
     """F4 + H3 + H4: finished themes renumbered in cluster order, with counts copied from the cluster."""
-    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    ranked, resolved = rounds_run(spark, sf_dir)
     t = themes.finished_themes(themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP), ranked)
     return t.select("product", F.col("theme_rank").cast("long").alias("theme_rank"), "cluster_id", "theme_name",
                     "review_count", "avg_rating", F.size("quotes").alias("n_quotes"))
 
 
+@register("theme_rounds", _with_themes(f"""
+SELECT product, cluster_id, attempt, parse_ok, valid, reason, final, outcome, completion_tokens, theme_name,
+       CASE WHEN attempt = 1 THEN 2 ELSE 4 END AS n_messages,
+       CASE WHEN attempt > 1 THEN 'Validation error: Hallucinated/paraphrased quote for ' || (
+         SELECT arg_min(q.q_doc_id || ': ''' || q.q_text || '''', q.qidx) FROM tquotes q
+         WHERE q.product = r.product AND q.cluster_id = r.cluster_id AND q.attempt = 1 AND NOT contains(q.text, q.q_text))
+         || {S.q(rounds.RETRY_REQUEST)} END AS last_error
+FROM tres r
+""", ROUND_CTES))
+def q_theme_rounds(spark, sf_dir):
+    """H1 + H3 + C10: attempts of every ranked cluster, with the error that the retry prompt ends with."""
+    _, resolved = rounds_run(spark, sf_dir)
+    last = F.element_at("messages", -1)["content"]
+    return resolved.select("product", "cluster_id", F.col("attempt").cast("long").alias("attempt"), "parse_ok", "valid",
+                           "reason", "final", "outcome", "completion_tokens", F.col("parsed.theme_name").alias("theme_name"),
+                           F.size("messages").cast("long").alias("n_messages"),
+                           F.when(F.col("attempt") > 1, last).alias("last_error"))
+
+
 # --------------------------------------------------------------- streams ----
 
 ARRIVALS = 4  # clean reviews arrive in this many drops, by arrival number
@@ -592,10 +622,10 @@ SELECT product, cluster_id, review_count, CAST(sum(review_count) OVER (PARTITION
        round(review_count * 100.0 / sum(review_count) OVER (PARTITION BY product), 1) AS share_pct,
        CASE WHEN avg_rating >= 3.5 THEN 'green' WHEN avg_rating >= 2.5 THEN 'amber' ELSE 'red' END AS rating_class
 FROM th
-""".replace("\n, th AS", ", th AS", 1)))
+""".replace("\n, th AS", ", th AS", 1), ROUND_CTES))
 def q_theme_share(spark, sf_dir):
     """E11 + E12 + C18: share of each finished theme among reviews in the shown themes."""
-    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    ranked, resolved = rounds_run(spark, sf_dir)
     t = themes.finished_themes(themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP), ranked)
     return explore.theme_share(t).select("product", "cluster_id", "review_count", "reviews_in_themes",
                                          "share_pct", "rating_class")
@@ -682,16 +712,17 @@ _WK = S.q(RUN_WEEK)
 
 
 def finished(spark, sf_dir):
-    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    ranked, resolved = rounds_run(spark, sf_dir)
     gated = themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP)
     return themes.finished_themes(gated, ranked), gated
 
 
-RENDER_CTES = FULL_BUDGET_CTES + f""",
+RENDER_CTES = ROUND_CTES + f""",
 th AS (
-  SELECT a.product, a.cluster_id, a.attempt, a.keep_quotes, k.size AS review_count, k.avg_rating,
+  SELECT a.product, a.cluster_id, a.attempt, a.keep_quotes, k.size AS review_count, k.avg_rating, r.theme_name, r.description, r.title, r.detail,
          row_number() OVER (PARTITION BY a.product ORDER BY a.rank) AS theme_rank
-  FROM tadm a JOIN ranked k USING (product, cluster_id) WHERE a.final AND a.admitted AND a.outcome = 'theme'
+  FROM tadm a JOIN ranked k USING (product, cluster_id) JOIN tres r USING (product, cluster_id, attempt)
+  WHERE a.final AND a.admitted AND a.outcome = 'theme'
 ),
 thq AS (
   SELECT t.product, t.cluster_id,
@@ -701,13 +732,13 @@ thq AS (
 ),
 tblock AS (
   SELECT t.product, t.cluster_id, t.theme_rank, t.review_count,
-         'Theme ' || CAST(t.cluster_id AS VARCHAR) AS theme_name,
-         {S.fmt(V.REPORT_THEME_LINE, rank='t.theme_rank', name="'Theme ' || CAST(t.cluster_id AS VARCHAR)",
+         coalesce(t.theme_name, {S.q(V.MISSING_THEME_TEXT)}) AS theme_name,
+         {S.fmt(V.REPORT_THEME_LINE, rank='t.theme_rank', name=f"coalesce(t.theme_name, {S.q(V.MISSING_THEME_TEXT)})",
                 count='t.review_count', avg='CAST(t.avg_rating AS DOUBLE)',
-                description="'Cluster of ' || CAST(t.review_count AS VARCHAR) || ' reviews'")}
+                description='t.description')}
          || CASE WHEN q.qlines IS NOT NULL THEN {S.q(V.REPORT_QUOTES_HEADER)} || q.qlines || chr(10) ELSE '' END
          || {S.q(V.REPORT_ACTIONS_HEADER)}
-         || {S.fmt(V.REPORT_ACTION_LINE, title="'Look into cluster ' || CAST(t.cluster_id AS VARCHAR)", detail="'Read the representative reviews.'")}
+         || {S.fmt(V.REPORT_ACTION_LINE, title='t.title', detail='t.detail')}
          || chr(10) AS block
   FROM th t LEFT JOIN thq q USING (product, cluster_id)
 )"""
@@ -769,10 +800,10 @@ pquote AS (
 ),
 ptheme AS (
   SELECT t.product, count(*) AS n_themes, CAST(sum(t.review_count) AS BIGINT) AS reviews_in_themes,
-         CAST(to_json(list({{'rank': t.theme_rank, 'theme_name': 'Theme ' || CAST(t.cluster_id AS VARCHAR), 'review_count': t.review_count,
-           'avg_rating': round_even(CAST(t.avg_rating AS DOUBLE), 2), 'description': 'Cluster of ' || CAST(t.review_count AS VARCHAR) || ' reviews',
+         CAST(to_json(list({{'rank': t.theme_rank, 'theme_name': coalesce(t.theme_name, {S.q(V.MISSING_THEME_PAYLOAD)}), 'review_count': t.review_count,
+           'avg_rating': round_even(CAST(t.avg_rating AS DOUBLE), 2), 'description': t.description,
            'quotes': coalesce(q.quotes, []),
-           'action_ideas': [{{'title': 'Look into cluster ' || CAST(t.cluster_id AS VARCHAR), 'detail': 'Read the representative reviews.'}}]}}
+           'action_ideas': [{{'title': t.title, 'detail': t.detail}}]}}
            ORDER BY t.theme_rank)) AS VARCHAR) AS themes
   FROM th t LEFT JOIN pquote q USING (product, cluster_id) GROUP BY t.product
 ),
@@ -1046,7 +1077,7 @@ def q_prompt_messages(spark, sf_dir):
 @register("usage_daily", _with_themes(f"""
 SELECT product, {S.q(AS_OF[:10])} AS day, count(*) AS requests, CAST(sum(used_tokens) AS BIGINT) AS tokens
 FROM tadm WHERE admitted GROUP BY product
-"""))
+""", ROUND_CTES))
 def q_usage_daily(spark, sf_dir):
     """H7: the usage table's requests and tokens per run and day."""
     _, gated = finished(spark, sf_dir)
@@ -1073,7 +1104,7 @@ LEFT JOIN (SELECT product, count(*) AS n FROM th GROUP BY product) t USING (prod
 """))
 def q_run_counters(spark, sf_dir):
     """Reviews, clusters and themes of each run."""
-    ranked, _, _, _, resolved = theme_run(spark, sf_dir)
+    ranked, resolved = rounds_run(spark, sf_dir)
     done = themes.finished_themes(themes.budget_gate(resolved, V.TOKEN_BUDGET_CAP), ranked)
     count = lambda df, name: df.groupBy("product").agg(F.count(F.lit(1)).alias(name))
     out = (count(clean(spark, sf_dir), "reviews_ingested").join(count(ranked, "clusters_found"), "product", "left")

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from reviewlens.operators import receipts, render, summarise, themes
+from reviewlens.operators import receipts, render, rounds, summarise, themes
 from reviewlens.sources import landing
 
 REPS = [("p", 1, 1, "doc_1", 5, "The app crashes on login every time"),
@@ -188,3 +188,51 @@ def test_sinks_partition_overwrite(spark):
     back = spark.read.json(f"{d}/anon")
     assert sorted((r.iso_week, r.rating) for r in back.collect()) == [("2026-W24", 5), ("2026-W25", 1)]
     assert "author" not in back.columns and "review_id" not in back.columns
+
+
+def _prompts(spark, clusters=(0, 1, 2)):
+    ranked = spark.createDataFrame([("p", c, c + 1, 2, 3.0) for c in clusters],
+                                   "product string, cluster_id int, rank int, size long, avg_rating double")
+    reps = spark.createDataFrame([("p", c, r, f"doc_{c}{r}", 2 + r, f"Cluster {c} text number {r} is here. More of it.")
+                                  for c in clusters for r in (1, 2)],
+                                 "product string, cluster_id int, rank int, doc_id string, rating int, text string")
+    return themes.cluster_prompts(ranked, reps), reps
+
+
+def test_theme_rounds_ask_only_rejected_clusters_again(spark):
+    """Cluster 0 is right at once, 1 after an unknown document, 2 answers with broken JSON to the end."""
+    def answer(prompts):
+        out = []
+        for m in prompts:
+            doc = m[1]["content"].split("doc_id: ")[1].split(" ")[0]
+            quote = {"text": "is here.", "doc_id": doc if doc != "doc_11" or len(m) > 2 else "doc_x", "rating": 3}
+            body = {"theme_name": f"{doc} after {len(m)}", "description": "", "quotes": [quote], "action_ideas": []}
+            out.append(("{" if doc == "doc_21" else json.dumps(body), len(m)))
+        return out
+
+    prompts, reps = _prompts(spark)
+    made = rounds.theme_rounds(prompts, reps, answer)
+    got = {(r.cluster_id, r.attempt): r for r in themes.resolve_attempts(made).collect()}
+    assert sorted(got) == [(0, 1), (1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+    assert got[1, 1].reason == "unknown_doc" and got[1, 2].valid and got[1, 2].parsed.theme_name == "doc_11 after 4"
+    assert got[1, 2].messages[2].role == "assistant"
+    assert got[1, 2].messages[3].content.startswith("Validation error: Quote references unknown doc_id 'doc_x'.")
+    assert [len(got[2, k].messages) for k in (1, 2, 3)] == [2, 2, 2]
+    assert got[2, 3].outcome == "skipped" and got[0, 1].outcome == got[1, 2].outcome == "theme"
+    assert {r.prompt_tokens for k, r in got.items() if k[0] == 1} == {got[1, 1].prompt_tokens}
+
+
+def test_extractive_answer_shortens_then_quotes_whole(spark):
+    long = "a sentence of very many words that goes on and on until nobody listens any more. Then."
+    ask = rounds.extractive_answer()
+    user = {"role": "user", "content": f"Reviews:\n[doc_id: doc_1 | Rating: 1/5]\n{long}\n\n---\n[doc_id: doc_2 | Rating: 5/5]\nFine.\n"}
+    first, again = (json.loads(ask([m])[0][0]) for m in ([{}, user], [{}, user, {}, {}]))
+    assert first["quotes"][0]["text"].endswith("…") and first["quotes"][0]["text"][:-1] in long
+    assert [q["text"] for q in again["quotes"]] == [long.split(" Then")[0], "Fine."]
+    assert first["action_ideas"] == [{"title": "Escalate", "detail": "Start with doc_1."}]
+
+
+def test_theme_rounds_on_no_clusters(spark):
+    prompts, reps = _prompts(spark)
+    made = rounds.theme_rounds(prompts.filter("false"), reps.filter("false"), rounds.extractive_answer())
+    assert themes.resolve_attempts(made).count() == 0
