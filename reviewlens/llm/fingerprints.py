@@ -166,12 +166,28 @@ def _halves(value: int) -> tuple[int, int]:
     return signed(value >> 64), signed(value & ((1 << 64) - 1))
 
 
+def _present(keys: DataFrame) -> tuple[DataFrame, int]:
+    """A bit table (word, bits) of the ``key`` column and its size: 8 bits or more for each key, 2^16 to 2^26 in all."""
+    size = 1 << min(26, max(16, (8 * keys.count()).bit_length()))
+    word, bit = _place(size)
+    placed = keys.select(F.expr(word).alias("word"), F.expr(f"shiftleft(1L, {bit})").alias("b"))
+    return placed.groupBy("word").agg(F.bit_or("b").alias("bits")), size
+
+
+def _place(size: int) -> tuple[str, str]:
+    """Word and bit of ``key`` in a bit table."""
+    return f"shiftright(key & {size - 1}L, 6)", "cast(key & 63 as int)"
+
+
 def search(index: DataFrame, queries: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     """(query, fingerprint, distance): all of ``index`` within ``radius`` bits of each query.
 
     Both frames have a ``fingerprint`` column of 32 hexadecimal digits, taken
-    distinct. A pair that several tables hold is emitted by the first of them
-    only. Null fingerprints match nothing.
+    distinct. A table's key is hashed to 64 bits with the table's number; what
+    meets is checked on all bits. Before the shuffle, a bit table of the
+    queries' keys, of at most 2^20 rows, drops index rows that can meet none;
+    where it is crowded it drops fewer and the result is the same. Null
+    fingerprints match nothing.
     """
     masks = [_halves(m) for m in block_tables(radius, blocks)]
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(hi).alias("mh"), F.lit(lo).alias("ml"))
@@ -180,17 +196,20 @@ def search(index: DataFrame, queries: DataFrame, radius: int = 4, blocks: int =
     def keyed(df: DataFrame) -> DataFrame:
         value = df.filter("fingerprint is not null").select("fingerprint").distinct()
         half = lambda start: F.conv(F.substring("fingerprint", start, 16), 16, -10).cast("long")
-        return (value.select("fingerprint", half(1).alias("hi"), half(17).alias("lo"), F.explode(tables).alias("m"))
-                .select("fingerprint", "hi", "lo", "m.t", F.expr("hi & m.mh").alias("kh"), F.expr("lo & m.ml").alias("kl")))
-
-    own, other = keyed(queries).alias("q"), keyed(index).alias("i")
-    met = own.join(other, ["t", "kh", "kl"]).select(
-        F.col("q.fingerprint").alias("query"), F.col("i.fingerprint").alias("fingerprint"), "t",
-        F.expr("q.hi ^ i.hi").alias("dh"), F.expr("q.lo ^ i.lo").alias("dl"))
-    met = met.withColumn("distance", F.expr("bit_count(dh) + bit_count(dl)")).filter(F.col("distance") <= radius)
-    first = F.least(*[F.when(((F.col("dh").bitwiseAND(F.lit(hi))) == 0) & (F.col("dl").bitwiseAND(F.lit(lo)) == 0),
-                             F.lit(t)).otherwise(F.lit(len(masks))) for t, (hi, lo) in enumerate(masks)])
-    return met.filter(F.col("t") == first).select("query", "fingerprint", "distance")
+        return (value.select(half(1).alias("hi"), half(17).alias("lo"), F.explode(tables).alias("m"))
+                .select("hi", "lo", F.expr("xxhash64(m.t, hi & m.mh, lo & m.ml)").alias("key")))
+
+    own = checkpointed(keyed(queries))
+    present, size = _present(own)
+    word, bit = _place(size)
+    asked = (keyed(index).withColumn("word", F.expr(word)).join(F.broadcast(present), "word")
+             .filter(F.expr(f"shiftrightunsigned(bits, {bit}) & 1 = 1")).select("hi", "lo", "key"))
+    met = own.alias("q").join(asked.alias("i"), "key").select(
+        "q.hi", "q.lo", F.col("i.hi").alias("ihi"), F.col("i.lo").alias("ilo"),
+        F.expr("bit_count(q.hi ^ i.hi) + bit_count(q.lo ^ i.lo)").alias("distance"))
+    text = lambda hi, lo: F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
+    return (met.filter(F.col("distance") <= radius).distinct()
+            .select(text("hi", "lo").alias("query"), text("ihi", "ilo").alias("fingerprint"), "distance"))
 
 
 def fingerprint_report(docs: DataFrame, every: int = 100, radius: int = 4, blocks: int = 6) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlens.llm import fingerprints as P
 from reviewlens.llm import lm_score as M
@@ -50,6 +51,23 @@ def test_tables_hold_every_pair_within_the_radius(spark):
     assert got == want and len(P.block_tables(4, 6)) == 15
 
 
+def test_search_drops_rows_that_meet_no_query(spark):
+    """Few queries in a large index: the bit table lets little through, all that is near is found."""
+    index = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).substr(1, 32).alias("fingerprint"))
+    values = [int(r[0], 16) for r in index.collect()]
+    asked = [values[5] ^ 0b1011, values[7] ^ (0b11 << 100) ^ 0b11, values[9] ^ 0b11111]
+    queries = spark.createDataFrame([(f"{v:032x}",) for v in asked], "fingerprint string")
+    got = {(int(r.query, 16), int(r.fingerprint, 16), r.distance) for r in P.search(index, queries).collect()}
+    assert got == {(a, v, (a ^ v).bit_count()) for a in asked for v in values if (a ^ v).bit_count() <= 4}
+    assert len(got) == 2
+    keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    table, size = P._present(keys)
+    word, bit = P._place(size)
+    kept = spark.range(100_000).select("id", F.xxhash64("id").alias("key")).withColumn("word", F.expr(word)).join(table, "word") \
+        .filter(F.expr(f"shiftrightunsigned(bits, {bit}) & 1 = 1"))
+    assert kept.filter("id < 1000").count() == 1000 and kept.count() < 15_000
+
+
 def test_long_texts_in_blocks(monkeypatch):
     from reviewlens.llm import common
     text = " ".join(f"w{k % 50}" for k in range(500))
