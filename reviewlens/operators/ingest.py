@@ -4,7 +4,7 @@ E16, F1, F9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from reviewlens.fixed_values import (ACCEPTED_LANGUAGE, DEFAULT_WINDOW_WEEKS,
@@ -12,11 +12,13 @@ from reviewlens.fixed_values import (ACCEPTED_LANGUAGE, DEFAULT_WINDOW_WEEKS,
 from reviewlens.functions.dates import parse_time, window_cutoff
 from reviewlens.functions.redact import redact_columns
 from reviewlens.functions.text import has_emoji, has_min_words, is_blank
+from reviewlens.operators.topk import prune
 from reviewlens.schemas import REVIEW
 
 REVIEW_COLUMNS = [f.name for f in REVIEW.fields]
 RESPONSE_FIELDS = ("review_id", "author", "rating", "text", "timestamp", "thumbs_up", "app_version")
 SALTS = 32  # parts of a product in the bounded scan
+GROUP_LIMIT = 1000  # Spark's own bound for ranks that are cut before a shuffle
 
 
 def map_records(raw: DataFrame, product: str | Column | None = None) -> DataFrame:
@@ -81,6 +83,12 @@ def sort_keys(mode: str) -> list[Column]:
     return key + [F.col("seq").asc()]
 
 
+def sort_value(mode: str) -> Column:
+    """The first of ``sort_keys`` as a number, greatest first, nulls last."""
+    return {"rating": F.col("rating"), "most_relevant": F.col("thumbs_up")}.get(
+        mode, F.unix_micros(parse_time("timestamp"))).cast("double")
+
+
 def bounded_scan(df: DataFrame, count: int, sort_mode: str = "newest",
                  lang: str = "lang", by: tuple[str, ...] = ("product",)) -> DataFrame:
     """A1 + F9: accepted records, the first ``count`` per product in source order.
@@ -88,9 +96,14 @@ def bounded_scan(df: DataFrame, count: int, sort_mode: str = "newest",
     The cap counts rows after the gate. A product's rows are ranked in
     ``SALTS`` parts by hash of their arrival key first, so a hot product is not
     one task's sort; at most ``count`` rows of each part are ranked again.
+    Above ``GROUP_LIMIT`` rows, where Spark no longer cuts groups before the
+    shuffle, rows that can't be among the first are left out by
+    ``topk.prune`` beforehand.
     """
     if count < 1:
         raise ValueError("count must be >= 1")
+    if count > GROUP_LIMIT and not df.isStreaming:
+        df = prune(df, quality_gate(df, lang=lang), count, sort_value(sort_mode), "seq", by)
     order = sort_keys(sort_mode)
     part = F.pmod(F.xxhash64("seq"), F.lit(SALTS))
     first = Window.partitionBy(*by, "__part").orderBy(*order)
@@ -160,6 +173,34 @@ def stage_counts(reviews: DataFrame, as_of, window_weeks: int = DEFAULT_WINDOW_W
         F.count_if(F.col("__w") > 0).alias("deduplicated"))
 
 
+def observed_clean(reviews: DataFrame, as_of, products: tuple[str, ...], window_weeks: int = DEFAULT_WINDOW_WEEKS,
+                   lang: str = "lang") -> tuple[DataFrame, list[Observation]]:
+    """E16 without a pass of its own: the clean chain, counting rows of ``products`` while its sink runs.
+
+    Read the observations by ``observed_counts`` after the first action on the
+    result. The caller names the products, so the counts are of bounded number.
+    A streaming query shows the same names in its progress. Counts are taken
+    where rows pass, so run one action only.
+    """
+    gate, dedup = (Observation(), Observation())
+    per = lambda stage, flag: [F.count_if((F.col("product") == p) & flag).alias(f"{stage}:{p}") for p in products]
+    flags = reviews.withColumn("__acc", reject_reason("text", lang).isNull())
+    flags = flags.withColumn("__win", F.col("__acc") & in_window(as_of, window_weeks)).observe(
+        gate, *per("landed", F.lit(True)), *per("accepted", F.col("__acc")), *per("in_window", F.col("__win")))
+    kept = dedup_keep_first(flags.filter("__win").drop("__acc", "__win")).observe(dedup, *per("deduplicated", F.lit(True)))
+    return redact_reviews(kept), [gate, dedup]
+
+
+def observed_counts(observations: list[Observation]) -> list[dict]:
+    """``stage_counts`` as dicts, one for each product that had a row."""
+    rows: dict[str, dict] = {}
+    for observation in observations:
+        for name, n in observation.get.items():
+            stage, product = name.split(":", 1)
+            rows.setdefault(product, {"product": product})[stage] = n
+    return [r for r in rows.values() if r["landed"]]
+
+
 def reject_counts(reviews: DataFrame, lang: str = "lang", by: tuple[str, ...] = ("product",)) -> DataFrame:
     """B5 + E16: rows per first failing test ('accepted' when none fails)."""
     return (reviews.withColumn("reason", F.coalesce(reject_reason("text", lang), F.lit("accepted")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,25 +24,57 @@ def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_RECORD).json(path)
 
 
+def array_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, value): the objects of JSON arrays as JSON text, numbered by position in their file.
+
+    Files are read in splits, at every ``}``. An object begins where ``,``,
+    ``{`` and a quoted name follow a ``}``: inside a string that quote would
+    end the string, and no name could follow it. Names must be letters,
+    digits and ``_``. Objects may hold objects, but no array of objects.
+    Numbers come from counts per split, so no task sees a whole file; an
+    object that crosses splits is put together again. A file that does not
+    begin as an array of objects has none.
+    """
+    parts = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    split = Window.partitionBy("file", "block").orderBy("at")
+    first = (F.col("block") == 0) & (F.row_number().over(split) == 1) & F.col("value").rlike(r"^\s*\[\s*\{")
+    opens = first | F.col("value").rlike(r'^\s*,\s*\{\s*"[A-Za-z_][A-Za-z0-9_]*"\s*:')
+    marked = parts.withColumn("opens", opens.cast("long")).withColumn("nth", F.sum("opens").over(split))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("file", "block").agg(F.sum("opens").alias("n"))  # a row per split
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn(
+        "total", F.sum("n").over(Window.partitionBy("file")))
+    numbered = marked.join(counts, ["file", "block"]).withColumn("seq", F.col("before") + F.col("nth") - 1)
+    whole = numbered.filter("seq >= 0").groupBy("file", "seq").agg(
+        F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("pieces"))
+    body = F.regexp_replace(F.array_join(F.col("pieces.value"), "}"), r"^\s*[\[,]\s*", "")
+    last = F.col("seq") == F.col("total") - 1
+    return whole.select("file", "seq", F.when(last, F.regexp_replace(body, r"\s*\]\s*$", "")).otherwise(
+        F.concat(body, F.lit("}"))).alias("value"))
+
+
 def read_normalized(spark: SparkSession, path: str, product: str = "default") -> DataFrame:
-    """One normalised review file (a JSON array); rating and text required,
+    """Normalised review files (JSON arrays of flat objects); rating and text required,
     thumbs_up defaults to 0, app_version to null; doc ids by position (C5).
 
-    A JSON array is read whole by one task, so this form is for snapshots of
-    one product; large landings are JSON Lines (``read_raw_records``). A
-    missing file is an error; a file that is no JSON array has no reviews.
+    Read in splits by ``array_records``. A missing file is an error; a file
+    that is no JSON array has no reviews, one that breaks off has those
+    before the break. Several files follow each other by path.
     """
-    rows = F.from_json("value", T.ArrayType(NORMALIZED_REVIEW))
-    df = (spark.read.text(path, wholetext=True).select(F.posexplode(rows).alias("seq", "r"))
-          .select(F.lit(product).alias("product"), F.col("seq").cast("long").alias("seq"), "r.*")
+    df = (array_records(spark, path).select("file", "seq", F.from_json("value", NORMALIZED_REVIEW).alias("r"))
+          .select(F.lit(product).alias("product"), "file", "seq", "r.*")
           .filter(F.col("rating").isNotNull() & F.col("text").isNotNull())
           .withColumn("thumbs_up", F.coalesce(F.col("thumbs_up"), F.lit(0))))
-    return with_doc_ids(df)
+    ends = df.groupBy("file").agg((F.max("seq") + 1).alias("__n"))  # a row per file
+    start = F.sum("__n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ends.select("file", F.coalesce(start, F.lit(0)).alias("__start"))
+    return with_doc_ids(df.join(starts, "file").withColumn("seq", F.col("seq") + F.col("__start")).drop("file", "__start"))
 
 
 def _overwrite_partitions(df: DataFrame, fmt: str, path: str, by: list[str]) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt).save(path)
 
 
 def write_if_any(df: DataFrame, write: Callable[..., None], *args, **kwargs) -> bool:

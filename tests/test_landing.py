@@ -128,3 +128,39 @@ def test_lookup_join_agrees_when_too_large_to_broadcast(spark):
         wide = lookup_join(big, small, ["k"], how)
         salted = lookup_join(big, small, ["k"], how, max_bytes=0, salt_cols=["id"])
         assert _rows(salted, sorted(wide.columns)) == _rows(wide, sorted(wide.columns)), how
+
+
+def _odd_reviews(n):
+    odd = ["a}, {\"rating\": 9, \"text\": \"b", "}", "[{", "]", "x}]", "back\\slash\\", "quote\" } , { \"k\" : 1", "line\nbreak", "", "ü🙂}"]
+    return [{"rating": i % 5 + 1, "text": f"{i} {odd[i % len(odd)]}", "thumbs_up": i, "app_version": odd[i * 7 % len(odd)]} for i in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("split", [64, 997, 1 << 20])
+def test_array_is_read_in_splits(spark, tmp_path, indent, split):
+    rows = _odd_reviews(300)
+    (tmp_path / "one.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=False))
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set(key, split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        tasks = spark.read.option("lineSep", "}").text(str(tmp_path)).select(F.spark_partition_id()).distinct().count()
+        got = landing.read_normalized(spark, str(tmp_path), "app").orderBy("seq").collect()
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert tasks > (10 if split < 1000 else 0)
+    assert [(r.rating, r.text, r.thumbs_up, r.app_version) for r in got] == [tuple(r.values()) for r in rows]
+    assert [r.doc_id for r in got] == [f"doc_{i}" for i in range(300)]
+
+
+def test_several_arrays_and_files_that_are_none(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps(_odd_reviews(5), indent=i))
+    (tmp_path / "3.json").write_text('{"rating": 5, "text": "no array"}')
+    (tmp_path / "4.json").write_text("")
+    (tmp_path / "5.json").write_text('[{"rating": 4, "text": "whole"}, {"rating": 3, "te')
+    got = landing.read_normalized(spark, str(tmp_path), "app").orderBy("seq").collect()
+    assert [r.text for r in got] == [r["text"] for r in _odd_reviews(5)] * 3 + ["whole"]
+    assert len({r.doc_id for r in got}) == 16
