@@ -1281,3 +1281,6 @@ def q_review_pipeline(spark, sf_dir):
         "product", F.col("rank").cast("long").alias("rank"), "cluster_id", "size", "avg_rating",
         F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"),
         F.transform("representatives", lambda r: r["doc_id"]).alias("representatives"))
+
+
+from reviewlens.plans import catalog_io  # noqa: E402,F401 (registers its queries)

@@ -11,7 +11,9 @@ from tools.oracle_check import rows_of
 SAMPLE = ["weekly_summary", "ingest_stage_counts", "redact_reviews", "anonymised_reviews",
           "cluster_representatives", "quote_validation", "token_budget", "explore_feed",
           "theme_tags", "report_text", "delivery_outbox", "cluster_themes", "ingest_quality_capped",
-          "response_rows", "quote_cards", "receipts_upsert", "density_components", "dashboard_payload", "embed_text", "weekly_stream"]
+          "response_rows", "quote_cards", "receipts_upsert", "density_components", "dashboard_payload", "embed_text", "weekly_stream",
+          "landing_scan", "tool_responses", "review_sink", "guarded_sink", "theme_defaults", "cluster_build",
+          "theme_tags_by_table", "ingest_observed_counts", "explore_search_indexed"]
 
 
 @pytest.fixture(scope="module")
