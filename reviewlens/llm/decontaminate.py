@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import BLOCK_BYTES, checkpointed, row_key, small_side
@@ -25,6 +25,7 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 MIN_SCORE = 0.5
 MIN_MATCHED = 8
 MEMO = 200_000
+RARE = 16
 _WORD = re.compile(r"[^\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd constant that spreads bits
 
@@ -98,16 +99,18 @@ def seed_filter(items: DataFrame) -> bytes:
 
 
 def passages(docs: DataFrame, items: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, passage, words, hits): stretches of whole texts around n-grams that may be seeds.
+    """(doc_id, passage, words, seeds): stretches of whole texts around n-grams that may be seeds.
 
     Every n-gram is looked up in the seed bitmap. Hits at most ``2 reach``
-    words apart share a passage, which extends ``reach`` words to both sides.
-    ``hits`` has each hit's word position and n-gram, ``passage`` is a hash of
-    the words. Nothing else of a text leaves the scan.
+    words apart share a passage, which extends ``reach`` words to both sides;
+    where hits follow each other for longer, the next passage begins after
+    ``2 reach`` words, so none is longer than ``4 reach`` and a seed, and every
+    hit has its reach on both sides in one of them. ``seeds`` are the hits
+    within the passage, ``passage`` is a hash of the words. Nothing else of a
+    text leaves the scan.
     """
     sent = docs.sparkSession.sparkContext.broadcast(seed_filter(items))
-    arrow = pa.schema([("passage", pa.int64()), ("words", pa.string()),
-                       ("hits", pa.list_(pa.struct([("at", pa.int32()), ("seed", pa.int64())])))])
+    arrow = pa.schema([("passage", pa.int64()), ("words", pa.string()), ("seeds", pa.list_(pa.int64()))])
 
     def hits_in(text: str, known: np.ndarray, memo: dict) -> tuple[np.ndarray, np.ndarray]:
         places, seeds, base, tail = [], [], 0, np.zeros(0, np.uint64)
@@ -127,8 +130,10 @@ def passages(docs: DataFrame, items: DataFrame, reach: int) -> DataFrame:
         if not len(at):
             return
         groups = np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1)
+        groups = [g for whole in groups for g in np.split(whole, np.flatnonzero(np.diff((at[whole] - at[whole[0]]) // (2 * reach))) + 1)]
         low = [max(0, int(at[g[0]]) - reach) for g in groups]
         high = [int(at[g[-1]]) + SEED_WORDS + reach for g in groups]
+        within = [(np.searchsorted(at, low[k]), np.searchsorted(at, high[k] - SEED_WORDS, "right")) for k in range(len(groups))]
         kept, base, first = [[] for _ in groups], 0, 0
         for block in _blocks(text):
             while first < len(groups) and high[first] <= base:
@@ -138,10 +143,10 @@ def passages(docs: DataFrame, items: DataFrame, reach: int) -> DataFrame:
                 kept[k] += block[max(0, low[k] - base):high[k] - base]
                 k += 1
             base += len(block)
-        for k, g in enumerate(groups):
+        for k, (start, end) in enumerate(within):
             joined = " ".join(kept[k])
             yield {"passage": xxhash.xxh64_intdigest(joined.encode()) - (1 << 63), "words": joined,
-                   "hits": [{"at": int(at[i]) - low[k], "seed": int(seeds[i])} for i in g]}
+                   "seeds": np.unique(seeds[start:end]).tolist()}
 
     def run(batches):
         known, memo = np.frombuffer(sent.value, np.uint8), _WordHashes()
@@ -157,7 +162,7 @@ def passages(docs: DataFrame, items: DataFrame, reach: int) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, passage long, words string, hits array<struct<at: int, seed: long>>")
+        run, f"doc_id {id_type}, passage long, words string, seeds array<long>")
 
 
 def align(item: list[str], text: list[str]) -> tuple[int, int, int, int]:
@@ -212,26 +217,80 @@ def _aligned(pairs: DataFrame, min_score: float) -> DataFrame:
         run, "passage long, item_id long, score double, matched int, item_words int")
 
 
+def needed(words: Column, min_score: float) -> Column:
+    """How many of an item's words a passage must hold to be aligned."""
+    return F.ceil(F.greatest(F.lit(min_score) * F.size(words), F.least(F.lit(MIN_MATCHED), F.size(words))))
+
+
+def _prefixes(items: DataFrame, seeds: DataFrame, min_score: float) -> DataFrame:
+    """(item_id, segment, seed, word) of items with frequent ``seeds``: the rarest words, one of which a passage must hold.
+
+    Of an item's n words a passage must hold m, so it holds one of any
+    n - m + 1 of them. Words are ranked by the number of items that hold them.
+    """
+    hot = items.join(seeds.select("item_id", "segment").distinct(), ["item_id", "segment"])
+    placed = hot.select("item_id", "segment", needed(F.col("words"), min_score).alias("m"), F.size("words").alias("n"),
+                        F.explode("words").alias("word"))
+    spread = items.select("item_id", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("items"))
+    ranked = placed.join(spread, "word").groupBy("item_id", "segment").agg(  # an item's words, of bounded number
+        F.max("m").alias("m"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("items", "word"))).alias("words"))
+    first = ranked.select("item_id", "segment", F.explode(F.array_distinct(F.slice(
+        "words", F.lit(1), (F.col("n") - F.col("m") + 1).cast("int")))["word"]).alias("word"))
+    return seeds.join(first, ["item_id", "segment"])
+
+
+def candidates(texts: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """(passage, item_id, segment): pairs that share an n-gram and may share enough words; no texts are carried.
+
+    An n-gram is rare if at most ``RARE`` distinct passages, or at most
+    ``RARE`` items, hold it: it gives at most ``RARE`` pairs for each of its
+    rows on the other side, and pairs them at once. A frequent n-gram pairs a
+    passage with an item only if they also share one of the item's rarest
+    words, as many of them as no pair with enough common words can avoid. So
+    passages and items that share nothing but a common phrase never meet, and
+    no pair is lost.
+    """
+    seeds = checkpointed(items.select("item_id", "segment", F.explode("seeds").alias("s")).select(
+        "item_id", "segment", "s.seed").distinct())
+    hits = texts.select("passage", F.explode("seeds").alias("seed"))
+    held = hits.groupBy("seed").agg(F.count("*").alias("passages"))
+    wanted = seeds.groupBy("seed").agg(F.count("*").alias("items"))
+    both = checkpointed(held.join(wanted, "seed").withColumn("rare", (F.col("passages") <= RARE) | (F.col("items") <= RARE)))
+    rare, frequent = both.filter("rare").select("seed"), both.filter("not rare").select("seed")
+    by_seed = hits.join(seeds.join(rare, "seed"), "seed").select("passage", "item_id", "segment")
+    keys = checkpointed(_prefixes(items, seeds.join(frequent, "seed"), min_score))
+    if keys.isEmpty():
+        return by_seed.distinct()
+    # A passage's frequent seeds and its words that are in some prefix meet in their own row first.
+    words = keys.select("word").distinct()
+    crowded = texts.select("passage", "words", F.explode("seeds").alias("seed")).join(
+        small_side(checkpointed(frequent)), "seed").groupBy("passage").agg(
+        F.first("words").alias("words"), F.collect_list("seed").alias("seeds"))
+    held_words = crowded.select("passage", "seeds", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).join(
+        small_side(checkpointed(words)), "word", "left_semi")
+    by_word = held_words.select("passage", "word", F.explode("seeds").alias("seed")).join(keys, ["seed", "word"]).select(
+        "passage", "item_id", "segment")
+    return by_seed.unionByName(by_word).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, item_id, score, matched): documents that hold a copy, edited or not, of an item.
 
-    A passage is aligned with every item it shares an n-gram with, however
-    frequent the n-gram and however many documents hold the passage, unless
-    too few of the item's words are in it. ``score`` is the alignment's share of the item's full score, the
+    A passage is aligned with every item it shares an n-gram with, unless too
+    few of the item's words are in it; ``candidates`` finds these pairs by rare
+    n-grams first. ``score`` is the alignment's share of the item's full score, the
     best over its segments and passages; pairs count from ``min_score`` and
     from ``MIN_MATCHED`` matched words, or all of a shorter item. Each distinct
     passage is aligned once, whoever holds it. Null and empty texts, and items
     of fewer than ``SEED_WORDS`` words, match nothing; repeated rows give one
-    row. Rows without doc_id are one document.
+    row. Rows without doc_id are one document. Very long texts become many
+    passages of bounded length.
     """
     items = checkpointed(items_of(benchmark))
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    found = checkpointed(passages(docs, items, longest + longest // 4))
-    seeds = items.select("item_id", "segment", F.explode("seeds").alias("s")).select("item_id", "segment", "s.seed").distinct()
-    texts = found.groupBy("passage").agg(F.first("words").alias("words"), F.first("hits").alias("hits"))
-    hits = texts.select("passage", F.explode(F.array_distinct(F.col("hits.seed"))).alias("seed"))
-    chosen = hits.join(seeds, "seed").select("passage", "item_id", "segment").distinct()
-    pairs = (chosen.join(texts.select("passage", "words"), "passage")
+    found = checkpointed(passages(docs, items, max(1, longest + longest // 4)))
+    texts = found.groupBy("passage").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds"))
+    pairs = (candidates(texts, items, min_score).join(texts.select("passage", "words"), "passage")
              .join(items.select("item_id", "segment", F.col("words").alias("item")), ["item_id", "segment"]))
     good = _aligned(pairs, min_score).filter((F.col("score") >= min_score)
                                   & (F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("item_words"))))

@@ -109,3 +109,66 @@ def test_odd_rows(spark, odd_docs, no_docs, benchmark):
     assert {(r.doc_id, r.item_id) for r in D.contaminated(odd_docs, copy).collect()} == {(1, 5), (1, 6)}
     left = D.remove_contaminated(odd_docs, copy)
     assert left.columns == odd_docs.columns and left.count() == 7
+
+
+def _pairs(spark, rows, bench, reach=40):
+    items = D.items_of(bench).cache()
+    found = D.passages(spark.createDataFrame(rows, "doc_id long, text string"), items, reach)
+    return items, found.select("passage", "words", "seeds").dropDuplicates(["passage"]).cache()
+
+
+def test_a_common_phrase_alone_pairs_nothing(spark):
+    rows = [(k, f"a{k} b{k} c{k} d{k} one of the e{k} f{k} g{k} h{k} i{k}") for k in range(300)]
+    bench = spark.createDataFrame([(k, f"q{k} r{k} s{k} t{k} one of the u{k} v{k} w{k} x{k} y{k}") for k in range(300)],
+                                  "item_id long, text string")
+    items, texts = _pairs(spark, rows, bench)
+    assert texts.count() == 300 and D.candidates(texts, items).count() < 1000
+
+
+def test_candidates_lose_no_pair_with_enough_words(spark, monkeypatch):
+    """Against all pairs: whoever shares an n-gram and enough words is a candidate, by rare and by frequent n-grams."""
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.expovariate(0.12))}"
+    rows = [(k, " ".join(word() for _ in range(rng.randint(1, 40)))) for k in range(150)]
+    bench = spark.createDataFrame([(k, " ".join(word() for _ in range(rng.randint(3, 14)))) for k in range(60)], "item_id long, text string")
+    for rare in (0, 3, 16):
+        monkeypatch.setattr(D, "RARE", rare)
+        items, texts = _pairs(spark, rows, bench)
+        want = {(t.passage, i.item_id) for t in texts.collect() for i in items.collect()
+                if {s.seed for s in i.seeds} & set(t.seeds)
+                and sum(w in set(t.words.split(" ")) for w in i.words) >= max(0.5 * len(i.words), min(8, len(i.words)))}
+        got = {(r.passage, r.item_id) for r in D.candidates(texts, items).collect()}
+        assert len(want) > 20 and want <= got
+
+
+def test_edited_copies_against_all_pairs(spark):
+    """Recall of edited copies that a full alignment of every pair reports; exact copies are all found."""
+    rng = random.Random(2)
+    items = {k: [f"v{rng.randint(0, 400)}" for _ in range(rng.randint(8, 30))] for k in range(40)}
+    rows = []
+    for doc in range(200):
+        copy = [w for w in items[doc % 40] if rng.random() > 0.1 * (doc % 4)]
+        copy = [w if rng.random() > 0.08 * (doc % 4) else f"v{rng.randint(0, 400)}" for w in copy]
+        pad = lambda: [f"v{rng.randint(0, 400)}" for _ in range(10)]
+        rows.append((doc, pad() + copy + pad()))
+    want = set()
+    for doc, words in rows:
+        for k, item in items.items():
+            if sum(map(set(words).__contains__, item)) * 2 >= len(item):
+                score, matched, _, _ = D.align(item, words)
+                if score >= D.MIN_SCORE * D.MATCH * len(item) and matched >= min(D.MIN_MATCHED, len(item)):
+                    want.add((doc, k))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and {(d, d % 40) for d in range(0, 200, 4)} <= got
+
+
+def test_very_long_dense_text_becomes_bounded_passages(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "in the end of")], "item_id long, text string")
+    text = "in the end of x " * 20_000 + "alpha beta gamma delta epsilon zeta eta theta " + "in the end of y " * 20_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    reach = 10
+    items = D.items_of(bench).cache()
+    assert max(len(r.words.split(" ")) for r in D.passages(docs, items, reach).collect()) <= 4 * reach + D.SEED_WORDS
+    assert {r.item_id: r.score for r in D.contaminated(docs, bench).collect()} == {1: 1.0, 2: 1.0}
