@@ -7,7 +7,10 @@ ORACLE_SQL = {
                 trim(regexp_replace(coalesce(role, 'unknown'), '[\\s<>|]+', ' ', 'g')) AS speaker,
                 replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body
             FROM conversations),
-        p AS (SELECT DISTINCT conv_id, part, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        sp AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        p AS (
+            SELECT DISTINCT t.conv_id, t.part, sp.perspective
+            FROM t JOIN sp ON t.conv_id IS NOT DISTINCT FROM sp.conv_id),
         m AS (
             SELECT p.conv_id, p.part, p.perspective, t.turn, t.body, t.speaker = p.perspective AS trained,
                 '<|im_start|>' || CASE WHEN t.speaker = 'system' THEN 'system'
@@ -28,12 +31,8 @@ ORACLE_SQL = {
                 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS l FROM documents),
         t AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM l),
         tot AS (SELECT count(*) AS tokens FROM t),
-        u AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-        v AS (
-            SELECT t.doc_id, t.i, CASE WHEN u.n * 1048576 >= tot.tokens THEN t.w ELSE ' ' END AS w
-            FROM t JOIN u USING (w), tot),
-        uv AS (SELECT w, count(*) AS n FROM v GROUP BY w),
-        b AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM v),
+        uv AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+        b AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM t),
         own AS (SELECT doc_id, p, w, count(*) AS c FROM b WHERE p IS NOT NULL GROUP BY doc_id, p, w),
         n12 AS (SELECT p, w, sum(c) AS n FROM own GROUP BY p, w),
         s AS (
