@@ -58,6 +58,13 @@ ACCEPTED_LANGUAGE = "en"
 
 # --- ingest -----------------------------------------------------------------
 FULL_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].+)?$"  # a time without its full date is not parsed
+# ISO times without separators, and how they read with them.
+BASIC_TIMES = (
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})[T ]([0-9]{2})([0-9]{2})(Z|[+-][0-9]{2}:?[0-9]{2})?$", "$1-$2-$3T$4:$5:00$6"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})[T ]([0-9]{2})([0-9]{2})([0-9]{2})([.][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$",
+     "$1-$2-$3T$4:$5:$6$7$8"),
+)
 DEFAULT_WINDOW_WEEKS = 12
 DEFAULT_MAX_REVIEWS = 2000
 SORT_MODES = ("newest", "rating", "most_relevant")  # unknown -> newest

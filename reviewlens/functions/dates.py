@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewlens.fixed_values import FULL_DATE_PATTERN
+from reviewlens.fixed_values import BASIC_TIMES, FULL_DATE_PATTERN
 
 
 def _c(col) -> Column:
@@ -13,9 +13,12 @@ def _c(col) -> Column:
 
 
 def parse_time(col) -> Column:
-    """Timestamp of an ISO text that has its full date; null for anything else."""
+    """Timestamp of an ISO text that has its full date, with or without separators; null for anything else."""
     c = _c(col)
-    return F.when(c.rlike(FULL_DATE_PATTERN), F.try_to_timestamp(c))
+    out = F.when(c.rlike(FULL_DATE_PATTERN), F.try_to_timestamp(c))
+    for pattern, extended in BASIC_TIMES:
+        out = out.when(c.rlike(pattern), F.try_to_timestamp(F.regexp_replace(c, pattern, extended)))
+    return out
 
 
 def iso_week_label(col) -> Column:

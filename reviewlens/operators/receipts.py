@@ -112,6 +112,23 @@ def status_all(current: DataFrame) -> DataFrame:
     return current.select("idempotency_key", "doc_status", "gmail_status").orderBy("idempotency_key")
 
 
+def status_report(versions: DataFrame) -> DataFrame:
+    """J6 in full: the newest version of every key; one that can't be read is listed as such, without statuses.
+
+    Versions whose key can't be read either are one row with a null key.
+    """
+    best = versions.groupBy("idempotency_key").agg(
+        F.max_by(F.struct("run_timestamp", "doc_status", "gmail_status"), F.col("version")).alias("r"))
+    readable = F.col("idempotency_key").isNotNull() & F.col("r.run_timestamp").isNotNull()
+    return best.select("idempotency_key", readable.alias("readable"), F.when(readable, F.col("r.doc_status")).alias("doc_status"),
+                       F.when(readable, F.col("r.gmail_status")).alias("gmail_status")).orderBy("idempotency_key")
+
+
+def append_versions(rows: DataFrame, path: str) -> None:
+    """J2 sink: versions are added as Parquet files, never rewritten; ``latest`` over the folder is the store."""
+    rows.write.mode("append").parquet(path)
+
+
 def status_of(current: DataFrame, key: str) -> DataFrame:
     """The receipt of one key (empty when none)."""
     return current.filter(F.col("idempotency_key") == key)

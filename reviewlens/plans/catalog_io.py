@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from reviewlens import fixed_values as V
 from reviewlens.functions.dates import iso_week_label, parse_time
-from reviewlens.operators import clusters, explore, ingest, render, rules, search_index
+from reviewlens.operators import clusters, explore, ingest, receipts, render, rules, search_index
 from reviewlens.plans import sqlparts as S
 from reviewlens.plans.catalog import (AS_OF, CARD_COLS, ORACLE_SQL, QUERIES, RUN_WEEK, WINDOW_WEEKS, _page_sql, _with,
-                                      _with_clusters, clean, members, register)
+                                      OUTCOME_CTES, _with_clusters, _with_receipts, clean, delivery_attempts, members,
+                                      receipt_versions, register)
 from reviewlens.plans.review_view import review_view
 from reviewlens.sources import landing
 from reviewlens.sources.shared import shared_folder
@@ -148,6 +149,33 @@ def q_ingest_observed_counts(spark, sf_dir):
     return spark.createDataFrame(rows, "product string, landed long, accepted long, in_window long, deduplicated long")
 
 
+@register("receipt_report", _with_receipts("""
+SELECT idempotency_key, run_timestamp IS NOT NULL AS readable, CASE WHEN run_timestamp IS NOT NULL THEN doc_status END AS doc_status,
+       CASE WHEN run_timestamp IS NOT NULL THEN gmail_status END AS gmail_status
+FROM current
+"""))
+def q_receipt_report(spark, sf_dir):
+    """Status of every key, unreadable receipts among them."""
+    return receipts.status_report(receipt_versions(spark, sf_dir))
+
+
+@register("receipts_store", _with_receipts(OUTCOME_CTES.replace("\n, todo", ", todo", 1) + """
+SELECT c.idempotency_key, CAST(c.version + CASE WHEN o.idempotency_key IS NULL THEN 0 ELSE 1 END AS BIGINT) AS version,
+       coalesce(o.doc_status, c.doc_status) AS doc_status, coalesce(o.gmail_status, c.gmail_status) AS gmail_status
+FROM current_ok c LEFT JOIN outcome o USING (idempotency_key)
+"""))
+def q_receipts_store(spark, sf_dir):
+    """J1 + J2: versions in a store of files; delivered receipts are appended and read back as the newest."""
+    path, versions = _folder(spark, "receipts"), receipt_versions(spark, sf_dir)
+    receipts.append_versions(versions, path)
+    stored = spark.read.schema(versions.schema).parquet(path)
+    cur = receipts.latest(stored)
+    new = receipts.upsert(stored, receipts.record_outcome(cur, delivery_attempts(cur)))
+    receipts.append_versions(new.select(versions.columns), path)
+    return receipts.latest(spark.read.schema(versions.schema).parquet(path)).select(
+        "idempotency_key", "version", "doc_status", "gmail_status")
+
+
 # ------------------------------------------------ themes, clusters, rules ----
 
 @register("theme_defaults", _with(f"""

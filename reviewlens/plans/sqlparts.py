@@ -6,7 +6,7 @@ two engines evaluate identical patterns and parameters.
 
 from __future__ import annotations
 
-from reviewlens.fixed_values import (EMOJI_CLASS, FULL_DATE_PATTERN, MIN_WORDS, PII_PATTERNS,
+from reviewlens.fixed_values import (BASIC_TIMES, EMOJI_CLASS, FULL_DATE_PATTERN, MIN_WORDS, PII_PATTERNS,
                                      REDACTION_MARKER, WORD_PATTERN)
 from reviewlens.plans.review_view import REVIEW_VIEW_SQL
 
@@ -40,7 +40,9 @@ def redact(col: str) -> tuple[str, str]:
 
 
 def ts(col: str = "timestamp") -> str:
-    return f"(CASE WHEN regexp_matches({col}, {q(FULL_DATE_PATTERN)}) THEN TRY_CAST({col} AS TIMESTAMP) END)"
+    basic = "".join(f" WHEN regexp_matches({col}, {q(p)}) THEN TRY_CAST(regexp_replace({col}, {q(p)}, "
+                    f"{q(extended.replace('$', chr(92)))}) AS TIMESTAMP)" for p, extended in BASIC_TIMES)
+    return f"(CASE WHEN regexp_matches({col}, {q(FULL_DATE_PATTERN)}) THEN TRY_CAST({col} AS TIMESTAMP){basic} END)"
 
 
 def iso_week(expr: str) -> str:

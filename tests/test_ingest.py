@@ -158,3 +158,12 @@ def test_min_words_equals_count_property(spark):
     rows = df.select(word_count("t").alias("n"), has_min_words("t", 8).alias("ok")).collect()
     assert all((r.n >= 8) == r.ok for r in rows)
     assert any(r.ok for r in rows) and any(not r.ok for r in rows)
+
+
+def test_times_without_separators(spark):
+    from reviewlens.functions.dates import parse_time
+    given = {"20260609T091234": "2026-06-09 09:12:34", "20260609": "2026-06-09 00:00:00", "20260609T0912": "2026-06-09 09:12:00",
+             "20260609T091234.5Z": "2026-06-09 09:12:34.5", "20260609 091234+02:00": "2026-06-09 07:12:34",
+             "2026-06-09T09:12:34": "2026-06-09 09:12:34", "20261309": None, "2026060": None, "202606091": None, "T091234": None}
+    rows = spark.createDataFrame([(k,) for k in given], "t string").select("t", parse_time("t").cast("string").alias("got"))
+    assert {r.t: r.got for r in rows.collect()} == given
