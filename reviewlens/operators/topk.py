@@ -16,6 +16,7 @@ from reviewlens.sources.shared import checkpointed
 
 LEVELS = 20          # thresholds a group: the upper half, quarter, ... of its rows
 ACCURACY = 100_000   # of the approximate quantiles
+WORTH = 8            # groups of at most so many times k rows are left as they are
 SMALL = 100_000      # groups whose thresholds go to every task
 
 
@@ -56,6 +57,11 @@ def prune(df: DataFrame, eligible: DataFrame, k: int, value: Column, tie: str, b
     """
     low = F.coalesce(value, F.lit(float("-inf")))
     rows = checkpointed(eligible.select(*by, low.alias("value"), (-F.col(tie)).cast("double").alias("back")))
+    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if not largest:
+        return df.limit(0)
+    if largest <= WORTH * k:
+        return df  # ranking them as they are costs less
     first = checkpointed(_cuts(rows, "value", F.lit(k).cast("long"), by))
     ties = _meet(rows, first.filter("cut is not null").select(*by, "cut", "rest"), by).filter("value = cut")
     second = _cuts(ties, "back", F.col("rest"), by).select(*by, F.col("cut").alias("back_cut"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import display
-from reviewlens.operators import explore, ingest, rules, search_index
+from reviewlens.operators import explore, ingest, rules, search_index, topk
 from reviewlens.operators.topk import prune
 
 REVIEWS = "product string, seq long, author string, rating int, text string"
@@ -41,7 +41,9 @@ def test_prune_small_groups_and_empty_table(spark):
     assert prune(rows.limit(0), rows.limit(0), 700, F.col("score"), "seq", ("product",)).count() == 0
 
 
-def test_bounded_scan_above_the_group_limit(spark):
+@pytest.mark.parametrize("worth", [0, 8])
+def test_bounded_scan_above_the_group_limit(spark, monkeypatch, worth):
+    monkeypatch.setattr(topk, "WORTH", worth)
     rows = spark.range(9_000).select(
         F.lit("p").alias("product"), F.col("id").alias("seq"), (F.col("id") % 3).cast("int").alias("rating"),
         F.lit("enough plain words are in this text for it to pass the gate easily").alias("text"), F.lit("en").alias("lang"),
