@@ -21,11 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.sources.shared import checkpointed
+from reviewlens.sources.tables import spread
 
 BUCKET = 24  # nodes of a random bucket of the start
 STARTS = 2  # random buckets that each node is in
 SETTLED = 0.005  # share of new links at which the descent ends
 DIGITS = 9
+MOST_QUERIES = 100_000  # brute-force queries that are sent to every task
+POINTS, QUERIES = 4096, 256  # points and queries that are compared in one matrix
 
 
 def unit_vector(vec: Column, dims: int) -> Column:
@@ -151,15 +154,75 @@ def knn_graph(points: DataFrame, k: int = 5, dims: int = 64, key: str = "vec_id"
             .select(F.col("key").alias(key), (F.col("pos") + 1).cast("long").alias("rank"), "x.neighbour", "x.distance"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, distance: Column) -> DataFrame:
+def _distance(q: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, squares: bool) -> np.ndarray:
+    """Distances of the pairs (q[i], p[j]), added up in the order of the coordinates."""
+    total = np.zeros(len(i))
+    for a, b in zip(q.T, p.T):
+        total += (b[j] - a[i]) ** 2 if squares else b[j] * a[i]
+    return total if squares else np.round(1.0 - total, DIGITS)
+
+
+def _nearer(best: tuple[np.ndarray, np.ndarray], asked: np.ndarray, q: np.ndarray, keys: np.ndarray, p: np.ndarray,
+            squares: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``best`` (distances, keys) of each query in ``q``, ascending by both, with the points ``p`` taken in.
+
+    A matrix product leaves the pairs that can be among the best, with room for
+    its rounding; these are measured one by one.
+    """
+    far, near = best
+    k = far.shape[1]
+    rough = q @ p.T
+    if squares:
+        a, b = (q * q).sum(axis=1), (p * p).sum(axis=1)
+        rough = a[:, None] + b[None] - 2 * rough
+        room = 1e-12 * (a + b.max())
+    else:
+        rough, room = 1.0 - rough, np.full(len(q), 4 * 10.0 ** -DIGITS)
+    rough[asked[:, None] == keys[None]] = np.inf
+    bar = far[:, -1] if rough.shape[1] < k else np.minimum(far[:, -1], np.partition(rough, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero((rough <= (bar + room)[:, None]) & (rough < np.inf))
+    row = np.concatenate([np.repeat(np.arange(len(q)), k), i])
+    d = np.concatenate([far.ravel(), _distance(q, p, i, j, squares)])
+    key = np.concatenate([near.ravel(), keys[j]])
+    order = np.lexsort((key, d, row))
+    row = row[order]
+    start = np.searchsorted(row, np.arange(len(q)))
+    first = order[start[:, None] + np.arange(k)]  # every row has at least its k places of before
+    return d[first], key[first]
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, squares: bool = False) -> DataFrame:
     """(query, near): the ``k`` nearest keys of a stated, small query set, by brute force over all ``points``.
 
-    ``queries`` (query, q) is counted and sent to every task; ``distance`` is
-    an expression of ``q`` and ``p``. Each task keeps ``k`` rows of a query.
+    ``queries`` (query, q) are counted and sent to every task, which holds
+    ``k`` keys of each while it goes through its ``points`` (key, p). Distances
+    are cosine distances of unit vectors, rounded, or ``squares`` of Euclidean
+    distances; ties go by key. Keys are longs.
     """
-    if queries.count() > 10_000:
-        raise ValueError("state 10,000 queries at most")
-    pairs = points.join(F.broadcast(queries), F.col("query") != F.col("key")).select("query", "key", distance.alias("d"))
+    if queries.count() > MOST_QUERIES:
+        raise ValueError(f"state {MOST_QUERIES} queries at most")
+    table = queries.select(F.col("query").cast("long"), F.col("q").cast("array<double>")).toArrow().combine_chunks()
+    asked = table.column("query").to_numpy()
+    q = np.array(table.column("q").to_pylist(), np.float64).reshape(len(asked), -1 if len(asked) else 0)
+    sent = queries.sparkSession.sparkContext.broadcast((asked, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q = sent.value
+        far, near = np.full((len(asked), k), np.inf), np.zeros((len(asked), k), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(asked) else 0, POINTS):
+                batch = whole.slice(at, POINTS)
+                keys = batch.column("key").to_numpy()
+                p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), q.shape[1])
+                for x in range(0, len(asked), QUERIES):
+                    part = slice(x, x + QUERIES)
+                    far[part], near[part] = _nearer((far[part], near[part]), asked[part], q[part], keys, p, squares)
+        held = far < np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, k)[held.ravel()]), pa.array(near[held]), pa.array(far[held])],
+                                         names=["query", "key", "d"])
+
+    pairs = spread(points.select(F.col("key").cast("long"), F.col("p").cast("array<double>")).dropna()).mapInArrow(
+        run, "query long, key long, d double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "key"))
     return (pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
             .groupBy("query").agg(F.array_sort(F.collect_list("key")).alias("near")))

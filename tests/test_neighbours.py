@@ -70,6 +70,37 @@ def test_hub_is_thinned_not_dropped(spark):
     assert np.mean([len(got[i] & set(e.tolist())) / 4 for i, e in enumerate(exact)]) >= 0.95
 
 
+@pytest.mark.parametrize("squares", [False, True])
+def test_brute_force_is_exact_with_copies_ties_and_repeated_keys(spark, monkeypatch, squares):
+    monkeypatch.setattr(neighbours, "POINTS", 7), monkeypatch.setattr(neighbours, "QUERIES", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4))
+    x[20:50] = x[20]  # copies: ties go by key
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist()), (10, x[10].tolist())]
+    points = spark.createDataFrame(rows, "key long, p array<double>").repartition(3)
+    asked = [r for r in rows if r[0] % 10 == 0]
+    got = {r["query"]: r["near"] for r in neighbours.nearest(
+        spark.createDataFrame(asked, "query long, q array<double>"), points, 4, squares).collect()}
+    exact = {}
+    for query, q in asked:
+        for key, p in rows:
+            if key != query:
+                d = sum((a - b) ** 2 for a, b in zip(p, q)) if squares else round(1 - sum(a * b for a, b in zip(p, q)), 9)
+                exact.setdefault(query, []).append((d, key))
+    assert got == {query: sorted(key for _, key in sorted(pairs)[:4]) for query, pairs in exact.items()}
+
+
+def test_brute_force_makes_no_row_for_a_pair(spark):
+    points = spark.range(3000).select(F.col("id").alias("key"), F.array(F.sin("id"), F.cos("id")).alias("p"))
+    queries = points.filter("key % 100 = 0").select(F.col("key").alias("query"), F.col("p").alias("q"))
+    found = neighbours.nearest(queries, points, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.count() == 30
+    none = points.limit(0)
+    assert neighbours.nearest(queries, none, 5).collect() == [] and neighbours.nearest(queries.limit(0), points, 5).collect() == []
+
+
 # -------------------------------------------------------------- reduction ----
 
 def test_reduction_keeps_more_neighbours_than_signs(spark):
