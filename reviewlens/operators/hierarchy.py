@@ -1,7 +1,7 @@
 """Density clusters without a distance: spanning forest, condensed tree, excess of mass.
 
 All steps are rounds of joins and aggregations over a neighbour graph, each
-ended by a table in the shared folder; no group is worked on in one task.
+ended by a table in the shared folder; no task works on more than a block.
 
 1. Links weigh the greatest of both core distances and their own length. The
    minimum spanning forest takes each component's least link, round by round.
@@ -11,15 +11,21 @@ ended by a table in the shared folder; no group is worked on in one task.
    to it, each at its own link's weight, all in one round: along such a chain
    weights fall, so whatever lies between has joined before.
 3. What is left is a tree of cluster cores, fewer than points by the cluster
-   size. It merges pairwise along mutual least links. A cluster that ends adds
-   up its stability and is chosen if that is no less than what its children
-   have. The rounds of this step are as many as clusters are nested.
+   size. Its links merge in ascending order, block by block: a block has a
+   fixed number of links, whatever the clusters' nesting, and is one task's
+   work; points find the cluster they fall out of by doubling. Then, in the
+   same blocks, a cluster that ends adds up its stability and is chosen if
+   that is no less than what its children have.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +34,7 @@ from reviewlens.sources.shared import shared_folder, stored
 
 LEAST = 1e-9  # distances below count as this
 MAX_ROUNDS = 10_000
+BLOCK = 1 << 16  # links of the tree of cores that one task merges
 
 
 def core_distances(graph: DataFrame, sizes: DataFrame, min_samples: int) -> DataFrame:
@@ -131,8 +138,117 @@ def _cores_of_clusters(forest: DataFrame, sizes: DataFrame, least: int) -> tuple
     raise RuntimeError("cores did not settle")
 
 
-def _append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def _in_order(df: DataFrame, *by: str) -> DataFrame:
+    """A block of at most about ``BLOCK`` merges as one ascending partition."""
+    return df.repartition(1).sortWithinPartitions(*by)
+
+
+def _merge_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges along ascending links (x, y, w, a, b): (c, up, end) of both sides, then (c, top) of every x and y."""
+    above, name, sides, ends = {}, {}, [], []
+
+    def find(c):
+        while above[c] != c:
+            above[c] = c = above[above[c]]
+        return c
+
+    names = None
+    for batch in batches:
+        names = batch.schema.field("x").type
+        x, y, a, b = ([tuple(v.values()) for v in batch.column(c).to_pylist()] if c in "xy" else batch.column(c).to_pylist() for c in "xyab")
+        for left, right, w, up in zip(x, y, batch.column("w").to_pylist(), zip(a, b)):
+            for c in (left, right):
+                name.setdefault(above.setdefault(c, c), c)
+            left, right = find(left), find(right)
+            if left != right:
+                sides += [(name[left], up), (name[right], up)]
+                ends += [w, w]
+                above[left] = right
+                name[right] = up
+    if names is None:
+        return
+    struct = lambda cs: pa.array([None if c is None else dict(zip("ab", c)) for c in cs], names)
+    yield pa.RecordBatch.from_arrays(
+        [struct([c for c, _ in sides] + list(above)), struct([up for _, up in sides] + [None] * len(above)),
+         pa.array(ends + [None] * len(above), pa.float64()), struct([None] * len(sides) + [name[find(c)] for c in above])],
+        names=["c", "up", "end", "top"])
+
+
+def _merges(cores: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """(c, up, end, block) of all clusters of the tree, and the number of blocks; a top has no ``up`` and that number."""
+    spark, folder = cores.sparkSession, f"{shared_folder(cores.sparkSession)}/tree-{uuid.uuid4().hex}"
+    name = F.struct(F.col("c").alias("a"), F.col("c").alias("b"))
+    tops = stored(cores.select("c", name.alias("top")))
+    name_type = tops.schema["top"].dataType.simpleString()
+    blocks = -(-links.count() // BLOCK)
+    order = ["w", "a", "b"]
+    if blocks > 1:  # ranges of about one size
+        links = stored(links.repartitionByRange(blocks, *order).withColumn("block", F.spark_partition_id()))
+    for block in range(blocks):
+        part = links if blocks == 1 else links.filter(F.col("block") == block)
+        left, right = (tops.select(F.col("c").alias(c), F.col("top").alias(x)) for c, x in (("ca", "x"), ("cb", "y")))
+        found = stored(_in_order(part.join(left, "ca").join(right, "cb").select("x", "y", *order), *order).mapInArrow(
+            _merge_block, f"c {name_type}, up {name_type}, end double, top {name_type}"))
+        found.filter("up is not null").select("c", "up", "end", F.lit(block).alias("block")).write.parquet(f"{folder}/{block}")
+        moved = found.filter("top is not null").select(F.col("c").alias("top"), F.col("top").alias("now"))
+        tops = stored(tops.join(moved, "top", "left").select("c", F.coalesce("now", "top").alias("top")))
+    last = tops.select(F.col("top").alias("c")).distinct().select(
+        "c", F.lit(None).cast(name_type).alias("up"), F.lit(float("inf")).alias("end"), F.lit(blocks).alias("block"))
+    return stored(spark.read.schema(last.schema).parquet(*[f"{folder}/{k}" for k in range(blocks)]).union(last) if blocks else last), blocks
+
+
+def _homes(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, n, c, w) with ``c`` the first cluster from the point's core upwards that ends beyond ``w``, by doubling."""
+    met = stored(points.join(clusters.select("c", "end"), "c").select("id", "n", "c", "w", (F.col("w") < F.col("end")).alias("out")))
+    waiting = met.filter("not out").drop("out")
+    if waiting.isEmpty():
+        return met.drop("out")
+    # A jump passes 2^k clusters, the last of which ends at ``most``; ends ascend along the way.
+    jump, jumps = stored(clusters.filter("up is not null").select("c", F.col("up").alias("next"), F.col("end").alias("most"))), []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        ahead = jump.select(F.col("c").alias("next"), F.col("next").alias("further"), F.col("most").alias("later"))
+        jump = stored(jump.join(ahead, "next").select("c", F.col("further").alias("next"), F.col("later").alias("most")))
+    for jump in reversed(jumps):
+        waiting = stored(waiting.join(jump, "c", "left").select(
+            "id", "n", F.when(F.col("most") <= F.col("w"), F.col("next")).otherwise(F.col("c")).alias("c"), "w"))
+    return met.filter("out").drop("out").union(waiting)
+
+
+def _rounded(x: float) -> float:
+    """``x`` as Spark's ``round(x, 9)``."""
+    return float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) if math.isfinite(x) else x
+
+
+def _value_block(single: bool):
+    """Stability and choice of clusters in the order of their ends, and what the links they end in have gathered."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {}
+        for batch in batches:
+            stable, chosen = [], []
+            columns = [batch.column(k).to_pylist() for k in ("c", "up", "end", "density", "n", "held", "split", "below")]
+            for c, up, end, density, n, held, split, below in zip(*columns):
+                held, split, below = made.pop(tuple(c.values()), (held, split, below))
+                total = held + n
+                stability = _rounded(density + (held / split if held > 0 else 0.0) - total / end)
+                choose = not single and (c["a"] == c["b"] or stability >= below)  # a core has no children
+                stable.append(stability), chosen.append(choose)
+                if up is not None:
+                    name = tuple(up.values())
+                    before = made.get(name, (0, end, 0.0))
+                    made[name] = (before[0] + total, end, before[2] + (stability if choose else below))
+            empty = pa.nulls(len(stable), pa.int64()), pa.nulls(len(stable), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c"), batch.column("up"), pa.array(stable, pa.float64()), pa.array(chosen, pa.bool_()), empty[0], empty[1], empty[1]],
+                names=["c", "up", "stability", "chosen", "held", "split", "below"])
+        if made:  # these end in a later block
+            kind = batch.schema.field("c").type
+            held, split, below = zip(*made.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([dict(zip("ab", c)) for c in made], kind), pa.nulls(len(made), kind), pa.nulls(len(made), pa.float64()),
+                 pa.nulls(len(made), pa.bool_()), pa.array(held, pa.int64()), pa.array(split, pa.float64()), pa.array(below, pa.float64())],
+                names=["c", "up", "stability", "chosen", "held", "split", "below"])
+    return run
 
 
 def condensed_tree(points: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,44 +257,25 @@ def condensed_tree(points: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     A cluster is named by the link that made it, a core by itself twice. The
     top of a component has no ``up``; it can be chosen if there are several.
     """
-    spark, folder = points.sparkSession, f"{shared_folder(points.sparkSession)}/tree-{uuid.uuid4().hex}"
     name = F.struct(F.col("c").alias("a"), F.col("c").alias("b"))
-    waiting = stored(points.select("id", "n", name.alias("c"), "w"))
-    cores = points.select("c").distinct()
-    state = stored(cores.select(name.alias("c"), F.lit(0).cast("long").alias("held"), F.lit(None).cast("double").alias("split"),
-                                      F.lit(0.0).alias("below"), F.lit(True).alias("leaf")))
-    pair = lambda c: F.struct(F.col(c).alias("a"), F.col(c).alias("b"))
-    links = stored(links.select(pair("ca").alias("ca"), pair("cb").alias("cb"), "w", "a", "b"))
-    home_type = waiting.select("id", "c").schema
-    for step in range(MAX_ROUNDS):
-        last = links.isEmpty()
-        if last:  # every component's top ends at infinity
-            ending = state.select("c", F.lit(None).cast(state.schema["c"].dataType).alias("up"), F.lit(float("inf")).alias("end"))
-        else:
-            merged = _mutual(_least_links(links)).withColumn("up", F.struct("a", "b"))
-            ending = merged.select("c", "up", F.col("w").alias("end")).union(merged.select(F.col("to").alias("c"), "up", F.col("w").alias("end")))
-        ending = stored(ending)
-        met = stored(waiting.join(ending, "c", "left").withColumn("out", F.coalesce(F.col("w") < F.col("end"), F.lit(False))))
-        gone = met.filter("out").groupBy("c").agg(F.sum(F.col("n") / F.col("w")).alias("density"), F.sum("n").alias("n"))
-        closed = state.join(ending, "c").join(gone, "c", "left").na.fill(0, ["n"]).na.fill(0.0, ["density"])
-        inner = F.when(F.col("held") > 0, F.col("held") / F.col("split")).otherwise(0.0)
-        total = F.col("held") + F.col("n")
-        closed = closed.withColumn("stability", F.round(F.col("density") + inner - total / F.col("end"), 9)).withColumn("total", total)
-        only = last and state.count() == 1
-        chosen = F.lit(False) if only else F.col("leaf") | (F.col("stability") >= F.col("below"))
-        closed = stored(closed.withColumn("chosen", chosen))
-        _append(closed.select("c", "up", "stability", "chosen"), f"{folder}/clusters")
-        _append(met.filter("out").select("id", "c"), f"{folder}/homes")
-        if last:
-            clusters = spark.read.parquet(f"{folder}/clusters")
-            return clusters, spark.read.schema(home_type).parquet(f"{folder}/homes")
-        best = F.when(F.col("chosen"), F.col("stability")).otherwise(F.col("below"))
-        made = closed.groupBy(F.col("up").alias("c")).agg(F.sum("total").alias("held"), F.first("end").alias("split"),
-                                                          F.sum(best).alias("below")).withColumn("leaf", F.lit(False))
-        state = stored(state.join(ending, "c", "left_anti").unionByName(made))
-        waiting = stored(met.filter("not out").select("id", "n", F.coalesce("up", "c").alias("c"), "w"))
-        links = _relinked(links, ending.select("c", F.col("up").alias("root")))
-    raise RuntimeError("the tree did not end")
+    clusters, blocks = _merges(points.select("c").distinct(), links)
+    homes = stored(_homes(points.select("id", "n", name.alias("c"), "w"), clusters))
+    gone = homes.groupBy("c").agg(F.sum(F.col("n") / F.col("w")).alias("density"), F.sum("n").alias("n"))
+    rows = stored(clusters.join(gone, "c", "left").na.fill(0, ["n"]).na.fill(0.0, ["density"]))
+    name_type = rows.schema["c"].dataType.simpleString()
+    schema = f"c {name_type}, up {name_type}, stability double, chosen boolean, held long, split double, below double"
+    only = rows.filter("up is null").count() == 1
+    found, state = None, points.sparkSession.createDataFrame([], f"c {name_type}, held long, split double, below double")
+    for block in range(blocks + 1):
+        part = rows.filter(F.col("block") == block).join(state, "c", "left").na.fill(0, ["held"]).na.fill(0.0, ["below"])
+        if block < blocks:
+            part = _in_order(part.select("*", "up.a", "up.b"), "end", "a", "b")
+        done = stored(part.mapInArrow(_value_block(only and block == blocks), schema))
+        closed = done.filter("chosen is not null").select("c", "up", "stability", "chosen")
+        found = closed if found is None else found.union(closed)
+        left = state.join(rows.filter(F.col("block") == block), "c", "left_anti") if block else state
+        state = stored(left.union(done.filter("chosen is null").select("c", "held", "split", "below")))
+    return stored(found), homes.select("id", "c")
 
 
 def _topmost(clusters: DataFrame) -> DataFrame:

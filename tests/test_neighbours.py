@@ -238,3 +238,29 @@ def test_separate_components_and_too_few_points(spark):
     assert {got[i] for i in (500, 501, 900)} == {-1}
     nothing = spark.createDataFrame([], "id long, n long")
     assert hierarchy.density_hierarchy(graph.limit(0), nothing).collect() == []
+
+
+def test_nested_clusters_need_no_round_each(spark, monkeypatch):
+    """A chain of 24 nested clusters: few tables are written, and blocks of any size give the same tree."""
+    points = spark.createDataFrame([(c, 3, c, hierarchy.LEAST) for c in range(25)] + [(1000, 1, 0, 20.5), (1001, 2, 24, 30.0)],
+                                   "id long, n long, c long, w double")
+    links = spark.createDataFrame([(c, c + 1, c + 1.0, c, c + 1) for c in range(24)], "ca long, cb long, w double, a long, b long")
+    tables, stored = [], hierarchy.stored
+    monkeypatch.setattr(hierarchy, "stored", lambda df: tables.append(0) or stored(df))
+
+    def tree():
+        clusters, homes = hierarchy.condensed_tree(points, links)
+        return ({tuple(r.c): (r.up and tuple(r.up), r.stability, r.chosen) for r in clusters.collect()},
+                {r.id: tuple(r.c) for r in homes.collect()})
+
+    whole = tree()
+    assert len(tables) < 24
+    clusters, homes = whole
+    assert homes[1000] == (19, 20) and homes[1001] == (23, 24) and homes[7] == (7, 7)
+    assert all(clusters[c, c + 1][0] == (c + 1, c + 2) for c in range(23)) and clusters[23, 24][0] is None
+    assert [c for c, (up, _, _) in clusters.items() if up == (5, 6)] in ([(4, 5), (6, 6)], [(6, 6), (4, 5)])
+    below = 3 * 21 + 1  # points at or below the cluster that one falls out of at 20.5
+    assert clusters[19, 20][1] == pytest.approx(1 / 20.5 + (below - 1) / 20 - below / 21, abs=1e-9)
+    assert not clusters[23, 24][2] and all(clusters[c, c][2] for c in range(25))
+    monkeypatch.setattr(hierarchy, "BLOCK", 9)
+    assert tree() == whole
