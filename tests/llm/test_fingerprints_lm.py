@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,29 @@ def test_odd_rows_of_scores(odd_docs, no_docs):
     assert by[2].n_tokens == 0 and by[2].log_score == 0 and by[2].mean_score is None and by[1].n_tokens == 10
     assert len(by) == 8 and by[None].n_tokens == 3
     assert M.score(no_docs).count() == 0
+
+
+def test_bigrams_move_in_packed_rows(spark):
+    """A chunk sends a few bytes for each of its documents' bigrams, not a row; frequent, rare and long ones alike."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(("a", f"w{rng.randrange(300)}", f"r{i}x{k}")) for k in range(rng.randrange(300)))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    sent = M._requests(table, M.vocabulary(table))
+    n, size = sent.selectExpr("count(*)", "sum(length(keys) + length(others) + length(held) + length(rows) + length(times))").first()
+    pairs = sum(len(set(zip(t.split(), t.split()[1:]))) for _, t in rows)
+    assert n <= 2 * (1 + 3 * 2 ** M.BUCKET_BITS) and n * 10 < pairs and size < 20 * pairs
+
+
+@pytest.mark.parametrize("words,rows,held", [(50, 1 << 14, 1), (1 << 21, 3, 10)])
+def test_chunks_and_handed_scores_of_any_size(spark, docs, texts, monkeypatch, words, rows, held):
+    for name, value in (("CHUNK_WORDS", words), ("CHUNK_ROWS", rows), ("HELD", held), ("COMMON_BITS", 5)):
+        monkeypatch.setattr(M, name, value)
+    got = {r.doc_id: r.log_score for r in M.score(docs).collect()}
+    assert all(got[i] == pytest.approx(v, abs=1e-6) for i, (_, v) in plain_scores(texts).items())
+
+
+def test_packed_numbers():
+    for x in ([0], [0, 255, 256], [1 << 63, 5], list(range(70_000))):
+        assert M.unpacked(M.packed(np.array(x, np.uint64))).tolist() == x
+    keys = np.random.default_rng(1).integers(0, 1 << M._KEY_BITS, 1000)
+    assert M._gathered(M._spread(keys)).tolist() == keys.tolist()
