@@ -315,7 +315,7 @@ def _matched(texts: DataFrame, window: int) -> DataFrame:
 def duplicate_places(docs: DataFrame, window: int) -> DataFrame:
     """(key, place, mask) of all phrases with a duplicate window; keys and places as in ``_keyed`` and ``_places``."""
     keyed = _keyed(docs)
-    places = _places(keyed, window)
+    places = written(_places(keyed, window), "places")  # cutting costs more than reading back: both readers share it
     anchors = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     met = written(places.join(anchors, "anchor", "left_semi"), "phrases")
     distinct = written(met.groupBy("anchor", "phrase").agg(

@@ -112,3 +112,19 @@ def test_many_equal_rows_and_long_texts(spark):
     assert {(r.n_words, r.kept) for r in got if r.doc_id == 7} == {(61, "")}
     kept = next(r.kept for r in got if r.doc_id == 9)
     assert kept.encode().split() == brute([long, "q " + long[6_000:300_000]], 35)[1]
+
+
+def test_texts_are_cut_into_phrases_once(spark):
+    """Texts are read for their phrases, for the words of some and for the result, not once more for repeated anchors."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = random_texts(random.Random(4), 80, 300, 400)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in relative_lz.remove_duplicates(rows).collect()}
+    assert got == {i: b" ".join(w).decode() for i, w in enumerate(brute(texts, 35))}
+    assert read.value <= 3 * len(texts)
